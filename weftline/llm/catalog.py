@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate
+from weftline.llm import decontaminate, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins; operators that SQL cannot express on whole tables have brute-force tests instead.
@@ -24,4 +24,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that 13-word windows of earlier documents repeat are cut out."""
+    return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that 100-byte strings repeat from earlier places are cut out."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES["op1_decontaminate"] = op1_decontaminate
+QUERIES["op2_substring_dedup"] = op2_substring_dedup
+QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
