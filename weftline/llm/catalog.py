@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, substring_dedup, suffix_dedup
+from weftline.llm import decontaminate, mixing, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins; operators that SQL cannot express on whole tables have brute-force tests instead.
@@ -29,11 +30,33 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near equal bytes, by a k-d tree over metadata."""
+    found = sharding.manifest(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that each document gives to a mix of sources at target weights."""
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that 100-byte strings repeat from earlier places are cut out."""
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the content share of lines that a trained chain labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"]
+    return quality.verdicts(quality.measure(docs, weights)).select(columns)
+
+
 QUERIES["op1_decontaminate"] = op1_decontaminate
 QUERIES["op2_substring_dedup"] = op2_substring_dedup
+QUERIES["op4_sharding"] = op4_sharding
+QUERIES["op5_mixing"] = op5_mixing
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+QUERIES["op10_quality"] = op10_quality
