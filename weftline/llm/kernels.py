@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Texts of a slice, so that a text's index in it fits into 12 bits.
+SLICE_TEXTS = 4096
 
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -136,7 +138,7 @@ def slices(column: pa.Array, limit: int = SLICE) -> Iterator[Texts]:
     at = 0
     while at < len(column):
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(max(to, at + 1), len(column))
+        to = min(max(to, at + 1), at + SLICE_TEXTS, len(column))
         yield Texts(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at)
         at = to
 

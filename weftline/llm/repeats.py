@@ -16,10 +16,10 @@ shuffle, and none of the windows undecided:
    earliest of its run is a repeat.
 
 The sorts are range partitioned with the position as last key, so a gram that
-holds a third of all rows spreads over many tasks; runs that touch the edge of
-a partition are settled by a pre-aggregated minimum and a join that adaptive
-execution can split. No group is ever gathered in one task, and no pairs of a
-group are made.
+holds a third of all rows spreads over many tasks; what a partition cannot
+settle alone is whether its first span goes on from the one before, so one or
+two rows a partition are compared in a second step. No group is ever gathered
+in one task, and no pairs of a group are made.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from weftline.llm.scratch import Scratch
 
 LAST_ID = (1 << 63) - 1
 PLACES = "a long, b long, doc long, lo int, th int, n int"
-REMOVED, REPRESENTATIVE, OPEN = 0, 1, 2
+REMOVED, REPRESENTATIVE, OPEN, EDGE = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,11 @@ def _ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _settle(batches: Iterator[pa.RecordBatch], within: bool, representatives: bool) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: which rows are repeats, representatives, or in a run that may go on elsewhere."""
+    """Over one sorted partition: which rows are repeats, which are representatives of their spans.
+
+    Whatever follows an equal span in the partition is a repeat. Only the first
+    row (and its ties) of the partition's first span stays open.
+    """
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -148,16 +152,19 @@ def _settle(batches: Iterator[pa.RecordBatch], within: bool, representatives: bo
     later = (doc > doc[first]) | (within & (doc == doc[first]) & (lo > lo[first]))
     several = np.bincount(run[heads])[run] > 1
     kind = np.full(len(a), -1, np.int8)
+    if representatives:  # a run at either edge may have other spans elsewhere
+        kind[several | (run == 0) | (run == run[-1])] = REPRESENTATIVE
+    kind[first == 0] = OPEN
     kind[later] = REMOVED
-    if representatives:
-        kind[~later & several] = REPRESENTATIVE
-    kind[(run == 0) | (run == run[-1])] = OPEN
     keep = np.flatnonzero(kind >= 0)
-    still = kind[keep] == OPEN
+    kind = kind[keep]
+    if first[-1] > 0:  # tells the next partition where its first span started
+        keep, kind = np.append(keep, first[-1]), np.append(kind, EDGE)
+    still = kind >= OPEN
     out = rows.take(pa.array(keep))
     hide = pa.array(~still)
     columns = [pc.if_else(hide, pa.scalar(None, pa.int64()), out.column(k).combine_chunks()) for k in ("a", "b")]
-    columns += [out.column(k).combine_chunks() for k in ("doc", "lo", "th", "n")] + [pa.array(kind[keep])]
+    columns += [out.column(k).combine_chunks() for k in ("doc", "lo", "th", "n")] + [pa.array(kind.astype(np.int8))]
     table = pa.Table.from_arrays(columns, names=["a", "b", "doc", "lo", "th", "n", "kind"])
     yield from table.to_batches(max_chunksize=65536)
 
@@ -167,12 +174,11 @@ def sorted_runs(scratch: Scratch, name: str, places: DataFrame, within: bool, re
     order = ["a", "b", "doc", "lo", "th"]
     ranked = places.repartitionByRange(*order).sortWithinPartitions(*order)
     settled = scratch.write(name, ranked.mapInArrow(lambda batches: _settle(batches, within, representatives), f"{PLACES}, kind byte"))
-    still = settled.filter(F.col("kind") == OPEN)
     place = F.struct("doc", "lo") if within else F.col("doc")
-    first = scratch.write(f"{name}-first", still.groupBy("a", "b").agg(F.min(place).alias("first")))
-    rest = still.join(first, ["a", "b"]).withColumn("kind", F.when(place > F.col("first"), REMOVED).otherwise(REPRESENTATIVE).cast("byte"))
+    edges = settled.filter(F.col("kind") >= OPEN).groupBy("a", "b").agg(F.min(place).alias("first"))
+    rest = settled.filter(F.col("kind") == OPEN).join(edges, ["a", "b"]).withColumn("kind", F.when(place > F.col("first"), REMOVED).otherwise(REPRESENTATIVE).cast("byte"))
     columns = ["doc", "lo", "th", "n", "kind"]
-    found = settled.filter(F.col("kind") != OPEN).select(columns).unionByName(rest.select(columns))
+    found = settled.filter(F.col("kind") < OPEN).select(columns).unionByName(rest.select(columns))
     return found if representatives else found.filter(F.col("kind") == REMOVED)
 
 
