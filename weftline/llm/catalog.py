@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, mixing, quality, sharding, substring_dedup, suffix_dedup
+from weftline.llm import decontaminate, langid, licenses, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins; operators that SQL cannot express on whole tables have brute-force tests instead.
@@ -30,6 +30,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and texts in documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes, by a k-d tree over metadata."""
     found = sharding.manifest(_table(spark, sf_dir, "documents"))
@@ -46,6 +51,18 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned from three of four folds."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.learn(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates at a similarity of 0.8 of 2-word shingle sets, as components."""
+    return near_dedup.verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the content share of lines that a trained chain labels."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,7 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_decontaminate"] = op1_decontaminate
 QUERIES["op2_substring_dedup"] = op2_substring_dedup
+QUERIES["op3_licenses"] = op3_licenses
 QUERIES["op4_sharding"] = op4_sharding
 QUERIES["op5_mixing"] = op5_mixing
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
+QUERIES["op8_langid"] = op8_langid
+QUERIES["op9_near_dedup"] = op9_near_dedup
 QUERIES["op10_quality"] = op10_quality

@@ -12,9 +12,10 @@ fewer than MATCHES others cannot have a partner. The remaining tokens are
 ordered by rarity, and only the first (count - MATCHES + 1) are posted: two
 classes that share MATCHES tokens meet under one of these. Skip merging: in
 each posting list, members that are already known to be connected are skipped.
-First every list compares its members with one leader, then with a second one
-from outside the leader's component, and at last the members that are still in
-different components with each other. Pairs pass if their sizes allow the
+First every list compares its members with one leader, the member whose tokens
+are the most frequent, then with a second one from outside its component, and at last the members that are still in
+different components with each other, if what each shares with any other listed
+class leaves room for the threshold. Pairs pass if their sizes allow the
 threshold, if they share MATCHES tokens, and if their full sets confirm it.
 
 So copies never become all pairs of their group, and every link between
@@ -104,12 +105,17 @@ def member_sets(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
-    """(token, node, n): what classes are posted under, after prefix merging."""
+    """(token, node, score): what classes are posted under, after prefix merging.
+
+    score: how often all the tokens of the class occur; in a group of copies
+    the original has the highest, as each copy lacks some of its tokens.
+    """
     posted = classes.select("node", F.explode("tokens").alias("token"))
     shared = scratch.write("frequencies", posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     ranked = posted.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
-    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node"))
+    score = F.aggregate("ranked", F.lit(0).cast("long"), lambda a, x: a + x["df"])
+    prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", score.alias("score"), F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
+    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "score"))
     scratch.drop("frequencies")
     return postings
 
@@ -152,7 +158,7 @@ def _open_lists(scratch: Scratch, name: str, postings: DataFrame, labels: DataFr
     """(token, node, n, comp) of the posting lists whose members are in more than one component."""
     if labels is None:
         return scratch.write(name, postings.withColumn("comp", F.col("node")))
-    now = scratch.write(f"{name}-all", postings.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("token", "node", "n", "comp"))
+    now = scratch.write(f"{name}-all", postings.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("token", "node", "n", "score", "comp"))
     split = scratch.write(f"{name}-split", now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
     kept = scratch.write(name, now.join(split, "token", "left_semi"))
     scratch.drop(f"{name}-all", f"{name}-split")
@@ -166,6 +172,18 @@ def _with_leader(scratch: Scratch, name: str, lists: DataFrame, leaders: DataFra
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
 
 
+def _shared_counts(scratch: Scratch, lists: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, m): how many of a listed class's shingles occur in another listed class.
+
+    No pair shares more than the lesser m, and the threshold asks for a share of
+    the sum of both sizes; so classes of a group that differ in what only they
+    have are told apart without meeting.
+    """
+    each = members.join(scratch.write("listed", lists.select("node").distinct()), "node", "left_semi").select("node", F.explode("members").alias("x"))
+    shared = scratch.write("shared", each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").select("x"))
+    return scratch.write("counts", each.join(shared, "x").groupBy("node").agg(F.count("*").alias("m")))
+
+
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows(doc, n, fa, fb) of every document; classes(fa, fb, n, node, label)."""
     scratch = Scratch(docs.sparkSession)
@@ -175,22 +193,24 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"))
     classes = scratch.write("classes", classes.select("fa", "fb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th"), "tokens"))
     postings = _postings(scratch, classes)
-    postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n"))
+    postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n", "score"))
     wanted = scratch.write("wanted", postings.select("node").distinct())
     some = classes.join(wanted, "node", "left_semi")
     members = scratch.write("members", member_sets(texts.join(some.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_semi")))
     tokens = scratch.write("tokens", some.select("node", "tokens"))
     links = Links(scratch, tokens, members)
-    first = F.min(F.struct("node", "comp", "n")).alias("l")
+    first = F.max(F.struct("score", "node", "comp", "n")).alias("l")
     lists = _open_lists(scratch, "open1", postings, None)
     links.confirm(_with_leader(scratch, "leaders1", lists, lists.groupBy("token").agg(first)))
     lists = _open_lists(scratch, "open2", postings, links.labels)
-    heads = scratch.write("heads2", lists.groupBy("token").agg(F.min(F.struct("node", "comp")).alias("h")))
+    heads = scratch.write("heads2", lists.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("h")))
     outside = lists.join(heads, "token").filter(F.col("comp") != F.col("h.comp"))
     links.confirm(_with_leader(scratch, "leaders2", lists, outside.groupBy("token").agg(first)))
     lists = _open_lists(scratch, "open3", postings, links.labels)
+    lists = scratch.write("last", lists.join(_shared_counts(scratch, lists, members), "node").filter(THRESHOLD[1] * F.col("m") >= THRESHOLD[0] * F.col("n")))
     one, other = lists.alias("p"), lists.alias("q")
-    rest = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n"))
+    enough = sum(THRESHOLD) * F.least("p.m", "q.m") >= THRESHOLD[0] * (F.col("p.n") + F.col("q.n"))
+    rest = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n") & enough)
     links.confirm(rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")))
     named = classes.select("fa", "fb", "n", "node")
     if links.labels is None:
