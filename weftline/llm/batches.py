@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.kernels import Texts, slices
@@ -38,6 +39,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in gone])
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """The table with columns c0, c1 and so on, the new name of each column, and what selects the old ones back."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def map_texts(df: DataFrame, text: str, kernel: Kernel, schema: str) -> DataFrame:
     """New rows from texts: kernel(rows, texts) returns the columns of any number of rows."""
     bounded(df)

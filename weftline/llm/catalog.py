@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, langid, licenses, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
+from weftline.llm import decontaminate, html_text, langid, licenses, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: SQL twins; operators that SQL cannot express on whole tables have brute-force tests instead.
@@ -46,6 +46,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages under the wrappers of their hosts."""
+    found = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that 100-byte strings repeat from earlier places are cut out."""
     return suffix_dedup.digests(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -76,6 +82,7 @@ QUERIES["op2_substring_dedup"] = op2_substring_dedup
 QUERIES["op3_licenses"] = op3_licenses
 QUERIES["op4_sharding"] = op4_sharding
 QUERIES["op5_mixing"] = op5_mixing
+QUERIES["op6_html"] = op6_html
 QUERIES["op7_suffix_dedup"] = op7_suffix_dedup
 QUERIES["op8_langid"] = op8_langid
 QUERIES["op9_near_dedup"] = op9_near_dedup

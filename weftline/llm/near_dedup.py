@@ -31,10 +31,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.batches import append_columns, map_texts
+from weftline.llm.batches import append_columns, fresh, map_texts
 from weftline.llm.components import components
 from weftline.llm.kernels import NON_SPACE, Prefix, Texts, U, mix, signed
 from weftline.llm.repeats import LAST_ID, keyed
@@ -185,7 +185,7 @@ def _shared_counts(scratch: Scratch, lists: DataFrame, members: DataFrame) -> Da
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows(doc, n, fa, fb) of every document; classes(fa, fb, n, node, label)."""
+    """(rows, classes): rows(doc, th, n, fa, fb) of every document; classes(fa, fb, n, node, label)."""
     scratch = Scratch(docs.sparkSession)
     texts = keyed(docs, doc_id, text)
     signed_rows = scratch.write("rows", signatures(texts))
@@ -217,7 +217,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         named = named.withColumn("label", F.col("node"))
     else:
         named = named.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return signed_rows.select("doc", "n", "fa", "fb"), scratch.write("named", named)
+    return signed_rows.select("doc", "th", "n", "fa", "fb"), scratch.write("named", named)
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,3 +227,16 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     component = F.coalesce("label", "doc")
     real = lambda c: F.when(c != LAST_ID, c)
     return found.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc") == component).alias("kept"))
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one with the least id, and all with an empty set; columns as before."""
+    rows, classes = near_classes(docs, doc_id, text)
+    labelled = rows.join(classes.select("fa", "fb", "n", "label"), ["fa", "fb", "n"], "left")
+    single = labelled.filter(F.col("doc") == F.col("label")).groupBy("doc").agg(F.min("th").alias("th"), F.lit(True).alias("once"))
+    empty = labelled.filter("label is null").select("doc", "th", F.lit(False).alias("once")).distinct()
+    key, tag, once, place = (fresh(docs, f"weftline_{c}") for c in ("doc", "th", "once", "place"))
+    wanted = Scratch(docs.sparkSession).write("survivors", single.unionByName(empty)).toDF(key, tag, once)
+    tagged = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).withColumn(tag, F.hash(text))
+    met = tagged.join(wanted, [key, tag]).withColumn(place, F.row_number().over(Window.partitionBy(key, tag).orderBy(once)))
+    return met.filter(~F.col(once) | (F.col(place) == 1)).select(*[f"`{c}`" for c in docs.columns])
