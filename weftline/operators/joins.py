@@ -103,11 +103,17 @@ def interleave(left: DataFrame, right: DataFrame, time: str) -> DataFrame:
 
 
 def hash_split(df: DataFrame, key: str, seed: int = 42, train: float = 0.9, val: float = 0.05) -> DataFrame:
-    """Adds split: exact shares int(n * train), int(n * val) and the rest, by rank of a seeded hash."""
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(hashed, key))
+    """Adds split: exact shares int(n * train), int(n * val) and the rest, by rank of a seeded hash.
+
+    Ranks come from 4096 hash buckets, their running sizes, and the place in the bucket, so no task sorts all rows.
+    """
+    hashed = df.withColumn("weftline_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("weftline_bucket", F.substring("weftline_hash", 1, 3))
+    counts = hashed.groupBy("weftline_bucket").agg(F.count("*").alias("weftline_size"))  # 4096 rows at most
+    before = F.sum("weftline_size").over(Window.orderBy("weftline_bucket")) - F.col("weftline_size")
+    offsets = counts.select("weftline_bucket", before.alias("weftline_before"), F.sum("weftline_size").over(Window.partitionBy()).alias("weftline_n"))
+    place = F.row_number().over(Window.partitionBy("weftline_bucket").orderBy("weftline_hash", key))
+    ranked = hashed.withColumn("weftline_place", place).join(F.broadcast(offsets), "weftline_bucket")
+    rank = F.col("weftline_before") + F.col("weftline_place")
     cut = lambda share: F.floor(F.col("weftline_n") * share)
-    ranked = df.withColumn("weftline_n", n).withColumn("weftline_place", place)
-    name = F.when(F.col("weftline_place") <= cut(train), "train").when(F.col("weftline_place") <= cut(train) + cut(val), "val").otherwise("test")
-    return ranked.withColumn("split", name).drop("weftline_n", "weftline_place")
+    name = F.when(rank <= cut(train), "train").when(rank <= cut(train) + cut(val), "val").otherwise("test")
+    return ranked.withColumn("split", name).select(*df.columns, "split")

@@ -16,14 +16,15 @@ SPECIALS = ("<blk>", "<sos/eos>", "<unk>", "<pad>", "<s>", "</s>", "|", "SIL", "
 def label_runs(frames: DataFrame, keys: Sequence[str], frame: str = "t", label: str = "label", skip: Sequence[str] = ("",), drop: Sequence[str] = (*SPECIALS, "<eps>")) -> DataFrame:
     """(keys, label, start, end) of runs; frames of `skip` do not close a run, labels of `drop` go afterwards.
 
-    A run ends where the next run starts, the last one after its last frame.
+    A run ends where the next run starts, the last one after the last frame of all.
     """
     by = Window.partitionBy(*keys).orderBy(frame)
+    frames = frames.withColumn("weftline_n", F.max(frame).over(Window.partitionBy(*keys)) + 1)
     real = frames.filter(~F.col(label).isin(*skip))
     marked = number_islands(real, keys, [frame], F.col(label) != F.lag(label).over(by), "run")
-    runs = marked.groupBy(*keys, "run").agg(F.first(label).alias("label"), F.min(frame).alias("start"), F.max(frame).alias("last"))
+    runs = marked.groupBy(*keys, "run").agg(F.first(label).alias("label"), F.min(frame).alias("start"), F.first("weftline_n").alias("n"))
     after = F.lead("start").over(Window.partitionBy(*keys).orderBy("run"))
-    return runs.withColumn("end", F.coalesce(after, F.col("last") + 1)).drop("last", "run").filter(~F.col("label").isin(*drop))
+    return runs.withColumn("end", F.coalesce(after, F.col("n"))).drop("n", "run").filter(~F.col("label").isin(*drop))
 
 
 def merge_markers(steps: DataFrame, keys: Sequence[str], order: str = "start") -> DataFrame:
