@@ -1,10 +1,6 @@
-"""Registry of the engine's own queries and of their SQL twins."""
+"""All queries of the engine and their SQL twins."""
 
-from __future__ import annotations
+from weftline.plans import kernel_queries, native_queries  # noqa: F401 - they register themselves
+from weftline.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
