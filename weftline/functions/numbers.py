@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # English number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -38,7 +39,7 @@ def normalize_for_matching(text: str | None, numbers: bool = True) -> str | None
     return " ".join(plain.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def matching_column(text: pd.Series) -> pd.Series:
     return text.map(normalize_for_matching, na_action="ignore")
 

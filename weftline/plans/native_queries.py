@@ -74,9 +74,6 @@ def char_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.char_inventory(table(spark, sf_dir, "documents"), "text")
 
 
-_SECONDS = F.unix_timestamp("ts").cast("double")
-
-
 @query(
     """
 WITH e AS (SELECT user_id, ts, event_id, CAST(floor(epoch(ts)) AS DOUBLE) AS s, event_type FROM events),
@@ -87,7 +84,8 @@ SELECT user_id, min(s) AS start, max(s) AS "end", count(*) AS n_rows, string_agg
 )
 def contiguous_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user less than six hours apart, merged."""
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", _SECONDS.alias("start"), _SECONDS.alias("end"))
+    seconds = F.unix_timestamp("ts").cast("double")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", seconds.alias("start"), seconds.alias("end"))
     return islands.merge_contiguous(events, ["user_id"], ["ts", "event_id"], "start", "end", "event_type", gap=6 * 3600).drop("island")
 
 
@@ -243,11 +241,11 @@ def last_wins_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.last_wins(docs, ["source", "lang"], "order", ["doc_id", "n_chars"])
 
 
-@query("SELECT event_id, user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-15' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.ts < TIMESTAMP '2024-01-15' AND k.user_id = e.user_id AND k.event_type = e.event_type)")
+@query("SELECT event_id, user_id, event_type FROM events e WHERE ts >= TIMESTAMP '2024-01-02' AND NOT EXISTS (SELECT 1 FROM events k WHERE k.ts < TIMESTAMP '2024-01-02' AND k.user_id = e.user_id AND k.event_type = e.event_type)")
 def unseen_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose user and type had not been seen before the 15th."""
+    """Events whose user and type had not been seen before the second day."""
     events = table(spark, sf_dir, "events")
-    cut = F.lit("2024-01-15").cast("timestamp")
+    cut = F.lit("2024-01-02").cast("timestamp")
     return joins.unseen(events.filter(F.col("ts") >= cut), events.filter(F.col("ts") < cut), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 

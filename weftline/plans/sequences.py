@@ -8,10 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from weftline.kernels import banddp, ctc, editdp, fuzzy, ocrseq, rewrite, tokendiff
 
-_OP = "array<struct<op:string,ref_idx:int,ref:string,act:string>>"
+# Types rather than DDL strings, so that the module can be imported without a session.
+_OP = ArrayType(StructType([StructField("op", StringType()), StructField("ref_idx", IntegerType()), StructField("ref", StringType()), StructField("act", StringType())]))
+_SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
 
 
 @F.pandas_udf(_OP)
@@ -80,20 +83,20 @@ def chunk_ops(chunks: DataFrame, texts: DataFrame, compat: bool = False) -> Data
     return texts.join(grouped, "doc").select("doc", F.explode(run("words", "chunks")).alias("o")).select("doc", "o.*")
 
 
-@F.pandas_udf("struct<start:int,end:int,score:double>")
+@F.pandas_udf(_SPAN)
 def locate(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     """Where a short text lies in a long one; null below the cutoff."""
     found = [fuzzy.locate(a, b) or (None, None, None) for a, b in zip(short, long, strict=True)]
     return pd.DataFrame(found, columns=["start", "end", "score"]).astype({"start": "Int32", "end": "Int32", "score": "float64"})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insert-delete similarity of two texts, 0 to 100."""
     return pd.Series([fuzzy.ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def line_diff(a: pd.Series, b: pd.Series) -> pd.Series:
     """A unified diff of two texts."""
     return pd.Series([tokendiff.text_diff(x, y) for x, y in zip(a, b, strict=True)])
