@@ -35,7 +35,7 @@ class _Words(HTMLParser):
             if self.depth <= 0:
                 box, conf, text = _BOX.search(self.open["title"]), _CONF.search(self.open["title"]), " ".join(self.open["text"].split())
                 if text:
-                    self.words.append((self.page, self.open["id"], text, *(int(x) for x in box.groups()) if box else (None,) * 4, int(conf[1]) if conf else None))
+                    self.words.append((self.page, self.open["id"], text, *([int(x) for x in box.groups()] if box else [None] * 4), int(conf[1]) if conf else None))
                 self.open = None
 
     def handle_data(self, data: str) -> None:

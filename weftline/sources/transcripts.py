@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORDS = "segments array<struct<start:double,end:double,text:string,words:array<struct<word:string,start:double,end:double,score:double>>>>"
-SEGMENTS = "array<struct<Start:double,End:double,Speaker:int,Content:string,start:double,end:double,speaker:int,text:string>>"
+SEGMENTS = "array<map<string,string>>"
 CHUNKS = "chunks array<struct<text:string,timestamp:array<double>>>"
 
 
@@ -26,6 +26,11 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
+def _either(segment: str, first: str, second: str) -> Column:
+    """The value of a segment under either of two keys."""
+    return F.coalesce(F.try_element_at(segment, F.lit(first)), F.try_element_at(segment, F.lit(second)))
+
+
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("file_id").orderBy(*order)) - 1
     return rows.withColumn("pos", place.cast("int")).select("file_id", "pos", "word", "start", "end", "conf")
@@ -44,7 +49,7 @@ def words_json(files: DataFrame) -> DataFrame:
 def segments_json(files: DataFrame) -> DataFrame:
     """Segment-level transcripts, under either case of their keys; a segment's time is spread evenly over its words."""
     parsed = files.select("file_id", F.posexplode(F.from_json("json", SEGMENTS)).alias("s", "seg"))
-    named = parsed.select("file_id", "s", F.coalesce("seg.Content", "seg.text").alias("text"), F.coalesce("seg.Start", "seg.start").alias("from"), F.coalesce("seg.End", "seg.end").alias("to"))
+    named = parsed.select("file_id", "s", _either("seg", "Content", "text").alias("text"), _either("seg", "Start", "start").cast("double").alias("from"), _either("seg", "End", "end").cast("double").alias("to"))
     words = named.withColumn("words", F.array_remove(F.split(F.trim("text"), r"\s+"), "")).withColumn("step", (F.col("to") - F.col("from")) / F.size("words"))
     each = words.filter("size(words) > 0").select("file_id", "s", "from", "step", F.posexplode("words").alias("w", "word"))
     rows = each.select("file_id", "s", "w", "word", (F.col("from") + F.col("w") * F.col("step")).alias("start"), (F.col("from") + (F.col("w") + 1) * F.col("step")).alias("end"), F.lit(1.0).alias("conf"))
@@ -80,4 +85,4 @@ def any_json(files: DataFrame) -> DataFrame:
 def chunk_rows(files: DataFrame) -> DataFrame:
     """(file_id, chunk, speaker, text, start, end) of segment-level transcripts, not split into words."""
     parsed = files.select("file_id", F.posexplode(F.from_json("json", SEGMENTS)).alias("chunk", "seg"))
-    return parsed.select("file_id", "chunk", F.coalesce("seg.Speaker", "seg.speaker").alias("speaker"), F.coalesce("seg.Content", "seg.text").alias("text"), F.coalesce("seg.Start", "seg.start").alias("start"), F.coalesce("seg.End", "seg.end").alias("end"))
+    return parsed.select("file_id", "chunk", _either("seg", "Speaker", "speaker").cast("int").alias("speaker"), _either("seg", "Content", "text").alias("text"), _either("seg", "Start", "start").cast("double").alias("start"), _either("seg", "End", "end").cast("double").alias("end"))
