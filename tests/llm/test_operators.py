@@ -1,0 +1,172 @@
+import re
+import zlib
+from collections import defaultdict
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+from weftline.llm import decontaminate, dom, html_text, langid, licenses, mixing, near_dedup, quality, sharding, substring_dedup, suffix_dedup
+
+BENCHMARK = [(1, None), (2, ""), (3, "two words"), (None, "the an er in"), (10, "Licensed under CC BY-NC 4.0 now")]
+
+
+def texts(corpus):
+    return [(r[0], r[1]) for r in corpus]
+
+
+@pytest.fixture(scope="session")
+def benchmark(spark, corpus):
+    long = sorted(t for _, t in texts(corpus) if t and len(t.split()) > 60)
+    items = [*BENCHMARK, (20, " ".join(long[0].split()[5:30])), (21, " ".join(long[0].split()[10:50])), (22, long[1])]
+    return items, spark.createDataFrame(items, "item_id int, text string")
+
+
+def test_decontamination(docs, corpus, benchmark, empty):
+    items, table = benchmark
+    expected = brute.contamination(texts(corpus), [(i, t) for i, t in items if i is not None])
+    columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    for part_bytes in (decontaminate.PART_BYTES, 300):  # at once, and part by part
+        found = decontaminate.verdicts(decontaminate.occurrences(docs, table, part_bytes=part_bytes))
+        assert {r.doc_id: tuple(r[c] for c in columns) for r in found.collect()} == expected
+    assert decontaminate.verdicts(decontaminate.occurrences(empty, table)).count() == 0
+    assert decontaminate.verdicts(decontaminate.occurrences(docs, table.limit(0))).filter("contaminated").count() == 0
+
+
+def test_word_repeats(docs, clashing, corpus, empty):
+    expected = brute.word_repeats(texts(corpus))
+    for table in (docs, clashing):
+        found = substring_dedup.digests(substring_dedup.remove_repeats(table))
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()} == expected
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_byte_repeats(docs, corpus, empty):
+    found = suffix_dedup.digests(suffix_dedup.remove_repeats(docs))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()} == brute.byte_repeats(texts(corpus))
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+def test_licenses(docs, corpus, empty):
+    found = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, text in texts(corpus):
+        r = found[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute.licenses(text)
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
+    assert sum("cc-by-nc" in r.labels for r in found.values()) == 1
+    twice = licenses.scan(docs.unionByName(docs)).groupBy("doc_id").count().filter("count <> 2").count()
+    assert twice == 0 and licenses.scan(empty).count() == 0
+
+
+def test_license_scan_is_native(docs):
+    plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_sharding(spark, docs, corpus, empty):
+    found = sharding.manifest(docs, shards=8).collect()
+    data = {i: (t or "").encode() for i, t in texts(corpus)}
+    weight, slots = defaultdict(int), defaultdict(list)
+    for r in found:
+        assert r.size == len(data[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(data[r.doc_id])
+        weight[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(found) == len(data) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.manifest(empty, shards=8).count() == 0
+    copies = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a hot text").otherwise(F.md5(F.col("id").cast("string"))).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit("s").alias("source"))
+    sizes = [r["sum(size)"] for r in sharding.manifest(copies, shards=10).groupBy("shard").sum("size").collect()]
+    assert len(sizes) == 10 and max(sizes) <= 1.03 * min(sizes)
+
+
+def test_mixing(docs, clashing, corpus, empty):
+    size, by = {i: len(brute.words(t)) for i, t in texts(corpus)}, defaultdict(int)
+    source = {r[0]: r[3] for r in corpus}
+    for i, n in size.items():
+        by[source[i]] += n
+    goal, taken = brute.targets(by), defaultdict(int)
+    found = mixing.report(docs).collect()
+    for r in found:
+        assert r.size == size[r.doc_id] and r.source_size == by[source[r.doc_id]] and abs(r.target - goal[source[r.doc_id]]) < 1e-6 * max(1, r.target)
+        assert r.taken <= 3 * r.size and r.taken % max(r.size, 1) == 0
+        taken[source[r.doc_id]] += r.taken
+    for s, target in goal.items():
+        assert abs(taken[s] - target) <= max(size[i] for i in size if source[i] == s)
+    assert sorted(map(tuple, mixing.report(docs).collect())) == sorted(map(tuple, found))
+    mixed = mixing.mix(clashing)
+    assert mixed.columns == clashing.columns and mixing.mix(empty).count() == 0
+    drawn = defaultdict(int)
+    for r in mixed.select("doc_id").collect():
+        drawn[r.doc_id] += 1
+    assert all(drawn[i] <= 3 for i in size)
+
+
+def test_langid(docs, corpus, empty):
+    model = langid.learn(docs)
+    found = {r.doc_id: r for r in langid.predict(docs.drop("lang"), model).collect()}
+    for i, text in texts(corpus):
+        has_letter = any(c.isalpha() for c in text or "")
+        assert (found[i].lang_pred in ("a", "b")) == has_letter and 0 <= found[i].score <= 1
+        assert has_letter or found[i].lang_pred == "und"
+    assert all(r.lang_pred == "und" for r in langid.predict(docs, langid.learn(empty)).collect())
+
+
+def test_langid_learns(spark):
+    rows = [(i, " ".join([("haus und baum", "house and tree")[i % 2]] * 5), ("de", "en")[i % 2]) for i in range(60)] + [(99, "bäume und häuser", "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.predict(table, langid.learn(table)).filter(langid.held_out("doc_id"))
+    assert found.count() > 5 and found.filter("lang <> lang_pred").count() == 0
+
+
+def test_near_duplicates(docs, clashing, corpus, empty):
+    found = near_dedup.verdicts(docs.unionByName(docs)).distinct()
+    expected = brute.components(texts(corpus))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == expected
+    left = near_dedup.survivors(clashing)
+    assert left.columns == clashing.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == sorted(i for i, x in expected.items() if x[2])
+    assert near_dedup.verdicts(empty).count() == 0
+
+
+def test_quality(spark, docs, corpus, empty):
+    labels = spark.createDataFrame([(r[0], int(not re.search(r"[|]|!!", r[1] or "")), None) for r in corpus], "doc_id long, quality int, toxic int")
+    weights = quality.fit(docs, labels)
+    found = {r.doc_id: r for r in quality.verdicts(quality.measure(docs, weights)).collect()}
+    for i, text in texts(corpus):
+        r = found[i]
+        n, *_, repeated = expected = brute.quality(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == expected
+        assert r.base_failed == (n < 50 or 100 * repeated > 50 * n) and (not r.kept or not r.base_failed)
+    clean = [i for i, t in texts(corpus) if t and re.fullmatch(r"(?s)[A-Z][a-z. \n]+.*", t) and not found[i].base_failed and "|" not in t and "!!" not in t]
+    assert len(clean) > 30 and all(found[i].kept for i in clean)
+    assert quality.fit(docs, labels.limit(0)) == quality.DEFAULT_WEIGHTS
+    assert quality.measure(empty, weights).count() == 0
+
+
+def test_viterbi_is_the_best_labelling():
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(50):
+        scores, stay = [rng.uniform(-2, 2) for _ in range(6)], rng.uniform(-1, 2)
+        value = lambda y: sum(s for s, k in zip(scores, y) if k) + stay * sum(a == b for a, b in zip(y, y[1:]))  # noqa: B023, E731
+        best = max(itertools.product((False, True), repeat=6), key=value)
+        assert abs(value(quality.viterbi(np.array(scores), stay).tolist()) - value(best)) < 1e-9
+
+
+PAGE = "<html><head><title>t</title><style>x</style></head><body><nav><ul><li><a href='/'>Menu {0}</a></ul></nav><div class='ad'>Buy {0}</div><article><h1>Head {0}</h1><p>First&nbsp;text &amp; more {0}<br>next<p>Second   {0} has words enough</p><div>Share this page</div></article><section class='comments'><p>Nice {0}</p></section><script>var a='</p>'</script><footer>Foot</footer></body></html>"
+
+
+def test_html(spark):
+    rows = [(i, f"https://h.org/{i}", PAGE.format(i)) for i in range(9)] + [(20, None, None), (21, "::bad", ""), (22, "https://one.org", "<p>Only <b>text"), (23, "https://h.org/x", "no markup at all")]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(9):
+        assert found[i] == f"Head {i}\nFirst text & more {i} next\nSecond {i} has words enough"
+    assert [found[i] for i in (20, 21, 22, 23)] == ["", "", "Only text", "no markup at all"]
+
+
+def test_tree_matching():
+    pairs = []
+    dom.match(dom.parse("<ul><li>a<li>b<li>c</ul>"), dom.parse("<ul><li>x<p>y</p><li>z</ul>"), pairs)
+    assert [x.tag for x, _ in pairs].count("li") == 2 and pairs[0][0].tag == "#document"
