@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.islands import global_index
+
 
 def with_rejects(left: DataFrame, right: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(joined rows, left rows without a partner)."""
@@ -94,7 +96,7 @@ def reattach(operations: DataFrame, saved: DataFrame) -> DataFrame:
 def regroup(rows: DataFrame, key: str, order: str, first: Sequence[str], flag: str) -> DataFrame:
     """One row for each key: the first row's metadata, OR of the flag, and a new index by sorted key."""
     grouped = rows.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in first], F.bool_or(flag).alias(flag))
-    return grouped.withColumn("index", F.row_number().over(Window.orderBy(key)) - 1)
+    return global_index(grouped, key)
 
 
 def interleave(left: DataFrame, right: DataFrame, time: str) -> DataFrame:

@@ -353,7 +353,7 @@ def region_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(texts, "\n\f\n")).alias("digest"), F.count("*").alias("n_turns"))
 
 
-@query("SELECT conv_id, arg_min(role, turn) AS role, bool_or(role = 'system') AS boilerplate, CAST(row_number() OVER (ORDER BY conv_id) - 1 AS INT) AS index FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, arg_min(role, turn) AS role, bool_or(role = 'system') AS boilerplate, row_number() OVER (ORDER BY conv_id) - 1 AS index FROM conversations GROUP BY conv_id")
 def regroup_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each conversation: first role, whether any turn is the system's, new index."""
     turns = table(spark, sf_dir, "conversations").withColumn("boilerplate", F.col("role") == "system")
