@@ -11,9 +11,10 @@ shuffle, and none of the windows undecided:
    gram is unique are done: none of their windows repeats.
 2. Where a whole span equals an earlier one, all its windows are repeats. Of
    each distinct span only the earliest place is kept as its representative.
-3. Representatives whose gram also starts other spans are extended window by
-   window: Spark sorts the windows' 128-bit names, and whatever is not the
-   earliest of its run is a repeat.
+3. Representatives whose gram also starts other spans are extended piece by
+   piece, in blocks of fewer windows and longer cores, at last window by window:
+   Spark sorts their 128-bit names, unique cores drop out, and whatever is not
+   the earliest of its run is a repeat.
 
 The sorts are range partitioned with the position as last key, so a gram that
 holds a third of all rows spreads over many tasks; what a partition cannot
@@ -38,7 +39,8 @@ from weftline.llm.kernels import NON_SPACE, Prefix, Texts, U, covered, mix, sign
 from weftline.llm.scratch import Scratch
 
 LAST_ID = (1 << 63) - 1
-PLACES = "a long, b long, doc long, lo int, th int, n int"
+PLACES = "a long, b long, doc long, lo int, th int, n int, off int"
+PLACE_COLUMNS = ("doc", "lo", "th", "n", "off")
 REMOVED, REPRESENTATIVE, OPEN, EDGE = 0, 1, 2, 3
 
 
@@ -47,6 +49,7 @@ class Rule:
     """What repeats: unit, window length, gram length of anchors, and whether a text repeats itself.
 
     head: a window's pair of names covers its first and its last `head` units (0: both cover all of it).
+    steps: how many windows of a representative are compared at once, round by round; the last is 1.
     """
 
     unit: str
@@ -54,6 +57,7 @@ class Rule:
     gram: int
     within: bool
     head: int = 0
+    steps: tuple[int, ...] = (1,)
 
     def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Values of the units, the bounds of the texts among them, and the word spans if units are words."""
@@ -94,42 +98,60 @@ def anchors(texts_of: DataFrame, rule: Rule) -> DataFrame:
             "lo": (lo - bounds[text]).astype(np.int32),
             "th": _ids(rows, "th")[text],
             "n": n.astype(np.int32),
+            "off": (at - lo).astype(np.int32),
         }
 
     return map_texts(texts_of, "text", kernel, PLACES)
 
 
-def windows(texts_of: DataFrame, rule: Rule) -> DataFrame:
-    """A row for each window in `ranges`, named by two 64-bit fingerprints."""
+def blocks(texts_of: DataFrame, rule: Rule, step: int) -> DataFrame:
+    """A row for each block of up to `step` neighbouring windows of the column `ranges`.
+
+    Blocks are aligned to the anchor, so equal windows are in equally placed
+    blocks. a names the core that all windows of the full block share, b the
+    span of those windows that the anchor owns. With a step of 1 both are names
+    of the one window.
+    """
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict | None:
         values, bounds, _ = rule.units(texts)
-        of, lo, n = _ranges(rows)
+        of, lo, n, off = _ranges(rows)
         if not len(of):
             return None
-        head = rule.head or rule.length
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        text, rel = np.repeat(of, n), np.repeat(lo, n) + nth
-        at = bounds[text] + rel
+        low, high = (off - n + 1) // step, off // step
+        count = high - low + 1
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        text, off, n, lo, block = (np.repeat(x, count) for x in (of, off, n, lo, high))
+        block = block - nth
+        far, near = np.minimum(block * step + step - 1, off), np.maximum(block * step, off - n + 1)
+        anchor = bounds[text] + lo + off
+        first, core = anchor - far, anchor - block * step
+        names = Prefix(values)
+        if step == 1:
+            head = rule.head or rule.length
+            a, b = names.runs(first, first + head), Prefix(values, 1).runs(first + rule.length - head, first + rule.length)
+        else:
+            a = mix(names.runs(core, core + rule.length - step + 1) + block.astype(np.uint64))
+            b = mix(names.runs(first, first + far - near + rule.length) + far.astype(np.uint64) * U(0x9E3779B97F4A7C15))
         return {
-            "a": signed(Prefix(values).runs(at, at + head)),
-            "b": signed(Prefix(values, 1).runs(at + rule.length - head, at + rule.length)),
+            "a": signed(a),
+            "b": signed(b),
             "doc": _ids(rows, "doc")[text],
-            "lo": rel.astype(np.int32),
+            "lo": (first - bounds[text]).astype(np.int32),
             "th": _ids(rows, "th")[text],
-            "n": np.ones(len(text), np.int32),
+            "n": (far - near + 1).astype(np.int32),
+            "off": far.astype(np.int32),
         }
 
     return map_texts(texts_of, "text", kernel, PLACES)
 
 
-def _ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the list column `ranges`: text, first window and number of windows of each entry."""
+def _ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of the list column `ranges`: text, first window, number of windows and offset to the anchor of each entry."""
     column = rows.column(rows.schema.get_field_index("ranges"))
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    flat = column.flatten()
-    lo, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in flat.flatten())
-    return np.repeat(np.arange(len(rows)), sizes), lo, n
+    fields = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in column.flatten().flatten())
+    return np.repeat(np.arange(len(rows)), sizes), *fields
 
 
 def _settle(batches: Iterator[pa.RecordBatch], within: bool, representatives: bool) -> Iterator[pa.RecordBatch]:
@@ -164,26 +186,26 @@ def _settle(batches: Iterator[pa.RecordBatch], within: bool, representatives: bo
     out = rows.take(pa.array(keep))
     hide = pa.array(~still)
     columns = [pc.if_else(hide, pa.scalar(None, pa.int64()), out.column(k).combine_chunks()) for k in ("a", "b")]
-    columns += [out.column(k).combine_chunks() for k in ("doc", "lo", "th", "n")] + [pa.array(kind.astype(np.int8))]
-    table = pa.Table.from_arrays(columns, names=["a", "b", "doc", "lo", "th", "n", "kind"])
+    columns += [out.column(k).combine_chunks() for k in PLACE_COLUMNS] + [pa.array(kind.astype(np.int8))]
+    table = pa.Table.from_arrays(columns, names=["a", "b", *PLACE_COLUMNS, "kind"])
     yield from table.to_batches(max_chunksize=65536)
 
 
 def sorted_runs(scratch: Scratch, name: str, places: DataFrame, within: bool, representatives: bool) -> DataFrame:
-    """doc, lo, th, n, kind of the places that repeat an earlier one, and of representatives if wanted."""
+    """PLACE_COLUMNS and kind of the places that repeat an earlier one, and of representatives if wanted."""
     order = ["a", "b", "doc", "lo", "th"]
     ranked = places.repartitionByRange(*order).sortWithinPartitions(*order)
     settled = scratch.write(name, ranked.mapInArrow(lambda batches: _settle(batches, within, representatives), f"{PLACES}, kind byte"))
     place = F.struct("doc", "lo") if within else F.col("doc")
     edges = settled.filter(F.col("kind") >= OPEN).groupBy("a", "b").agg(F.min(place).alias("first"))
     rest = settled.filter(F.col("kind") == OPEN).join(edges, ["a", "b"]).withColumn("kind", F.when(place > F.col("first"), REMOVED).otherwise(REPRESENTATIVE).cast("byte"))
-    columns = ["doc", "lo", "th", "n", "kind"]
+    columns = [*PLACE_COLUMNS, "kind"]
     found = settled.filter(F.col("kind") < OPEN).select(columns).unionByName(rest.select(columns))
     return found if representatives else found.filter(F.col("kind") == REMOVED)
 
 
 def _gathered(places: DataFrame) -> DataFrame:
-    return places.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    return places.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "off")).alias("ranges"))
 
 
 def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
@@ -191,10 +213,11 @@ def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     texts = keyed(docs, doc_id, text)
     found = sorted_runs(scratch, "anchors", anchors(texts, rule), rule.within, True)
-    open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
-    singles = windows(texts.join(open_spans, ["doc", "th"]), rule)
-    more = sorted_runs(scratch, "windows", singles, rule.within, False)
-    places = found.filter(F.col("kind") == REMOVED).unionByName(more)
+    places = found.filter(F.col("kind") == REMOVED)
+    for step in rule.steps:
+        open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
+        found = sorted_runs(scratch, f"step{step}", blocks(texts.join(open_spans, ["doc", "th"]), rule, step), rule.within, step > 1)
+        places = places.unionByName(found.filter(F.col("kind") == REMOVED))
     return scratch.write("repeats", _gathered(places))
 
 
@@ -211,7 +234,7 @@ def cut(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text")
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
         _, bounds, spans = (None, texts.offsets, ()) if rule.unit == "bytes" else rule.units(texts)
-        of, lo, n = _ranges(rows)
+        of, lo, n, _ = _ranges(rows)
         gone = covered(int(bounds[-1]), bounds[of] + lo, bounds[of] + lo + n - 1 + rule.length)
         touched = np.zeros(len(texts), bool)
         touched[of] = True

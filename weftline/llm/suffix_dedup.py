@@ -7,7 +7,9 @@ prefix is past the threshold of 100 bytes:
 * round 1 sorts positions by the name of 37 bytes; unique ones drop out;
 * the same sort ranks by the pair (37 bytes, the span extended both ways past
   100 bytes); equal spans are repeats, one of each goes on;
-* round 2 sorts what is left by the pair (bytes 0-63, bytes 36-99) of each
+* round 2 sorts what is left by names of 93 bytes, which blocks of 8 windows
+  share, paired with the block's span; unique ones drop out again;
+* round 3 sorts what is left by the pair (bytes 0-63, bytes 36-99) of each
   window, two names at an offset, which is past the threshold.
 
 Round 1 takes the suffixes of winnowed anchors only, one in about 32: sorting
@@ -31,11 +33,12 @@ from weftline.llm.repeats import Rule, cut
 LENGTH = 100
 GRAM = 37
 HEAD = 64
+STEPS = (8, 1)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with n_units (bytes), removed (maximal byte runs) and kept (the bytes left)."""
-    return cut(docs, Rule("bytes", LENGTH, GRAM, within=True, head=HEAD), doc_id, text)
+    return cut(docs, Rule("bytes", LENGTH, GRAM, within=True, head=HEAD, steps=STEPS), doc_id, text)
 
 
 def digests(found: DataFrame) -> DataFrame:
