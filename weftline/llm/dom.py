@@ -17,7 +17,8 @@ MARKS = frozenset(
 CONTAINERS = frozenset("html body div section article main table tbody tr td center".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol table article section main div body html dl select".split())
-CONSTANT_PAGES = 3
+#: A text is template if it is the same on so many sampled pages at least, and on so large a share of them.
+CONSTANT_PAGES, MOST_PAGES = 3, 0.6
 SHARE = 0.8
 
 
@@ -202,13 +203,24 @@ def main_path(root: Node, constant: set[int]) -> list[Node]:
     return path
 
 
+def _count(node: Node) -> int:
+    total, todo = 0, [node]
+    while todo:
+        total += 1
+        todo.extend(todo.pop().elements())
+    return total
+
+
 def induce(pages: list[str]) -> dict:
     """The wrapper of same-host pages: labels of the path to the content, and texts that all pages share."""
     trees = [parse(p) for p in pages]
     if not trees:
         return {"path": [], "constants": []}
-    base, seen = trees[0], {}
-    for tree in trees[1:]:
+    trees.sort(key=_count, reverse=True)
+    base, seen = trees[len(trees) // 3], {}  # neither the largest page nor a stub
+    for tree in trees:
+        if tree is base:
+            continue
         pairs: list[tuple[Node, Node]] = []
         match(base, tree, pairs)
         for x, y in pairs:
@@ -219,7 +231,7 @@ def induce(pages: list[str]) -> dict:
     while todo:
         node = todo.pop()
         text, others = own_text(node), seen.get(id(node), [])
-        if text and len(trees) >= CONSTANT_PAGES and len(others) == len(trees) - 1 and all(o == text for o in others):
+        if text and len(others) >= max(CONSTANT_PAGES - 1, MOST_PAGES * (len(trees) - 1)) and all(o == text for o in others):
             constant.add(id(node))
             texts.add(text)
         todo.extend(node.elements())
