@@ -32,7 +32,7 @@ from weftline.llm.kernels import Texts
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 2000
-WORDS = 200_000
+WORDS = 50_000
 LONGEST = 4
 BACKOFF = math.log(0.4)
 KEPT_WORDS = 1 << 16
@@ -74,27 +74,45 @@ class Model:
         self.known = len(words)
         self.table = np.zeros((self.known + KEPT_WORDS, len(names)))
         self.table[: self.known] = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * max(len(words), 1)))
-        self.grams: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+        self.grams: list[dict[str, int]] = [{}]
+        self.gram_tables = [np.zeros((0, len(names)))]
         for size in range(1, LONGEST + 1):
-            sums: dict[str, np.ndarray] = {}
-            for (word, _), c in zip(words, counts, strict=True):
-                for g, times in Counter(self.split(word, size)).items():
-                    sums[g] = sums[g] + times * c if g in sums else times * c
-            total = sum(sums.values(), np.zeros(len(names)))
-            self.grams[size] = {g: np.log((c + 0.1) / (total + 0.1 * len(sums))) for g, c in sums.items()}
+            index: dict[str, int] = {}
+            ids, owner = [], []
+            for k, (word, _) in enumerate(words):
+                found = self.split(word, size)
+                ids += [index.setdefault(g, len(index)) for g in found]
+                owner += [k] * len(found)
+            sums = np.zeros((len(index), len(names)))
+            np.add.at(sums, ids, counts[owner])
+            self.grams.append(index)
+            self.gram_tables.append(np.log((sums + 0.1) / (sums.sum(0) + 0.1 * max(len(index), 1))))
 
     @staticmethod
     def split(word: str, size: int) -> list[str]:
+        if size == 1:
+            return list(word)
         word = f" {word} "
         return [word[i : i + size] for i in range(len(word) - size + 1)]
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams that any language knows, at a penalty for each step down."""
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """For each word the mean log frequency of its longest n-grams that any language knows, at a penalty for each step down."""
+        out, left = np.zeros((len(words), len(self.names))), range(len(words))
         for size in range(LONGEST, 0, -1):
-            found = [self.grams[size][g] for g in self.split(word, size) if g in self.grams[size] and g != " "]
-            if found:
-                return np.mean(found, 0) + (LONGEST - size + 1) * BACKOFF
-        return np.zeros(len(self.names))
+            index, ids, sizes, done, rest = self.grams[size], [], [], [], []
+            for k in left:
+                found = [index[g] for g in self.split(words[k], size) if g in index]
+                if found:
+                    ids += found
+                    sizes.append(len(found))
+                    done.append(k)
+                else:
+                    rest.append(k)
+            if done:
+                starts = np.cumsum([0, *sizes[:-1]])
+                out[done] = np.add.reduceat(self.gram_tables[size][ids], starts) / np.array(sizes)[:, None] + (LONGEST - size) * BACKOFF
+            left = rest
+        return out + BACKOFF
 
     def score(self, text: str) -> tuple[str, float]:
         """The best language and its share of the probability, by the mean score of a word."""
@@ -107,11 +125,11 @@ class Model:
             self.index = {w: i for w, i in self.index.items() if i < self.known}
             new = [w for w in counts if w not in self.index]
         total, room = np.zeros(len(self.names)), len(self.table) - len(self.index)
-        for word in new[:room]:
-            self.table[len(self.index)] = self.unseen(word)
-            self.index[word] = len(self.index)
-        for word in new[room:]:
-            total += counts.pop(word) * self.unseen(word)
+        values, at = self.unseen(new), len(self.index)
+        self.table[at : at + min(room, len(new))] = values[:room]
+        self.index.update((w, at + k) for k, w in enumerate(new[:room]))
+        for word, value in zip(new[room:], values[room:], strict=True):
+            total += counts.pop(word) * value
         ids = [self.index[w] for w in counts]
         return self._best(total + np.array(list(counts.values()), float) @ self.table[ids], len(words))
 
