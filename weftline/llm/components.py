@@ -19,15 +19,12 @@ def components(scratch: Scratch, name: str, links: DataFrame) -> DataFrame:
     labels = scratch.write(f"{name}-0", both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     turn = 0
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = scratch.write(f"{name}-near{turn}", near)
-        stepped = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        stepped = scratch.write(f"{name}-step{turn}", stepped)
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        stepped = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stepped.join(up, "label").select("node", "before", F.least("label", "up").alias("label"))
         turn += 1
-        labels = scratch.write(f"{name}-{turn}", new)
-        scratch.drop(f"{name}-near{turn - 1}", f"{name}-step{turn - 1}", f"{name}-{turn - 1}")
+        labels = scratch.write(f"{name}-{turn}", stepped.join(up, "label").select("node", "before", F.least("label", "up").alias("label")))
+        scratch.drop(f"{name}-{turn - 1}")
         if labels.filter("label <> before").limit(1).count() == 0:
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -111,11 +111,11 @@ def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
     the original has the highest, as each copy lacks some of its tokens.
     """
     posted = classes.select("node", F.explode("tokens").alias("token"))
-    shared = scratch.write("frequencies", posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = scratch.write("frequencies", posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), heavy=True)
     ranked = posted.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     score = F.aggregate("ranked", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", score.alias("score"), F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
-    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "score"))
+    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "score"), heavy=True)
     scratch.drop("frequencies")
     return postings
 
@@ -136,11 +136,11 @@ class Links:
         pairs = self.scratch.write(f"pairs{self.round}", new)
         side = lambda table, node, column: table.select(F.col("node").alias(node), F.col(column).alias(f"{column}_{node}"))
         alike = pairs.join(side(self.tokens, "a", "tokens"), "a").join(side(self.tokens, "b", "tokens"), "b")
-        alike = self.scratch.write(f"alike{self.round}", alike.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"))
+        alike = self.scratch.write(f"alike{self.round}", alike.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"), heavy=True)
         both = alike.join(side(self.members, "a", "members"), "a").join(side(self.members, "b", "members"), "b")
         shared = F.size(F.array_intersect("members_a", "members_b"))
         union = F.size("members_a") + F.size("members_b") - shared
-        links = self.scratch.write(f"links{self.round}", both.filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"))
+        links = self.scratch.write(f"links{self.round}", both.filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"), heavy=True)
         self.links = links if self.links is None else self.links.unionByName(links)
         found = links.limit(1).count()
         if found:
@@ -191,12 +191,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed_rows = scratch.write("rows", signatures(texts))
     least = F.min(F.struct("doc", "th"))
     classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"))
-    classes = scratch.write("classes", classes.select("fa", "fb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th"), "tokens"))
+    classes = scratch.write("classes", classes.select("fa", "fb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th"), "tokens"), heavy=True)
     postings = _postings(scratch, classes)
-    postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n", "score"))
+    postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n", "score"), heavy=True)
+    scratch.drop("postings")
     wanted = scratch.write("wanted", postings.select("node").distinct())
     some = classes.join(wanted, "node", "left_semi")
-    members = scratch.write("members", member_sets(texts.join(some.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_semi")))
+    members = scratch.write("members", member_sets(texts.join(some.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_semi")), heavy=True)
     tokens = scratch.write("tokens", some.select("node", "tokens"))
     links = Links(scratch, tokens, members)
     first = F.max(F.struct("score", "node", "comp", "n")).alias("l")

@@ -195,7 +195,7 @@ def sorted_runs(scratch: Scratch, name: str, places: DataFrame, within: bool, re
     """PLACE_COLUMNS and kind of the places that repeat an earlier one, and of representatives if wanted."""
     order = ["a", "b", "doc", "lo", "th"]
     ranked = places.repartitionByRange(*order).sortWithinPartitions(*order)
-    settled = scratch.write(name, ranked.mapInArrow(lambda batches: _settle(batches, within, representatives), f"{PLACES}, kind byte"))
+    settled = scratch.write(name, ranked.mapInArrow(lambda batches: _settle(batches, within, representatives), f"{PLACES}, kind byte"), heavy=True)
     place = F.struct("doc", "lo") if within else F.col("doc")
     edges = settled.filter(F.col("kind") >= OPEN).groupBy("a", "b").agg(F.min(place).alias("first"))
     rest = settled.filter(F.col("kind") == OPEN).join(edges, ["a", "b"]).withColumn("kind", F.when(place > F.col("first"), REMOVED).otherwise(REPRESENTATIVE).cast("byte"))
@@ -218,7 +218,7 @@ def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
         open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
         found = sorted_runs(scratch, f"step{step}", blocks(texts.join(open_spans, ["doc", "th"]), rule, step), rule.within, step > 1)
         places = places.unionByName(found.filter(F.col("kind") == REMOVED))
-    return scratch.write("repeats", _gathered(places))
+    return scratch.write("repeats", _gathered(places), heavy=True)
 
 
 def cut(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

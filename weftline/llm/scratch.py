@@ -53,14 +53,15 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/weftline-{uuid.uuid4().hex}", {}
 
-    def write(self, name: str, df: DataFrame, *partition_by: str) -> DataFrame:
-        """Write the rows, release what computed them, and return a reader of the table."""
+    def write(self, name: str, df: DataFrame, heavy: bool = False) -> DataFrame:
+        """Write the rows and return a reader of the table; heavy: release the shuffle files that computed them."""
         path = f"{self.base}/{name}"
-        df.write.partitionBy(*partition_by).parquet(path)
+        df.write.parquet(path)
         _kept[path] = self.spark
         self.paths[name] = path
         del df
-        self.release()
+        if heavy:
+            self.release()
         return self.spark.read.parquet(path)
 
     def drop(self, *names: str) -> None:
