@@ -166,6 +166,25 @@ def test_html(spark):
     assert [found[i] for i in (20, 21, 22, 23)] == ["", "", "Only text", "no markup at all"]
 
 
+ARTICLE = "<html><body><div id=top>Site name</div><article><h1>{0} title</h1><p>{0} opens with this text</p>{1}<p>{0} ends here</p></article></body></html>"
+
+
+def test_html_keeps_copies():
+    copy = ["One title", "One opens with this text", "One ends here"]
+    copies = [ARTICLE.format("One", "").replace("<body>", f"<body><!-- {i} -->") for i in range(8)]
+    assert dom.extract(copies[0], dom.induce(copies)).split("\n") == copy
+    wrapper = dom.induce(copies + [ARTICLE.format(w, "") for w in ("Two", "Three")])
+    assert dom.extract(copies[0], wrapper).split("\n") == copy
+
+
+def test_html_template_by_place():
+    rows = [ARTICLE.format(w, "").replace("</article>", "<div>Share this page</div></article>") for w in ("One", "Two", "Three", "Four")]
+    wrapper = dom.induce(rows)
+    assert dom.extract(rows[0], wrapper) == "One title\nOne opens with this text\nOne ends here"
+    assert "Share this page" in dom.extract(ARTICLE.format("Five", "<p>Share this page</p>"), wrapper)
+    assert "Share this page" in dom.extract(ARTICLE.format("Five", "<div>Share this page</div>"), wrapper)
+
+
 def test_tree_matching():
     pairs = []
     dom.match(dom.parse("<ul><li>a<li>b<li>c</ul>"), dom.parse("<ul><li>x<p>y</p><li>z</ul>"), pairs)

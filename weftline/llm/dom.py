@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -17,9 +18,11 @@ MARKS = frozenset(
 CONTAINERS = frozenset("html body div section article main table tbody tr td center".split())
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol table article section main div body html dl select".split())
-#: A text is template if it is the same on so many sampled pages at least, and on so large a share of them.
+#: A block is template if it is the same, at one place, on so many sampled pages of different content at least, and on so large a share of them.
 CONSTANT_PAGES, MOST_PAGES = 3, 0.6
 SHARE = 0.8
+#: Two pages are of different content if each has so large a share of its text to itself.
+OWN_SHARE = 0.25
 
 
 class Node:
@@ -97,16 +100,17 @@ def dropped(node: Node, in_article: bool) -> bool:
     return bool(node.marks) and node.tag not in ("body", "html", "article", "main") and not MARKS.isdisjoint(re.split(r"[\s_-]+", node.marks))
 
 
-def blocks(root: Node, constants: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks below an element in page order, white space collapsed."""
-    out: list[str] = []
+def runs(root: Node) -> list[tuple[Node, str]]:
+    """(owner, text) of the blocks below an element in page order, white space collapsed; the owner is the block element around the text."""
+    out: list[tuple[Node, str]] = []
     buffer: list[str] = []
+    owners = [root]
 
     def end() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
-        if text and text not in constants:
-            out.append(text)
+        if text:
+            out.append((owners[-1], text))
 
     stack: list[tuple[object, bool, bool]] = [(root, True, root.tag in ("article", "main"))]
     while stack:
@@ -115,6 +119,7 @@ def blocks(root: Node, constants: frozenset[str] = frozenset()) -> list[str]:
             buffer.append(item)
         elif not opening:
             end()
+            owners.pop()
         elif item is root or not dropped(item, inside):
             if item.tag in ("br", "hr", "wbr", "img"):
                 if item.tag == "hr":
@@ -124,6 +129,7 @@ def blocks(root: Node, constants: frozenset[str] = frozenset()) -> list[str]:
                 continue
             if item.tag not in INLINE:
                 end()
+                owners.append(item)
                 stack.append((item, False, inside))
             within = inside or item.tag in ("article", "main")
             stack.extend((c, True, within) for c in reversed(item.children))
@@ -131,6 +137,19 @@ def blocks(root: Node, constants: frozenset[str] = frozenset()) -> list[str]:
     return out
 
 
+def place(node: Node) -> tuple[str, int, int]:
+    """(labels from the document down, place among its siblings from the first, from the last)."""
+    labels, at = [], node
+    while at.parent is not None:
+        labels.append(at.label)
+        at = at.parent
+    if node.parent is None:
+        return "", 0, 0
+    beside = node.parent.elements()
+    k = next(i for i, c in enumerate(beside) if c is node)
+    return "/".join(reversed(labels)), k, len(beside) - 1 - k
+
+
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> None:
     """Simple tree matching: the alignment of two trees with most matching nodes, appended to pairs."""
     memo: dict[tuple[int, int], int] = {}
@@ -211,31 +230,80 @@ def _count(node: Node) -> int:
     return total
 
 
+def distinct(trees: list[Node]) -> list[Node]:
+    """The trees less those whose content is mostly that of one before: copies of an article are no evidence of a template."""
+    kept: list[tuple[Node, Counter]] = []
+    for tree in trees:
+        mine = Counter({text: len(text) for _, text in runs(main_path(tree, set())[-1])})
+        own = lambda a, b: sum(n for t, n in a.items() if t not in b) >= OWN_SHARE * sum(a.values())
+        if mine and all(own(mine, other) and own(other, mine) for _, other in kept):
+            kept.append((tree, mine))
+    return [tree for tree, _ in kept]
+
+
 def induce(pages: list[str]) -> dict:
-    """The wrapper of same-host pages: labels of the path to the content, and texts that all pages share."""
+    """The wrapper of same-host pages: labels of the path to the content, and blocks that pages of different content share.
+
+    A constant is (labels down to its element, text, place from the first sibling, from the last); a place that varies is None.
+    """
     trees = [parse(p) for p in pages]
+    trees = distinct(sorted(trees, key=_count, reverse=True))
     if not trees:
         return {"path": [], "constants": []}
-    trees.sort(key=_count, reverse=True)
     base, seen = trees[len(trees) // 3], {}  # neither the largest page nor a stub
     for tree in trees:
         if tree is base:
             continue
         pairs: list[tuple[Node, Node]] = []
         match(base, tree, pairs)
+        of = owned(tree)
         for x, y in pairs:
-            seen.setdefault(id(x), []).append(own_text(y))
+            seen.setdefault(id(x), []).append((y, of.get(id(y), ())))
+    enough = max(CONSTANT_PAGES - 1, MOST_PAGES * (len(trees) - 1))
     constant: set[int] = set()
-    texts: set[str] = set()
     todo = [base]
     while todo:
         node = todo.pop()
         text, others = own_text(node), seen.get(id(node), [])
-        if text and len(others) >= max(CONSTANT_PAGES - 1, MOST_PAGES * (len(trees) - 1)) and all(o == text for o in others):
+        if text and len(others) >= enough and all(own_text(y) == text for y, _ in others):
             constant.add(id(node))
-            texts.add(text)
         todo.extend(node.elements())
-    return {"path": [n.label for n in main_path(base, constant)[1:]], "constants": sorted(texts)}
+    found = []
+    for node, text in runs(base):
+        others = seen.get(id(node), [])
+        if len(others) >= enough and all(text in of for _, of in others):
+            labels, first, last = place(node)
+            places = [place(y) for y, _ in others]
+            found.append((labels, text, first if all(p[1] == first for p in places) else None, last if all(p[2] == last for p in places) else None))
+    return {"path": [n.label for n in main_path(base, constant)[1:]], "constants": found}
+
+
+def owned(root: Node) -> dict[int, set[str]]:
+    """The texts of the blocks of each owner."""
+    out: dict[int, set[str]] = {}
+    for owner, text in runs(root):
+        out.setdefault(id(owner), set()).add(text)
+    return out
+
+
+def without_template(found: list[tuple[Node, str]], constants: list) -> list[str]:
+    """The texts less the template's: same labels, same text, same place among the siblings.
+
+    If that were most of the page's text, the page is a copy of those that the
+    template was learned from, and it keeps everything.
+    """
+    by: dict[str, list] = {}
+    for labels, text, first, last in constants:
+        by.setdefault(text, []).append((labels, first, last))
+    out, total, often = [], 0, Counter((id(owner.parent), text) for owner, text in found)
+    for owner, text in found:
+        total += len(text)
+        if text in by:
+            labels, first, last = place(owner)
+            if any(k == labels and (f == first or b == last or (f is None and b is None and often[id(owner.parent), text] == 1)) for k, f, b in by[text]):
+                continue
+        out.append(text)
+    return out if 2 * sum(map(len, out)) >= total else [text for _, text in found]
 
 
 def extract(html: str, wrapper: dict | None) -> str:
@@ -255,4 +323,4 @@ def extract(html: str, wrapper: dict | None) -> str:
         inner = max(found, key=lambda c: _mass(c, set())[1])
     if inner.tag in ("article", "main"):
         at = inner
-    return "\n".join(blocks(at, frozenset((wrapper or {}).get("constants", []))))
+    return "\n".join(without_template(runs(at), (wrapper or {}).get("constants", [])))

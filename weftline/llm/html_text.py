@@ -1,10 +1,12 @@
 """HTML extraction by wrapper induction.
 
 Pages of one host share a template. For each host a bounded sample of pages,
-at most SAMPLE_PAGES chosen by a hash of the page, is parsed and aligned by
-simple tree matching. Aligned nodes with one text on all pages are template,
-varying ones are slots; the wrapper is the path to the smallest container that
-holds nearly all text of the slots, and the constant texts. Every page is then
+at most SAMPLE_PAGES chosen by a hash of the page, is parsed, and those of
+different content are aligned by simple tree matching. Aligned nodes with one
+text on all pages are template, varying ones are slots; the wrapper is the path
+to the smallest container that holds nearly all text of the slots, and the
+constant blocks with their places. A block is dropped only at its place, and
+none if that were most of a page, which is then a copy of the sampled ones. Every page is then
 read under its host's wrapper; a page that does not fit it, or is the only one
 of its host, is read under its own heaviest container.
 
@@ -43,7 +45,7 @@ def host(url: str) -> F.Column:
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper): the wrapper of each host, as JSON."""
-    order = F.xxhash64(html, url)
+    order = F.xxhash64(html)  # copies of a page take one slot
     some = pages.filter(F.octet_length(html) <= SAMPLE_BYTES).select(host(url).alias("host"), F.col(html).alias("html"), order.alias("h"))
     picked = some.groupBy("host", F.pmod("h", F.lit(SAMPLE_PAGES)).alias("slot")).agg(F.min_by("html", "h").alias("html"))
 
