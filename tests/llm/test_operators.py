@@ -185,6 +185,16 @@ def test_html_template_by_place():
     assert "Share this page" in dom.extract(ARTICLE.format("Five", "<div>Share this page</div>"), wrapper)
 
 
+def test_html_keeps_whole_articles():
+    nested = "<body><div>Top</div><article><h1>{0} title</h1><p>{0} lead</p><div class=body><p>" + "{0} text is long enough " * 20 + "</p></div></article></body>"
+    rows = [nested.format(w) for w in ("One", "Two", "Three", "Four")]
+    for page in (dom.extract(rows[0], dom.induce(rows)), dom.extract(rows[0], None)):
+        assert page.split("\n")[:2] == ["One title", "One lead"]
+    parts = "<body><div>Top</div><section><p>{0} one</p></section><section><p>{0} and the second section</p></section><section><p>{0} three</p></section></body>"
+    rows = [parts.format(w) for w in ("One", "Two", "Three", "Four")] + ["<body><div>Top</div><section><p>" + "All in one. " * 9 + "</p></section></body>"]
+    assert dom.extract(rows[0], dom.induce(rows)).split("\n") == ["One one", "One and the second section", "One three"]
+
+
 def test_tree_matching():
     pairs = []
     dom.match(dom.parse("<ul><li>a<li>b<li>c</ul>"), dom.parse("<ul><li>x<p>y</p><li>z</ul>"), pairs)

@@ -20,7 +20,6 @@ _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = frozenset("ul ol table article section main div body html dl select".split())
 #: A block is template if it is the same, at one place, on so many sampled pages of different content at least, and on so large a share of them.
 CONSTANT_PAGES, MOST_PAGES = 3, 0.6
-SHARE = 0.8
 #: Two pages are of different content if each has so large a share of its text to itself.
 OWN_SHARE = 0.25
 
@@ -193,33 +192,40 @@ def own_text(node: Node) -> str:
     return " ".join("".join(c for c in node.children if isinstance(c, str)).split())
 
 
-def _mass(node: Node, constant: set[int], in_article: bool = False, in_link: bool = False) -> tuple[dict[int, int], int]:
+def _mass(node: Node, constant: set[int]) -> tuple[dict[int, int], int]:
     """Length of varying text, outside links, below each element that may hold the article."""
     masses: dict[int, int] = {}
-
-    def visit(at: Node, inside: bool, link: bool) -> int:
+    order: list[Node] = []
+    todo = [(node, node.tag in ("article", "main"), False)]
+    while todo:
+        at, inside, link = todo.pop()
         if at is not node and dropped(at, inside):
-            return 0
-        total = 0 if link or id(at) in constant else len(own_text(at))
-        for c in at.elements():
-            total += visit(c, inside or at.tag in ("article", "main"), link or c.tag == "a")
-        masses[id(at)] = total
-        return total
-
-    return masses, visit(node, in_article, in_link)
+            continue
+        order.append(at)
+        masses[id(at)] = 0 if link or id(at) in constant else len(own_text(at))
+        todo.extend((c, inside or at.tag in ("article", "main"), link or c.tag == "a" or (id(at) in constant and c.tag in INLINE)) for c in at.elements())
+    for at in reversed(order):
+        if at is not node:
+            masses[id(at.parent)] += masses[id(at)]
+    return masses, masses[id(node)]
 
 
-def main_path(root: Node, constant: set[int]) -> list[Node]:
-    """From the document down to the smallest container that holds nearly all varying text."""
+def content(root: Node, constant: set[int]) -> list[Node]:
+    """What holds the article: the topmost article or main elements with most of the varying text, else the smallest container of all of it."""
     masses, total = _mass(root, constant)
-    path, at = [root], root
-    while total:
-        heavy = [c for c in at.elements() if c.tag in CONTAINERS and masses.get(id(c), 0) >= SHARE * total]
-        if not heavy:
-            break
-        at = heavy[0]
-        path.append(at)
-    return path
+    named, todo = [], [root]
+    while todo:
+        at = todo.pop()
+        if at.tag in ("article", "main"):
+            named.append(at)
+        else:
+            todo.extend(c for c in reversed(at.elements()) if id(c) in masses)
+    if total and 2 * sum(masses[id(c)] for c in named) >= total:
+        return [c for c in named if masses[id(c)]]
+    at = root
+    while total and (whole := [c for c in at.elements() if c.tag in CONTAINERS and masses.get(id(c)) == total]):
+        at = whole[0]
+    return [at]
 
 
 def _count(node: Node) -> int:
@@ -234,7 +240,7 @@ def distinct(trees: list[Node]) -> list[Node]:
     """The trees less those whose content is mostly that of one before: copies of an article are no evidence of a template."""
     kept: list[tuple[Node, Counter]] = []
     for tree in trees:
-        mine = Counter({text: len(text) for _, text in runs(main_path(tree, set())[-1])})
+        mine = Counter({text: len(text) for part in content(tree, set()) for _, text in runs(part)})
         own = lambda a, b: sum(n for t, n in a.items() if t not in b) >= OWN_SHARE * sum(a.values())
         if mine and all(own(mine, other) and own(other, mine) for _, other in kept):
             kept.append((tree, mine))
@@ -242,14 +248,14 @@ def distinct(trees: list[Node]) -> list[Node]:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of same-host pages: labels of the path to the content, and blocks that pages of different content share.
+    """The wrapper of same-host pages: the blocks that pages of different content share.
 
     A constant is (labels down to its element, text, place from the first sibling, from the last); a place that varies is None.
     """
     trees = [parse(p) for p in pages]
     trees = distinct(sorted(trees, key=_count, reverse=True))
     if not trees:
-        return {"path": [], "constants": []}
+        return {"constants": []}
     base, seen = trees[len(trees) // 3], {}  # neither the largest page nor a stub
     for tree in trees:
         if tree is base:
@@ -260,14 +266,6 @@ def induce(pages: list[str]) -> dict:
         for x, y in pairs:
             seen.setdefault(id(x), []).append((y, of.get(id(y), ())))
     enough = max(CONSTANT_PAGES - 1, MOST_PAGES * (len(trees) - 1))
-    constant: set[int] = set()
-    todo = [base]
-    while todo:
-        node = todo.pop()
-        text, others = own_text(node), seen.get(id(node), [])
-        if text and len(others) >= enough and all(own_text(y) == text for y, _ in others):
-            constant.add(id(node))
-        todo.extend(node.elements())
     found = []
     for node, text in runs(base):
         others = seen.get(id(node), [])
@@ -275,7 +273,7 @@ def induce(pages: list[str]) -> dict:
             labels, first, last = place(node)
             places = [place(y) for y, _ in others]
             found.append((labels, text, first if all(p[1] == first for p in places) else None, last if all(p[2] == last for p in places) else None))
-    return {"path": [n.label for n in main_path(base, constant)[1:]], "constants": found}
+    return {"constants": found}
 
 
 def owned(root: Node) -> dict[int, set[str]]:
@@ -286,41 +284,36 @@ def owned(root: Node) -> dict[int, set[str]]:
     return out
 
 
-def without_template(found: list[tuple[Node, str]], constants: list) -> list[str]:
-    """The texts less the template's: same labels, same text, same place among the siblings.
-
-    If that were most of the page's text, the page is a copy of those that the
-    template was learned from, and it keeps everything.
-    """
+def without_template(found: list[tuple[Node, str]], constants: list) -> list[tuple[Node, str]]:
+    """The blocks less the template's: same labels, same text, same place among the siblings."""
     by: dict[str, list] = {}
     for labels, text, first, last in constants:
         by.setdefault(text, []).append((labels, first, last))
-    out, total, often = [], 0, Counter((id(owner.parent), text) for owner, text in found)
+    out, often = [], Counter((id(owner.parent), text) for owner, text in found)
     for owner, text in found:
-        total += len(text)
         if text in by:
             labels, first, last = place(owner)
             if any(k == labels and (f == first or b == last or (f is None and b is None and often[id(owner.parent), text] == 1)) for k, f, b in by[text]):
                 continue
-        out.append(text)
-    return out if 2 * sum(map(len, out)) >= total else [text for _, text in found]
+        out.append((owner, text))
+    return out
 
 
 def extract(html: str, wrapper: dict | None) -> str:
-    """The main text of a page: its varying slots under the wrapper's path, else under its own heaviest container."""
+    """The main text of a page: what is not its host's template, in the smallest container that holds all of that.
+
+    If the template were most of the content, the page is a copy of those that
+    it was learned from, and keeps everything.
+    """
     root = parse(html)
-    at = root
-    for label in (wrapper or {}).get("path", []):
-        same = [c for c in at.elements() if c.label == label]
-        if not same:
-            at = root
-            break
-        at = same[0] if len(same) == 1 else max(same, key=lambda c: _mass(c, set())[1])
-    if at is root:
-        at = main_path(root, set())[-1]
-    inner = at
-    while inner.tag not in ("article", "main") and (found := [c for c in inner.elements() if c.tag in ("article", "main", "body")]):
-        inner = max(found, key=lambda c: _mass(c, set())[1])
-    if inner.tag in ("article", "main"):
-        at = inner
-    return "\n".join(without_template(runs(at), (wrapper or {}).get("constants", [])))
+    constants = (wrapper or {}).get("constants", [])
+    template: set[int] = set()
+    if constants:
+        every = runs(root)
+        left = without_template(every, constants)
+        if 2 * sum(len(t) for _, t in left) >= sum(len(t) for part in content(root, template) for _, t in runs(part)):
+            template = {id(owner) for owner, _ in every} - {id(owner) for owner, _ in left}
+    found = [pair for part in content(root, template) for pair in runs(part)]
+    left = without_template(found, constants)
+    size = lambda some: sum(len(t) for _, t in some)
+    return "\n".join(t for _, t in (left if 2 * size(left) >= size(found) else found))

@@ -3,12 +3,12 @@
 Pages of one host share a template. For each host a bounded sample of pages,
 at most SAMPLE_PAGES chosen by a hash of the page, is parsed, and those of
 different content are aligned by simple tree matching. Aligned nodes with one
-text on all pages are template, varying ones are slots; the wrapper is the path
-to the smallest container that holds nearly all text of the slots, and the
-constant blocks with their places. A block is dropped only at its place, and
-none if that were most of a page, which is then a copy of the sampled ones. Every page is then
-read under its host's wrapper; a page that does not fit it, or is the only one
-of its host, is read under its own heaviest container.
+text on all pages are template, varying ones are slots; the wrapper is the
+constant blocks with their places. Every page is then read under its host's
+wrapper: its content is the article or main elements if they hold most of the
+text that is not template, else the smallest container that holds all of it. A
+block is dropped from the content only at its place in the template, and none
+if that were most of the content, which is then a copy of the sampled ones.
 
 The sample is picked by a pre-aggregated minimum for each (host, slot), so no
 host is gathered in one task, whatever its share of the pages. Wrappers are
