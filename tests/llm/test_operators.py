@@ -117,6 +117,18 @@ def test_langid_learns(spark):
     assert found.count() > 5 and found.filter("lang <> lang_pred").count() == 0
 
 
+def test_langid_keeps_words_of_small_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "WORDS", 40)
+    letters = "abcdefghijklmnopqrst"
+    big = [(i, " ".join(a + b for a in letters[:10] for b in letters[:10]), "big") for i in range(40)]
+    small = [(100 + i, " ".join("z" + a for a in letters), "small") for i in range(6)]
+    table = spark.createDataFrame(big + small, "doc_id long, text string, lang string")
+    names, words, counts = langid.learn(table)
+    assert names == ["big", "small"] and len(words) == len(counts) and (counts[:, 1] > 0).sum() == 20 and 25 <= (counts[:, 0] > 0).sum() <= 55
+    monkeypatch.setattr(langid, "WORDS", 150)
+    assert (langid.learn(table)[2] > 0).sum(0).tolist() == [100, 20]
+
+
 def test_near_duplicates(docs, clashing, corpus, empty):
     found = near_dedup.verdicts(docs.unionByName(docs)).distinct()
     expected = brute.components(texts(corpus))

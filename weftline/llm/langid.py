@@ -7,7 +7,8 @@ highest sum.
 
 The model is learned from a bounded sample of labelled documents, about
 SAMPLE_DOCS of each language, chosen by a hash of the id; it keeps the WORDS
-most frequent words, so it can be broadcast. Held-out documents (crc32 of the
+most frequent words of each language, so it can be broadcast, and a language
+loses no words to another. Held-out documents (crc32 of the
 id as text leaves remainder HELD_OUT modulo FOLDS) are never learned from.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; null
@@ -24,16 +25,21 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import append_columns
 from weftline.llm.kernels import Texts
+from weftline.llm.scratch import Scratch
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 2000
-WORDS = 50_000
+#: Words kept of each language.
+WORDS = 200_000
 LONGEST = 4
+#: Words whose n-grams are counted at once.
+SLICE = 10_000
 BACKOFF = math.log(0.4)
 KEPT_WORDS = 1 << 16
 UNKNOWN = "und"
@@ -46,31 +52,51 @@ def held_out(doc_id: str) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[tuple[str, list[int]]]]:
-    """(languages, words with their counts in each), from the sample."""
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str], np.ndarray]:
+    """(languages, words, counts of each word in each language), from the sample."""
     usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(lang).collect()}
     if not sizes:
-        return [], []
+        return [], [], np.zeros((0, 0))
     chance = F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), 11) / F.lit(float(1 << 53))
     share = F.lit(1.0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, min(1.0, SAMPLE_DOCS / n)).otherwise(share)
     each = usable.filter(chance < share).select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     counts = each.groupBy("w", "l").count()
-    total = counts.groupBy("w").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"))
-    rows = total.orderBy(F.desc("n"), "w").limit(WORDS).collect()
+    counts = Scratch(docs.sparkSession).write("counts", counts)
     names = sorted(sizes)
-    return names, [(r.w, [r.by.get(k, 0) for k in names]) for r in rows]
+    kept = counts
+    for name, (least, share) in _least_counts(counts).items():
+        lucky = F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int(share * (1 << 20))
+        kept = kept.filter((F.col("l") != name) | (F.col("count") > least) | ((F.col("count") == least) & lucky))
+    by = kept.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"))
+    table = by.select("w", F.array(*[F.coalesce(F.col("by")[k], F.lit(0)) for k in names]).alias("n")).toArrow().combine_chunks()
+    found = pc.list_flatten(table["n"]).to_numpy().reshape(-1, len(names))
+    return names, table["w"].to_pylist(), found
+
+
+def _least_counts(counts: DataFrame) -> dict[str, tuple[int, float]]:
+    """Of languages with over WORDS words, the count below which a word is left out, and the share that stays of those with just that count."""
+    sizes = counts.groupBy("l", "count").agg(F.count("*").alias("n")).orderBy("l", F.desc("count")).collect()  # as many rows as there are different counts
+    out: dict[str, tuple[int, float]] = {}
+    so_far: Counter = Counter()
+    for name, count, n in sizes:
+        if so_far[name] < WORDS < so_far[name] + n:
+            out[name] = (count, (WORDS - so_far[name]) / n)
+        elif so_far[name] == WORDS:
+            out[name] = (count, 0.0)
+        so_far[name] += n
+    return out
 
 
 class Model:
     """Log frequencies of words and of character n-grams for each language."""
 
-    def __init__(self, names: list[str], words: list[tuple[str, list[int]]]):
+    def __init__(self, names: list[str], words: list[str], counts: np.ndarray):
         self.names = names
-        counts = np.array([c for _, c in words], float).reshape(len(words), len(names))
-        self.index = {w: i for i, (w, _) in enumerate(words)}
+        counts = counts.astype(float)
+        self.index = {w: i for i, w in enumerate(words)}
         self.known = len(words)
         self.table = np.zeros((self.known + KEPT_WORDS, len(names)))
         self.table[: self.known] = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * max(len(words), 1)))
@@ -78,16 +104,26 @@ class Model:
         self.gram_tables = [np.zeros((0, len(names)))]
         for size in range(1, LONGEST + 1):
             index: dict[str, int] = {}
-            ids, owner = [], []
-            for k, (word, _) in enumerate(words):
-                found = self.split(word, size)
-                ids += [index.setdefault(g, len(index)) for g in found]
-                owner += [k] * len(found)
-            sums = np.zeros((len(index), len(names)))
-            np.add.at(sums, ids, counts[owner])
+            sums = np.zeros((0, len(names)))
+            for first in range(0, len(words), SLICE):
+                ids, owner = [], []
+                for k in range(first, min(first + SLICE, len(words))):
+                    grams = self.split(words[k], size)
+                    ids += [index.setdefault(g, len(index)) for g in grams]
+                    owner += [k] * len(grams)
+                sums = np.concatenate([sums, np.zeros((len(index) - len(sums), len(names)))])
+                np.add.at(sums, ids, counts[owner])
             self.grams.append(index)
             self.gram_tables.append(np.log((sums + 0.1) / (sums.sum(0) + 0.1 * max(len(index), 1))))
 
+    def __getstate__(self) -> dict:
+        """What is broadcast: the rows for unseen words are empty and stay behind."""
+        return self.__dict__ | {"table": self.table[: self.known]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.table = np.concatenate([self.table, np.zeros((KEPT_WORDS, len(self.names)))])
+
     @staticmethod
     def split(word: str, size: int) -> list[str]:
         if size == 1:
@@ -142,14 +178,14 @@ class Model:
 _models: dict[str, Model] = {}
 
 
-def predict(docs: DataFrame, model: tuple[list[str], list[tuple[str, list[int]]]], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray], text: str = "text") -> DataFrame:
     """The documents with lang_pred and score."""
-    sent, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, token = docs.sparkSession.sparkContext.broadcast(Model(*model)), uuid.uuid4().hex
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
         if token not in _models:
             _models.clear()
-            _models[token] = Model(*sent.value)
+            _models[token] = sent.value
         found = [_models[token].score(texts.bytes_of(t).decode("utf-8", "replace")) for t in range(len(texts))]
         return {"lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
