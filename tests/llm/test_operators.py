@@ -138,6 +138,16 @@ def test_near_duplicates(docs, clashing, corpus, empty):
     assert near_dedup.verdicts(empty).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (None, text("c")), (1, text("c") + " more"), (2, text("d")), (2, text("e")), (None, text("a")), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, (r.text or "-")[0]) for r in near_dedup.survivors(table).collect()]
+    assert sorted(left, key=str) == sorted([(None, "a"), (None, "b"), (1, "c"), (2, "d"), (2, "e"), (None, "-")], key=str)
+    found = near_dedup.verdicts(table).filter("n_shingles > 0")
+    assert found.filter("kept").count() == 6 and found.filter("component_id = 1").count() == 2  # the repeated row is kept twice
+
+
 def test_quality(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(r[0], int(not re.search(r"[|]|!!", r[1] or "")), None) for r in corpus], "doc_id long, quality int, toxic int")
     weights = quality.fit(docs, labels)

@@ -22,9 +22,10 @@ So copies never become all pairs of their group, and every link between
 components that are not yet joined is tried.
 
 Edge cases: null texts and texts without words have an empty set and are
-linked with nothing; a text of one word has one shingle; a null id counts as
-the largest; repeated rows are in one class; an empty table gives an empty
-result. Rows that share a doc_id have equal ids in every comparison.
+linked with nothing; a text of one word has one shingle; repeated rows are in
+one class; an empty table gives an empty result. Nodes are named by their sets,
+so texts that share an id, or have none, are told apart; a component is named
+by its least doc_id, null as the largest, and of texts with that id one is kept.
 """
 
 from __future__ import annotations
@@ -94,12 +95,17 @@ def signatures(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return append_columns(texts_of, "text", kernel, "n long, fa long, fb long, tokens array<long>").drop("text")
 
 
+def named_by_set() -> F.Column:
+    """The node of a class."""
+    return F.xxhash64("fa", "fb", "n")
+
+
 def member_sets(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(node, members): the full set of each text."""
+    """(node, members): the full set of each text of texts_of(node, text)."""
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
         members, bounds = shingle_sets(texts, shingle)
-        return {"node": rows.column(rows.schema.get_field_index("doc")), "members": pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(signed(members)))}
+        return {"node": rows.column(rows.schema.get_field_index("node")), "members": pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(signed(members)))}
 
     return map_texts(texts_of, "text", kernel, "node long, members array<long>")
 
@@ -185,19 +191,19 @@ def _shared_counts(scratch: Scratch, lists: DataFrame, members: DataFrame) -> Da
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows(doc, th, n, fa, fb) of every document; classes(fa, fb, n, node, label)."""
+    """(rows, classes): rows(doc, th, n, fa, fb) of every document; classes(fa, fb, n, node, label, head, head_th), the head being the least document of the component."""
     scratch = Scratch(docs.sparkSession)
-    texts = keyed(docs, doc_id, text)
+    texts = keyed(docs, doc_id, text).withColumn("th", F.xxhash64("text"))
     signed_rows = scratch.write("rows", signatures(texts))
     least = F.min(F.struct("doc", "th"))
     classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"))
-    classes = scratch.write("classes", classes.select("fa", "fb", "n", F.col("m.doc").alias("node"), F.col("m.th").alias("th"), "tokens"), heavy=True)
+    classes = scratch.write("classes", classes.select("fa", "fb", "n", named_by_set().alias("node"), F.col("m.doc").alias("doc"), F.col("m.th").alias("th"), "tokens"), heavy=True)
     postings = _postings(scratch, classes)
     postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n", "score"), heavy=True)
     scratch.drop("postings")
     wanted = scratch.write("wanted", postings.select("node").distinct())
     some = classes.join(wanted, "node", "left_semi")
-    members = scratch.write("members", member_sets(texts.join(some.select(F.col("node").alias("doc"), "th"), ["doc", "th"], "left_semi")), heavy=True)
+    members = scratch.write("members", member_sets(texts.select("doc", "th", "text").join(some.select("node", "doc", "th"), ["doc", "th"]).select("node", "text")), heavy=True)
     tokens = scratch.write("tokens", some.select("node", "tokens"))
     links = Links(scratch, tokens, members)
     first = F.max(F.struct("score", "node", "comp", "n")).alias("l")
@@ -213,31 +219,33 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     enough = sum(THRESHOLD) * F.least("p.m", "q.m") >= THRESHOLD[0] * (F.col("p.n") + F.col("q.n"))
     rest = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n") & enough)
     links.confirm(rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")))
-    named = classes.select("fa", "fb", "n", "node")
+    named = classes.select("fa", "fb", "n", "node", "doc", "th")
     if links.labels is None:
         named = named.withColumn("label", F.col("node"))
     else:
         named = named.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return signed_rows.select("doc", "th", "n", "fa", "fb"), scratch.write("named", named)
+    named = scratch.write("named", named)
+    heads = named.groupBy("label").agg(F.min(F.struct("doc", "th")).alias("m")).select("label", F.col("m.doc").alias("head"), F.col("m.th").alias("head_th"))
+    return signed_rows.select("doc", "th", "n", "fa", "fb"), scratch.write("headed", named.select("fa", "fb", "n", "node", "label").join(heads, "label"))
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     rows, classes = near_classes(docs, doc_id, text)
-    found = rows.join(classes.select("fa", "fb", "n", "label"), ["fa", "fb", "n"], "left")
-    component = F.coalesce("label", "doc")
+    found = rows.join(classes.select("fa", "fb", "n", "head", "head_th"), ["fa", "fb", "n"], "left")
+    component = F.coalesce("head", "doc")
     real = lambda c: F.when(c != LAST_ID, c)
-    return found.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), (F.col("doc") == component).alias("kept"))
+    kept = (F.col("doc") == component) & (F.col("th") == F.coalesce("head_th", "th"))
+    return found.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(component).alias("component_id"), kept.alias("kept"))
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the least id, and all with an empty set; columns as before."""
     rows, classes = near_classes(docs, doc_id, text)
-    labelled = rows.join(classes.select("fa", "fb", "n", "label"), ["fa", "fb", "n"], "left")
-    single = labelled.filter(F.col("doc") == F.col("label")).groupBy("doc").agg(F.min("th").alias("th"), F.lit(True).alias("once"))
-    empty = labelled.filter("label is null").select("doc", "th", F.lit(False).alias("once")).distinct()
+    single = classes.select(F.col("head").alias("doc"), F.col("head_th").alias("th"), F.lit(True).alias("once")).distinct()
+    empty = rows.filter("n = 0").select("doc", "th", F.lit(False).alias("once")).distinct()
     key, tag, once, place = (fresh(docs, f"weftline_{c}") for c in ("doc", "th", "once", "place"))
     wanted = Scratch(docs.sparkSession).write("survivors", single.unionByName(empty)).toDF(key, tag, once)
-    tagged = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).withColumn(tag, F.hash(text))
+    tagged = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).withColumn(tag, F.xxhash64(text))
     met = tagged.join(wanted, [key, tag]).withColumn(place, F.row_number().over(Window.partitionBy(key, tag).orderBy(once)))
     return met.filter(~F.col(once) | (F.col(place) == 1)).select(*[f"`{c}`" for c in docs.columns])
