@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -148,6 +149,27 @@ def test_near_duplicates_without_ids(spark):
     assert found.filter("kept").count() == 6 and found.filter("component_id = 1").count() == 2  # the repeated row is kept twice
 
 
+def test_near_duplicates_in_one_large_group(spark):
+    """Copies at all distances from one text, most a little under the threshold from it and from each other, some linked only with one another."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 360):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(4, 14)):
+            words[k] = rng.choice("abcdefgh")
+        if i % 3 == 0:
+            del words[rng.randrange(100) :][: rng.randint(1, 12)]
+        rows.append((i, " ".join(words)))
+        if i % 9 == 0:
+            words[rng.randrange(120 - 20)] = "again"
+            rows.append((1000 + i, " ".join(words)))
+    expected = brute.components(rows)
+    found = near_dedup.verdicts(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == expected
+    assert 100 < len({x[1] for x in expected.values()}) < 350
+
+
 def test_quality(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(r[0], int(not re.search(r"[|]|!!", r[1] or "")), None) for r in corpus], "doc_id long, quality int, toxic int")
     weights = quality.fit(docs, labels)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from weftline.llm.scratch import Scratch
 
 
-def components(scratch: Scratch, name: str, links: DataFrame) -> DataFrame:
-    """(node, label) of every node of links(a, b); label: the least node that can be reached.
+def components(scratch: Scratch, name: str, links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) of every node of links(a, b), and the name of that table; label: the least node that can be reached.
 
     Each round takes the least label of the neighbours, then the label's label,
     so long chains halve. Hubs are harmless: minima are pre-aggregated, and the
@@ -26,5 +26,6 @@ def components(scratch: Scratch, name: str, links: DataFrame) -> DataFrame:
         labels = scratch.write(f"{name}-{turn}", stepped.join(up, "label").select("node", "before", F.least("label", "up").alias("label")))
         scratch.drop(f"{name}-{turn - 1}")
         if labels.filter("label <> before").limit(1).count() == 0:
-            return labels.select("node", "label")
+            scratch.drop(f"{name}-edges")
+            return labels.select("node", "label"), f"{name}-{turn}"
         labels = labels.select("node", "label")

@@ -7,29 +7,40 @@ posted. Two classes of similarity 0.8 share about 51 of 64 tokens; MATCHES of
 them are asked for, which a pair of that similarity misses with a chance of a
 few in a million.
 
-Prefix merging: tokens that only one class has are dropped, and a class with
-fewer than MATCHES others cannot have a partner. The remaining tokens are
-ordered by rarity, and only the first (count - MATCHES + 1) are posted: two
-classes that share MATCHES tokens meet under one of these. Skip merging: in
-each posting list, members that are already known to be connected are skipped.
-First every list compares its members with one leader, the member whose tokens
-are the most frequent, then with a second one from outside its component, and at last the members that are still in
-different components with each other, if what each shares with any other listed
-class leaves room for the threshold. Pairs pass if their sizes allow the
-threshold, if they share MATCHES tokens, and if their full sets confirm it.
-
-So copies never become all pairs of their group, and every link between
-components that are not yet joined is tried.
+Prefix merging: tokens that only one class has are dropped by one sort, and a
+class with fewer than MATCHES others cannot have a partner. The remaining
+tokens are ordered by rarity, and only the first (count - MATCHES + 1) are
+posted: two classes that share MATCHES tokens meet under one of these.
+
+Skip merging: in each posting list, members that are already known to be
+connected are skipped. First every list compares its members with one leader,
+the member whose tokens are the most frequent, then with a second one from
+outside its component. Lists that still hold several components are settled by
+differences: since every member was compared with the leader, a pair is linked
+only if the shingles in which either differs from the leader overlap by an
+amount that both sizes fix (see _by_differences). Members are posted under the
+rarest of these, again as a prefix, and meet if what follows in both lists
+leaves room for that overlap. Near copies that were edited apart differ from
+the leader in places of their own and never meet, so no list is ever expanded
+into all pairs of its members, and no link is lost.
+
+Pairs pass if their sizes allow the threshold, if their sketches, one byte of
+each token, agree in MATCHES places, and if their full sets confirm it.
 
 Edge cases: null texts and texts without words have an empty set and are
 linked with nothing; a text of one word has one shingle; repeated rows are in
-one class; an empty table gives an empty result. Nodes are named by their sets,
-so texts that share an id, or have none, are told apart; a component is named
-by its least doc_id, null as the largest, and of texts with that id one is kept.
+one class; an empty table gives an empty result; very long texts have as many
+tokens as others, and their whole sets are compared; columns of the input other
+than the two named are not read, and survivors() returns them as they were.
+Nodes are named by their sets, so texts that share an id, or have none, are
+told apart; a component is named by its least doc_id, null as the largest, and
+of texts with that id one is kept.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -110,49 +121,95 @@ def member_sets(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_texts(texts_of, "text", kernel, "node long, members array<long>")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted partition, the rows whose token another row has too; its first and last row may have one elsewhere."""
+    held, follows = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        token = batch.column(0).to_numpy(zero_copy_only=False)
+        same = token[1:] == token[:-1]
+        keep = np.concatenate([[follows], same])
+        keep[:-1] |= same
+        follows, held = bool(keep[-1]), batch.slice(len(token) - 1)
+        kept = batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
+        if kept.num_rows:
+            yield kept
+    if held is not None:
+        yield held
+
+
 def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
-    """(token, node, score): what classes are posted under, after prefix merging.
+    """(token, node, n, score): what classes are posted under, after prefix merging.
 
     score: how often all the tokens of the class occur; in a group of copies
     the original has the highest, as each copy lacks some of its tokens.
     """
-    posted = classes.select("node", F.explode("tokens").alias("token"))
-    shared = scratch.write("frequencies", posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), heavy=True)
-    ranked = posted.join(shared, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    posted = classes.select(F.explode("tokens").alias("token"), "node", F.col("n").cast("int").alias("n"))
+    ranked = posted.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
+    shared = scratch.write("shared", ranked.mapInArrow(_shared, posted.schema), heavy=True)
+    often = scratch.write("often", shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"))
+    ranked = shared.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     score = F.aggregate("ranked", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", score.alias("score"), F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
-    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "score"), heavy=True)
-    scratch.drop("frequencies")
+    prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", "n", score.alias("score"), F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
+    postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "n", "score"), heavy=True)
+    scratch.drop("shared", "often")
     return postings
 
 
+def _sketches(classes: DataFrame) -> DataFrame:
+    """(node, sketch): one byte of each token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(1).flatten().to_numpy().astype(np.uint8).reshape(-1, COORDINATES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "sketch"])
+
+    return classes.select("node", "tokens").mapInArrow(run, "node long, sketch binary")
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of (a, b, sketch_a, sketch_b) whose sketches agree in MATCHES places."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array((one == other).sum(1) >= MATCHES))
+
+
 class Links:
     """Candidate pairs in, confirmed links and components out."""
 
-    def __init__(self, scratch: Scratch, tokens: DataFrame, members: DataFrame):
-        self.scratch, self.tokens, self.members = scratch, tokens, members
+    def __init__(self, scratch: Scratch, sketches: DataFrame, members: DataFrame):
+        self.scratch, self.sketches, self.members = scratch, sketches, members
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
-        self.round = 0
+        self.table, self.round = "", 0
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Add the pairs (a < b, sizes known to fit) that pass both tests; how many there were."""
+    def both(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """The pairs with the full sets of both sides."""
+        side = lambda name: self.members.select(F.col("node").alias(name), F.col("members").alias(f"members_{name}"))
+        return pairs.join(side(a), a).join(side(b), b)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Add the pairs (a < b, sizes known to fit) that pass both tests."""
         self.round += 1
-        new = pairs.distinct() if self.links is None else pairs.distinct().join(self.links.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = self.scratch.write(f"pairs{self.round}", new)
-        side = lambda table, node, column: table.select(F.col("node").alias(node), F.col(column).alias(f"{column}_{node}"))
-        alike = pairs.join(side(self.tokens, "a", "tokens"), "a").join(side(self.tokens, "b", "tokens"), "b")
-        alike = self.scratch.write(f"alike{self.round}", alike.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= MATCHES).select("a", "b"), heavy=True)
-        both = alike.join(side(self.members, "a", "members"), "a").join(side(self.members, "b", "members"), "b")
+        side = lambda node: self.sketches.select(F.col("node").alias(node), F.col("sketch").alias(f"sketch_{node}"))
+        pairs = self.scratch.write(f"pairs{self.round}", pairs.distinct())
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+        alike = self.scratch.write(f"alike{self.round}", met.mapInArrow(_alike, "a long, b long"), heavy=True)
         shared = F.size(F.array_intersect("members_a", "members_b"))
         union = F.size("members_a") + F.size("members_b") - shared
-        links = self.scratch.write(f"links{self.round}", both.filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"), heavy=True)
-        self.links = links if self.links is None else self.links.unionByName(links)
-        found = links.limit(1).count()
-        if found:
-            self.labels = components(self.scratch, f"labels{self.round}", self.links)
+        links = self.scratch.write(f"links{self.round}", self.both(alike, "a", "b").filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"), heavy=True)
         self.scratch.drop(f"pairs{self.round}", f"alike{self.round}")
-        return found
+        if links.limit(1).count():
+            self.links = links if self.links is None else self.links.unionByName(links)
+            before = self.table
+            self.labels, self.table = components(self.scratch, f"labels{self.round}", self.links)
+            if before:
+                self.scratch.drop(before)
 
 
 def _fit(a: str, b: str) -> F.Column:
@@ -160,73 +217,112 @@ def _fit(a: str, b: str) -> F.Column:
     return THRESHOLD[1] * F.least(a, b) >= THRESHOLD[0] * F.greatest(a, b)
 
 
-def _open_lists(scratch: Scratch, name: str, postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, node, n, comp) of the posting lists whose members are in more than one component."""
+def _pair(a: str, b: str) -> list[F.Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _open_lists(scratch: Scratch, name: str, lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, node, n, score, comp) of the posting lists whose members are in more than one component."""
     if labels is None:
-        return scratch.write(name, postings.withColumn("comp", F.col("node")))
-    now = scratch.write(f"{name}-all", postings.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).select("token", "node", "n", "score", "comp"))
-    split = scratch.write(f"{name}-split", now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
-    kept = scratch.write(name, now.join(split, "token", "left_semi"))
-    scratch.drop(f"{name}-all", f"{name}-split")
+        return lists.withColumn("comp", F.col("node"))
+    now = scratch.write(f"{name}-all", lists.select("token", "node", "n", "score").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label"))
+    split = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    kept = scratch.write(name, now.join(split, "token", "left_semi"), heavy=True)
+    scratch.drop(f"{name}-all")
     return kept
 
 
-def _with_leader(scratch: Scratch, name: str, lists: DataFrame, leaders: DataFrame) -> DataFrame:
+def _leader() -> F.Column:
+    """The member of a list whose tokens are the most frequent."""
+    return F.max(F.struct("score", "node", "comp", "n")).alias("l")
+
+
+def _with_leader(lists: DataFrame, leaders: DataFrame) -> DataFrame:
     """Pairs of each list's leader with the members of other components."""
-    leaders = scratch.write(name, leaders)
     met = lists.join(leaders, "token").filter((F.col("comp") != F.col("l.comp")) & (F.col("node") != F.col("l.node")) & _fit("n", "l.n"))
-    return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))
+    return met.select(*_pair("node", "l.node"))
 
 
-def _shared_counts(scratch: Scratch, lists: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, m): how many of a listed class's shingles occur in another listed class.
+def _by_differences(scratch: Scratch, links: Links, lists: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the open lists: all that can be linked and are not yet connected.
 
-    No pair shares more than the lesser m, and the threshold asks for a share of
-    the sum of both sizes; so classes of a group that differ in what only they
-    have are told apart without meeting.
+    A member differs from its leader in a set of d shingles. Two members are
+    linked if and only if they differ from each other in at most
+    (n + n') (y - x) / (y + x) shingles, for a threshold of x / y. They differ
+    in d + d' - 2 o, where o is the overlap of both differences; so with
+    excess = (y + x) d - (y - x) n, a link needs 2 (y + x) o >= excess + excess'.
+    A member's least partner excess thus fixes how long a prefix of its
+    differences, rarest first, has to be posted. Where the sum is not positive
+    the pair is linked whatever the overlap, and comparing with the member of
+    the least excess connects them all.
     """
-    each = members.join(scratch.write("listed", lists.select("node").distinct()), "node", "left_semi").select("node", F.explode("members").alias("x"))
-    shared = scratch.write("shared", each.groupBy("x").agg(F.count("*").alias("df")).filter("df > 1").select("x"))
-    return scratch.write("counts", each.join(shared, "x").groupBy("node").agg(F.count("*").alias("m")))
+    num, den = THRESHOLD
+    leaders = lists.groupBy("token").agg(_leader())
+    met = lists.join(leaders, "token").filter(F.col("node") != F.col("l.node"))
+    met = scratch.write("met", met.select(F.col("l.node").alias("leader"), F.col("l.comp").alias("lcomp"), "node", "comp", "n").distinct(), heavy=True)
+    apart = F.array_union(F.array_except("members_node", "members_leader"), F.array_except("members_leader", "members_node"))
+    apart = links.both(met, "leader", "node").select("leader", "lcomp", "node", "comp", "n", apart.alias("apart"))
+    excess = (F.lit(num + den) * F.size("apart") - F.lit(den - num) * F.col("n")).cast("long")
+    apart = scratch.write("apart", apart.withColumn("excess", excess), heavy=True)
+    least = scratch.write("least", apart.groupBy("leader", "comp").agg(F.min(F.struct("excess", "node")).alias("m")))
+    first = least.groupBy("leader").agg(F.min(F.struct("m.excess", "comp", "m.node")).alias("f"))
+    second = least.join(first, "leader").filter(F.col("comp") != F.col("f.comp")).groupBy("leader", "f").agg(F.min("m.excess").alias("second"))
+    partner = F.when(F.col("comp") == F.col("f.comp"), F.col("second")).otherwise(F.col("f.excess"))
+    bounded = apart.join(second, "leader").withColumn("sum", F.col("excess") + partner)
+    bounded = scratch.write("bounded", bounded.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("sum") / (2 * (num + den))))), heavy=True)
+    sure = bounded.filter((F.col("comp") != F.col("f.comp")) & (F.col("sum") <= 0)).select(*_pair("node", "f.node"))
+    columns = ["leader", "lcomp", "node", "comp", "n", "excess", "need"]
+    each = bounded.filter(F.size("apart") >= F.col("need")).select(*columns, F.explode("apart").alias("x"))
+    often = scratch.write("often", each.groupBy("leader", "x").agg(F.count("*").alias("df")).filter("df > 1"))
+    ranked = each.join(often, ["leader", "x"]).groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    prefix = F.slice("xs", 1, F.greatest(F.lit(0), F.size("xs") - F.col("need").cast("int") + 1))
+    posted = ranked.select("leader", "lcomp", "node", "comp", "n", "excess", F.size("xs").alias("m"), F.posexplode(prefix).alias("at", "x"))
+    posted = scratch.write("differences", posted.select("leader", "lcomp", "node", "comp", "n", "excess", (F.col("m") - F.col("at")).alias("rest"), F.col("x.x").alias("x")), heavy=True)
+    scratch.drop("met", "apart", "least", "often")
+    one, other = posted.filter("comp <> lcomp").alias("p"), posted.alias("q")  # members of the leader's component are connected
+    room = 2 * (num + den) * F.least("p.rest", "q.rest") >= F.col("p.excess") + F.col("q.excess")
+    same = (F.col("p.leader") == F.col("q.leader")) & (F.col("p.x") == F.col("q.x")) & (F.col("p.comp") != F.col("q.comp"))
+    once = (F.col("q.comp") == F.col("q.lcomp")) | (F.col("p.node") < F.col("q.node"))
+    return one.join(other, same & once & _fit("p.n", "q.n") & room).select(*_pair("p.node", "q.node")).unionByName(sure)
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows(doc, th, n, fa, fb) of every document; classes(fa, fb, n, node, label, head, head_th), the head being the least document of the component."""
     scratch = Scratch(docs.sparkSession)
-    texts = keyed(docs, doc_id, text).withColumn("th", F.xxhash64("text"))
-    signed_rows = scratch.write("rows", signatures(texts))
+    texts = keyed(docs, doc_id, text)
+    signed_rows = scratch.write("signatures", signatures(texts))
+    rows = scratch.write("rows", signed_rows.select("doc", "th", "n", "fa", "fb"))
     least = F.min(F.struct("doc", "th"))
     classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"))
     classes = scratch.write("classes", classes.select("fa", "fb", "n", named_by_set().alias("node"), F.col("m.doc").alias("doc"), F.col("m.th").alias("th"), "tokens"), heavy=True)
-    postings = _postings(scratch, classes)
-    postings = scratch.write("lists", postings.join(classes.select("node", "n"), "node").select("token", "node", "n", "score"), heavy=True)
-    scratch.drop("postings")
-    wanted = scratch.write("wanted", postings.select("node").distinct())
+    scratch.drop("signatures")
+    lists = _postings(scratch, classes)
+    wanted = scratch.write("wanted", lists.select("node").distinct())
     some = classes.join(wanted, "node", "left_semi")
-    members = scratch.write("members", member_sets(texts.select("doc", "th", "text").join(some.select("node", "doc", "th"), ["doc", "th"]).select("node", "text")), heavy=True)
-    tokens = scratch.write("tokens", some.select("node", "tokens"))
-    links = Links(scratch, tokens, members)
-    first = F.max(F.struct("score", "node", "comp", "n")).alias("l")
-    lists = _open_lists(scratch, "open1", postings, None)
-    links.confirm(_with_leader(scratch, "leaders1", lists, lists.groupBy("token").agg(first)))
-    lists = _open_lists(scratch, "open2", postings, links.labels)
-    heads = scratch.write("heads2", lists.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("h")))
+    sketches = scratch.write("sketches", _sketches(some), heavy=True)
+    reps = scratch.write("reps", some.select("node", "doc", "th"))
+    named = scratch.write("named", classes.select("fa", "fb", "n", "node", "doc", "th"), heavy=True)
+    scratch.drop("classes", "wanted")
+    members = scratch.write("members", member_sets(texts.join(reps, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), heavy=True)
+    scratch.drop("reps")
+    links = Links(scratch, sketches, members)
+    lists = _open_lists(scratch, "open1", lists, None)
+    links.confirm(_with_leader(lists, lists.groupBy("token").agg(_leader())))
+    lists = _open_lists(scratch, "open2", lists, links.labels)
+    heads = lists.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("h"))
     outside = lists.join(heads, "token").filter(F.col("comp") != F.col("h.comp"))
-    links.confirm(_with_leader(scratch, "leaders2", lists, outside.groupBy("token").agg(first)))
-    lists = _open_lists(scratch, "open3", postings, links.labels)
-    lists = scratch.write("last", lists.join(_shared_counts(scratch, lists, members), "node").filter(THRESHOLD[1] * F.col("m") >= THRESHOLD[0] * F.col("n")))
-    one, other = lists.alias("p"), lists.alias("q")
-    enough = sum(THRESHOLD) * F.least("p.m", "q.m") >= THRESHOLD[0] * (F.col("p.n") + F.col("q.n"))
-    rest = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n") & enough)
-    links.confirm(rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")))
-    named = classes.select("fa", "fb", "n", "node", "doc", "th")
+    links.confirm(_with_leader(lists, outside.groupBy("token").agg(_leader())))
+    lists = _open_lists(scratch, "open3", lists, links.labels)
+    links.confirm(_by_differences(scratch, links, lists))
     if links.labels is None:
-        named = named.withColumn("label", F.col("node"))
+        labelled = named.withColumn("label", F.col("node"))
     else:
-        named = named.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = scratch.write("named", named)
-    heads = named.groupBy("label").agg(F.min(F.struct("doc", "th")).alias("m")).select("label", F.col("m.doc").alias("head"), F.col("m.th").alias("head_th"))
-    return signed_rows.select("doc", "th", "n", "fa", "fb"), scratch.write("headed", named.select("fa", "fb", "n", "node", "label").join(heads, "label"))
+        labelled = named.join(links.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = scratch.write("labelled", labelled)
+    heads = labelled.groupBy("label").agg(F.min(F.struct("doc", "th")).alias("m")).select("label", F.col("m.doc").alias("head"), F.col("m.th").alias("head_th"))
+    headed = scratch.write("headed", labelled.select("fa", "fb", "n", "node", "label").join(heads, "label"))
+    scratch.drop_all_but("rows", "headed")
+    return rows, headed
 
 
 def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -39,7 +39,7 @@ from weftline.llm.kernels import NON_SPACE, Prefix, Texts, U, covered, mix, sign
 from weftline.llm.scratch import Scratch
 
 LAST_ID = (1 << 63) - 1
-PLACES = "a long, b long, doc long, lo int, th int, n int, off int"
+PLACES = "a long, b long, doc long, lo int, th long, n int, off int"
 PLACE_COLUMNS = ("doc", "lo", "th", "n", "off")
 REMOVED, REPRESENTATIVE, OPEN, EDGE = 0, 1, 2, 3
 
@@ -70,7 +70,7 @@ class Rule:
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc: the id, null as the largest; th: tells texts of equal ids apart; text."""
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.hash(text).alias("th"), F.col(text).alias("text"))
+    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
 
 
 def _ids(rows: pa.RecordBatch, name: str) -> np.ndarray:
@@ -230,7 +230,7 @@ def cut(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text")
     docs = without(docs, ["doc", "th", "ranges", "n_units", "removed", "kept"])
     ranges = repeated(docs, rule, doc_id, text)
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    with_ranges = docs.withColumn("doc", doc).withColumn("th", F.hash(text)).join(ranges, ["doc", "th"], "left")
+    with_ranges = docs.withColumn("doc", doc).withColumn("th", F.xxhash64(text)).join(ranges, ["doc", "th"], "left")
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
         _, bounds, spans = (None, texts.offsets, ()) if rule.unit == "bytes" else rule.units(texts)

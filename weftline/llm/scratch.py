@@ -68,6 +68,10 @@ class Scratch:
         for name in names:
             remove(self.spark, self.paths.pop(name))
 
+    def drop_all_but(self, *names: str) -> None:
+        """Drop what is not needed to read the result."""
+        self.drop(*[n for n in self.paths if n not in names])
+
     def release(self) -> None:
         """Let Spark delete shuffle files of plans that are no longer referenced."""
         gc.collect()
