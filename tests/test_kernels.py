@@ -49,6 +49,17 @@ def test_word_alignment_follows_the_table(whole, ref, hyp, penalty):
         assert back[s.ref_to][s.hyp_to] == (s.ref_from, s.hyp_from)
 
 
+def test_long_alignment_keeps_few_rows(monkeypatch):
+    monkeypatch.setattr(worddp, "CELLS", 1)
+    rng = np.random.default_rng(5)
+    ref = rng.choice(list("abcdefgh"), 900).tolist()
+    hyp = [w for k, w in enumerate(ref[100:800]) if k % 11]
+    steps, score = worddp.align(ref, hyp)
+    h, back, end, best = table_align(ref, hyp, worddp.Scores(), True)
+    assert score == best and (steps[-1].ref_to, steps[-1].hyp_to) == end and len(steps) > 600
+    assert all(back[s.ref_to][s.hyp_to] == (s.ref_from, s.hyp_from) for s in steps)
+
+
 def test_golden_alignment():
     steps, score = worddp.align("the cat sat on the mat".split(), "cat sat down".split())
     assert [(s.ref_from, s.hyp_from, s.ref_to, s.hyp_to) for s in steps] == [(1, 0, 2, 1), (2, 1, 3, 2), (3, 2, 4, 3)] and score == 1

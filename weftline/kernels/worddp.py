@@ -1,15 +1,20 @@
-"""Word alignment by dynamic programming: semi-global or local, one row of the table at a time."""
+"""Word alignment by dynamic programming: semi-global or local, one row of the table at a time.
+
+Only every so many rows are kept; the moves between two of them are computed
+again when the path is followed back through them. So a table of any size needs
+memory for the square root of its rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
 NONE, DIAGONAL, DELETION, INSERTION = 0, 1, 2, 3
-#: Largest table that is aligned at once.
-MOST_CELLS = 400_000_000
+#: Moves kept at once at least; smaller tables are kept whole.
+CELLS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -39,58 +44,93 @@ def align(ref: Sequence[str], hyp: Sequence[str], scores: Scores | None = None,
     insertion only if strictly better; the last best end wins.
     """
     scores = scores or Scores()
-    n, m = len(ref), len(hyp)
-    if n * m > MOST_CELLS:
-        raise ValueError(f"{n} x {m} words are too many to align at once")
-    codes = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
-    h = np.array([codes[w] for w in hyp], np.int64)
-    back = np.zeros((n + 1, m + 1), np.int8)
-    steps_right = np.arange(m + 1, dtype=np.int64) * scores.insertion
-    row = steps_right.copy() if whole_hyp else np.zeros(m + 1, np.int64)
-    if whole_hyp:
-        back[0, 1:] = INSERTION
-    best, end = -(1 << 60), (0, 0)
-    for r in range(1, n + 1):
-        if similarity is None:
-            gain = np.where(h == codes[ref[r - 1]], scores.match, scores.substitution)
-        else:
-            gain = np.array([similarity(ref[r - 1], w) for w in hyp], np.int64)
-        cell = np.full(m + 1, -(m + 2) if whole_hyp else 0, np.int64)
-        cell[0] = 0
-        across = row[:-1] + gain
-        take = across >= cell[1:] if whole_hyp else across > 0
-        cell[1:] = np.where(take, across, cell[1:])
-        back[r, 1:] = np.where(take, DIAGONAL, NONE)
-        down = row[1:] + scores.deletion
-        take = down > cell[1:]
-        cell[1:] = np.where(take, down, cell[1:])
-        back[r, 1:][take] = DELETION
-        reach = np.maximum.accumulate(cell - steps_right) + steps_right
-        take = reach[:-1] + scores.insertion > cell[1:]
-        back[r, 1:][take] = INSERTION
-        row = np.where(np.append(False, take), reach, cell)
+    table = _Table(ref, hyp, scores, whole_hyp, similarity)
+    m, best, end = len(hyp), -(1 << 60), (0, 0)
+    for r, row in table.forward():
         if whole_hyp:
             if m and row[m] >= best:
                 best, end = int(row[m]), (r, m)
         elif m and row[1:].max() >= best:
             best = int(row[1:].max())
             end = (r, int(np.flatnonzero(row[1:] == best)[-1]) + 1)
-    return _trace(ref, hyp, back, end, best, scores, whole_hyp, similarity), best
+    return _trace(table, end, best), best
+
+
+class _Table:
+    """Rows of the alignment table and the moves into their cells."""
+
+    def __init__(self, ref: Sequence[str], hyp: Sequence[str], scores: Scores, whole_hyp: bool, similarity: Callable[[str, str], int] | None):
+        self.ref, self.hyp, self.scores, self.whole_hyp, self.similarity = ref, hyp, scores, whole_hyp, similarity
+        codes = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
+        self.ref_codes = [codes[w] for w in ref]
+        self.hyp_codes = np.array([codes[w] for w in hyp], np.int64)
+        self.across = np.arange(len(hyp) + 1, dtype=np.int64) * scores.insertion
+        self.step = max(1, int(len(ref) ** 0.5), CELLS // (len(hyp) + 1))
+        self.kept = {0: self.across.copy() if whole_hyp else np.zeros(len(hyp) + 1, np.int64)}
+        self.first, self.moves = -1, np.empty((0, 0), np.int8)
+
+    def forward(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(r, row) from the second row on; keeps every step-th row."""
+        row = self.kept[0]
+        for r in range(1, len(self.ref) + 1):
+            row, _ = self.follow(row, r)
+            if r % self.step == 0:
+                self.kept[r] = row
+            yield r, row
+
+    def gain(self, r: int) -> np.ndarray:
+        if self.similarity is None:
+            return np.where(self.hyp_codes == self.ref_codes[r - 1], self.scores.match, self.scores.substitution)
+        return np.array([self.similarity(self.ref[r - 1], w) for w in self.hyp], np.int64)
+
+    def follow(self, row: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row r and the moves into it, from the row before."""
+        m, moves = len(self.hyp), np.zeros(len(self.hyp) + 1, np.int8)
+        cell = np.full(m + 1, -(m + 2) if self.whole_hyp else 0, np.int64)
+        cell[0] = 0
+        across = row[:-1] + self.gain(r)
+        take = across >= cell[1:] if self.whole_hyp else across > 0
+        cell[1:] = np.where(take, across, cell[1:])
+        moves[1:] = np.where(take, DIAGONAL, NONE)
+        down = row[1:] + self.scores.deletion
+        take = down > cell[1:]
+        cell[1:] = np.where(take, down, cell[1:])
+        moves[1:][take] = DELETION
+        reach = np.maximum.accumulate(cell - self.across) + self.across
+        take = reach[:-1] + self.scores.insertion > cell[1:]
+        moves[1:][take] = INSERTION
+        return np.where(np.append(False, take), reach, cell), moves
+
+    def move(self, r: int, c: int) -> int:
+        """How the best path comes into a cell."""
+        if r == 0:
+            return INSERTION if self.whole_hyp and c else NONE
+        first = (r - 1) // self.step * self.step
+        if first != self.first:
+            row, found = self.kept[first], []
+            for k in range(first + 1, min(first + self.step, len(self.ref)) + 1):
+                row, moves = self.follow(row, k)
+                found.append(moves)
+            self.first, self.moves = first, np.stack(found)
+        return int(self.moves[r - first - 1, c])
+
+    def worth(self, r: int, c: int) -> int:
+        """What a diagonal move into a cell gains."""
+        a, b = self.ref[r - 1], self.hyp[c - 1]
+        return self.similarity(a, b) if self.similarity else (self.scores.match if a == b else self.scores.substitution)
 
 
-def _trace(ref, hyp, back, end, score, scores, whole_hyp, similarity) -> list[Step]:
+def _trace(table: _Table, end: tuple[int, int], score: int) -> list[Step]:
     out: list[Step] = []
     r, c = end
-    while (c > 0) if whole_hyp else (score >= 0):
-        code = back[r, c]
+    while (c > 0) if table.whole_hyp else (score >= 0):
+        code = table.move(r, c)
         if code == DIAGONAL:
-            to = (r - 1, c - 1)
-            same = ref[r - 1] == hyp[c - 1]
-            cost = similarity(ref[r - 1], hyp[c - 1]) if similarity else (scores.match if same else scores.substitution)
+            to, cost = (r - 1, c - 1), table.worth(r, c)
         elif code == DELETION:
-            to, cost = (r - 1, c), scores.deletion
+            to, cost = (r - 1, c), table.scores.deletion
         elif code == INSERTION:
-            to, cost = (r, c - 1), scores.insertion
+            to, cost = (r, c - 1), table.scores.insertion
         else:
             to, cost = (0, 0), 0
         if to == (0, 0):

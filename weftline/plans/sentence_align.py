@@ -23,9 +23,9 @@ def _sequence(rows: DataFrame, name: str) -> DataFrame:
 
 
 def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None, whole_hyp: bool = True) -> DataFrame:
-    """(file_id, step, ref_pos, hyp_pos, status) of each aligned pair; files without a partner are left out.
+    """(file_id, step, ref_pos, hyp_pos, status) of each aligned pair.
 
-    A file that cannot be aligned gives one row with its error as status.
+    A file without words on one side gives one row that says so as its status.
     """
     scores = scores or worddp.Scores()
 
@@ -33,15 +33,15 @@ def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None,
     def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
         found, status = [], []
         for r, h in zip(ref, hyp, strict=True):
-            try:
+            if r is None or h is None:
+                found.append([])
+                status.append("no reference words" if r is None else "no hypothesis words")
+            else:
                 found.append([(s.ref_from, s.hyp_from, s.ref_to, s.hyp_to) for s in worddp.align(list(r), list(h), scores, whole_hyp)[0]])
                 status.append("ok")
-            except ValueError as error:
-                found.append([])
-                status.append(str(error))
         return pd.DataFrame({"steps": [[dict(zip(("ref_from", "hyp_from", "ref_to", "hyp_to"), s, strict=True)) for s in x] for x in found], "status": status})
 
-    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id").withColumn("found", run("ref", "hyp"))
+    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id", "full").withColumn("found", run("ref", "hyp"))
     each = aligned.select("file_id", "found.status", F.posexplode_outer("found.steps").alias("step", "s"))
     consumed = lambda a, b: F.when(F.col(f"s.{b}") > F.col(f"s.{a}"), F.col(f"s.{b}") - 1)
     return each.select("file_id", "step", consumed("ref_from", "ref_to").alias("ref_pos"), consumed("hyp_from", "hyp_to").alias("hyp_pos"), "status")
