@@ -55,6 +55,10 @@ from weftline.llm.scratch import Scratch
 SHINGLE = 2
 COORDINATES = 64
 MATCHES = 36
+#: Long lists get another leader as long as the last one linked so large a share of what it was compared with.
+PAYS = 0.1
+#: Posting lists of up to so many members are compared pair by pair.
+SMALL = 16
 #: Similarity threshold as (numerator, denominator).
 THRESHOLD = (80, 100)
 
@@ -193,8 +197,8 @@ class Links:
         side = lambda name: self.members.select(F.col("node").alias(name), F.col("members").alias(f"members_{name}"))
         return pairs.join(side(a), a).join(side(b), b)
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add the pairs (a < b, sizes known to fit) that pass both tests."""
+    def confirm(self, pairs: DataFrame) -> tuple[int, int]:
+        """Add the pairs (a < b, sizes known to fit) that pass both tests; how many there were, and how many passed."""
         self.round += 1
         side = lambda node: self.sketches.select(F.col("node").alias(node), F.col("sketch").alias(f"sketch_{node}"))
         pairs = self.scratch.write(f"pairs{self.round}", pairs.distinct())
@@ -203,13 +207,15 @@ class Links:
         shared = F.size(F.array_intersect("members_a", "members_b"))
         union = F.size("members_a") + F.size("members_b") - shared
         links = self.scratch.write(f"links{self.round}", self.both(alike, "a", "b").filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"), heavy=True)
+        compared, linked = pairs.count(), links.count()
         self.scratch.drop(f"pairs{self.round}", f"alike{self.round}")
-        if links.limit(1).count():
+        if linked:
             self.links = links if self.links is None else self.links.unionByName(links)
             before = self.table
             self.labels, self.table = components(self.scratch, f"labels{self.round}", self.links)
             if before:
                 self.scratch.drop(before)
+        return compared, linked
 
 
 def _fit(a: str, b: str) -> F.Column:
@@ -243,6 +249,36 @@ def _with_leader(lists: DataFrame, leaders: DataFrame) -> DataFrame:
     return met.select(*_pair("node", "l.node"))
 
 
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs (a, b) of short lists, of members in different components."""
+    one, other = lists.alias("p"), lists.alias("q")
+    pairs = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n"))
+    return pairs.select(*_pair("p.node", "q.node"))
+
+
+def _settle_lists(scratch: Scratch, links: Links, lists: DataFrame) -> None:
+    """Confirm all links between members of one list."""
+    lists = _open_lists(scratch, "open1", lists, None)
+    leaders = scratch.write("leaders1", lists.groupBy("token").agg(_leader()))
+    links.confirm(_with_leader(lists, leaders))
+    lists = _open_lists(scratch, "open2", lists, links.labels)
+    sizes = lists.groupBy("token").agg((F.count("*") <= SMALL).alias("small"))
+    sized = scratch.write("sized", lists.join(sizes, "token"), heavy=True)
+    pairs, lists = _all_pairs(sized.filter("small")), sized.filter("not small").drop("small")
+    tried, turn = leaders.select("token", F.col("l.node").alias("node")), 2
+    while True:
+        now = tried if links.labels is None else tried.join(links.labels, "node", "left").select("token", F.coalesce("label", "node").alias("node"))
+        outside = lists.join(now.select("token", F.col("node").alias("comp")), ["token", "comp"], "left_anti")
+        leaders = scratch.write(f"leaders{turn}", outside.groupBy("token").agg(_leader()))
+        met = _with_leader(lists, leaders)
+        compared, linked = links.confirm(pairs.unionByName(met) if turn == 2 else met)
+        lists, turn = _open_lists(scratch, f"open{turn + 1}", lists, links.labels), turn + 1
+        if linked < PAYS * compared or not linked:
+            break
+        tried = tried.unionByName(leaders.select("token", F.col("l.node").alias("node")))
+    links.confirm(_by_differences(scratch, links, lists))
+
+
 def _by_differences(scratch: Scratch, links: Links, lists: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of the open lists: all that can be linked and are not yet connected.
 
@@ -306,14 +342,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     members = scratch.write("members", member_sets(texts.join(reps, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), heavy=True)
     scratch.drop("reps")
     links = Links(scratch, sketches, members)
-    lists = _open_lists(scratch, "open1", lists, None)
-    links.confirm(_with_leader(lists, lists.groupBy("token").agg(_leader())))
-    lists = _open_lists(scratch, "open2", lists, links.labels)
-    heads = lists.groupBy("token").agg(F.max(F.struct("score", "node", "comp")).alias("h"))
-    outside = lists.join(heads, "token").filter(F.col("comp") != F.col("h.comp"))
-    links.confirm(_with_leader(lists, outside.groupBy("token").agg(_leader())))
-    lists = _open_lists(scratch, "open3", lists, links.labels)
-    links.confirm(_by_differences(scratch, links, lists))
+    _settle_lists(scratch, links, lists)
     if links.labels is None:
         labelled = named.withColumn("label", F.col("node"))
     else:
