@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,26 @@ def test_mixing(docs, clashing, corpus, empty):
     assert all(drawn[i] <= 3 for i in size)
 
 
+def test_pivotal_steps_keep_expected_copies():
+    sizes, p, runs = [100, 90, 80, 70, 60, 50, 40, 30, 20, 10], 0.3, 4000
+    rng, up = random.Random(5), [0] * len(sizes)
+    for _ in range(runs):
+        keys = [rng.getrandbits(63) for _ in sizes]
+        batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(["s"] * 10), pa.array(sizes, pa.float64()), pa.array([p] * 10), pa.array([0] * 10)], names=["k", "skey", "size", "p", "block"])
+        taken = {k: x for out in mixing._round(iter([batch]), True) for k, x in zip(out["k"].to_pylist(), out["extra"].to_pylist(), strict=True)}
+        assert len(taken) == 10 and abs(sum(s * taken[k] for s, k in zip(sizes, keys, strict=True)) - p * sum(sizes)) < 100
+        for i, k in enumerate(keys):
+            up[i] += taken[k]
+    error = 4 * (p * (1 - p) / runs) ** 0.5
+    assert all(abs(n / runs - p) < error for n in up), [n / runs for n in up]
+
+
+def test_mixing_with_odd_columns(spark):
+    rows = [(i, f"some words here {i}", "a", {"k": str(i)}, 1) for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, extra map<string,string>, weftline_copies int")
+    assert mixing.mix(table).columns == table.columns and mixing.mix(table).count() == 30
+
+
 def test_langid(docs, corpus, empty):
     model = langid.learn(docs)
     found = {r.doc_id: r for r in langid.predict(docs.drop("lang"), model).collect()}

@@ -7,17 +7,22 @@ source whose target is c times its size takes each document floor(c) times,
 and once more with the fraction of c.
 
 The fractions become whole by pivotal rounding over a reduction tree. In a
-block of a source's documents, largest first, one document carries a fraction
-and is bound up or down, up with a chance equal to its fraction; it exchanges
-words with the next documents until one of the pair is whole, so the sum of
-the block's words stays what it was. At most one document a block stays
-fractional; those of BLOCK blocks meet in a block of the next level, until one
-is left for each source, which goes to the nearer side. Only that last one
-moves the source's total. Chances come from hashes of the rows, so reruns agree.
+block of a source's documents, largest first, two documents that are still
+fractional meet. Let `gain` be the words that the second can give to the first
+before one of both is whole, and `loss` those that the first can give to the
+second: the first gains with a chance of loss / (gain + loss), else it loses.
+So the pair's words stay what they were, and each document's expected copies
+are its fraction. At most one document a block stays fractional; those of BLOCK
+blocks meet in a block of the next level, until one is left for each source,
+which goes up with a chance equal to its fraction. Only that last one, a small
+one, moves the source's total. Each step draws from a hash of both rows, which
+orders nothing, so reruns agree.
 
 Edge cases: a null or empty text has size 0, takes 0 words and no copies;
 rows that are equal in every column are one unit and get equal copies; a null
-source is a source of its own; an empty table gives an empty result.
+source is a source of its own; very long texts count whole; an empty table
+gives an empty result; other columns of the input, whatever their names and
+types, come back as they were.
 """
 
 from __future__ import annotations
@@ -25,15 +30,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.batches import fresh
 from weftline.llm.scratch import Scratch
 
 MOST_COPIES = 3
 BLOCK = 128
 WHOLE = 1e-9
-_UNIT = "k long, skey string, size double, p double, u double"
+_MASK = (1 << 64) - 1
+_UNIT = "k long, skey string, size double, p double"
 
 
 def words(text: str) -> F.Column:
@@ -44,8 +51,8 @@ def words(text: str) -> F.Column:
 def targets(scratch: Scratch, sizes: DataFrame, most: float = MOST_COPIES) -> DataFrame:
     """skey, n, source_size, target of each source of sizes(skey, source, size)."""
     by = sizes.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = scratch.write("sources", by.withColumn("weight", (1 + place % 3).cast("double")))
+    placed = scratch.ranked("sources", by, "place", F.col("source").asc_nulls_last())
+    weighed = placed.withColumn("weight", (1 + F.col("place") % 3).cast("double"))
     total, weight = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
     level, before = (total or 0) / (weight or 1), -1
     top = most * F.col("source_size")
@@ -58,6 +65,21 @@ def targets(scratch: Scratch, sizes: DataFrame, most: float = MOST_COPIES) -> Da
     return weighed.select("skey", "n", "source_size", F.least(F.lit(float(level)) * F.col("weight"), top.cast("double")).alias("target"))
 
 
+def chance(one: int, other: int) -> float:
+    """A number in [0, 1) that two row keys fix."""
+    x = (one * 0x9E3779B97F4A7C15 ^ other * 0xC2B2AE3D27D4EB4F) & _MASK
+    for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> 30)) * factor & _MASK
+    return ((x ^ (x >> 31)) >> 11) / (1 << 53)
+
+
+def meet(s1: float, p1: float, s2: float, p2: float, u: float) -> tuple[float, float]:
+    """The fractions of two units after one pivotal step; at least one of them is 0 or 1."""
+    gain, loss = min((1 - p1) * s1, p2 * s2), min(p1 * s1, (1 - p2) * s2)
+    moved = gain if u * (gain + loss) < loss else -loss
+    return p1 + moved / s1, p2 - moved / s2
+
+
 def _round(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
     """Pivotal rounding within each run of equal (skey, block); rows come sorted.
 
@@ -68,39 +90,30 @@ def _round(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordB
 
     def leave() -> None:
         if carry is not None:
-            k, size, p, skey, u = carry[:5]
-            out.append((k, int(p >= 0.5), skey, u, size, None) if last else (k, None, skey, u, size, p))
+            k, size, p, skey = carry
+            out.append((k, int(chance(k, 0) < p), skey, size, None) if last else (k, None, skey, size, p))
 
     def flush() -> pa.RecordBatch:
-        k, extra, skey, u, size, p = (list(x) for x in zip(*out, strict=True))
+        k, extra, skey, size, p = (list(x) for x in zip(*out, strict=True))
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(skey, pa.string()), pa.array(size, pa.float64()), pa.array(p, pa.float64()), pa.array(u, pa.float64()), pa.array(extra, pa.int32())], names=["k", "skey", "size", "p", "u", "extra"])
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(skey, pa.string()), pa.array(size, pa.float64()), pa.array(p, pa.float64()), pa.array(extra, pa.int32())], names=["k", "skey", "size", "p", "extra"])
 
     for batch in batches:
-        for k, skey, size, p, u, at in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "skey", "size", "p", "u", "block")), strict=True):
+        for k, skey, size, p, at in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("k", "skey", "size", "p", "block")), strict=True):
             if (skey, at) != block:
                 leave()
                 block, carry = (skey, at), None
             if carry is None:
-                carry = [k, size, p, skey, u]
+                carry = (k, size, p, skey)
                 continue
-            up = carry[4] < carry[2] if len(carry) == 5 else carry[5]
-            carry = [*carry[:5], up]
-            if up:
-                moved = min((1 - carry[2]) * carry[1], p * size)
-                carry[2], p = carry[2] + moved / carry[1], p - moved / size
-            else:
-                moved = min(carry[2] * carry[1], (1 - p) * size)
-                carry[2], p = carry[2] - moved / carry[1], p + moved / size
-            mine, other = carry[2], p
-            if min(mine, 1 - mine) <= WHOLE:
-                out.append((carry[0], round(mine), skey, carry[4], carry[1], None))
-                carry = [k, size, p, skey, u]
-                if min(other, 1 - other) <= WHOLE:
-                    out.append((k, round(other), skey, u, size, None))
-                    carry = None
-            else:
-                out.append((k, round(other), skey, u, size, None))
+            mine, other = meet(carry[1], carry[2], size, p, chance(carry[0], k))
+            left = None
+            for unit, fraction in ((carry, mine), ((k, size, p, skey), other)):
+                if min(fraction, 1 - fraction) <= WHOLE:
+                    out.append((unit[0], round(fraction), skey, unit[1], None))
+                else:
+                    left = (unit[0], unit[1], fraction, skey)
+            carry = left
         if len(out) > 50_000:
             yield flush()
     leave()
@@ -124,32 +137,31 @@ def copies(docs: DataFrame, source: str = "source", text: str = "text", most: fl
     unit = unit.join(sources, "skey").withColumn("share", share).withColumn("base", F.floor("share").cast("int"))
     unit = unit.withColumn("p", F.col("share") - F.col("base"))
     whole = (F.col("size") == 0) | (F.least("p", 1 - F.col("p")) <= WHOLE)
-    base = scratch.write("units", unit.select("k", "skey", "size", "n", F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.when(whole & (F.col("p") > 0.5), 1).otherwise(0)).alias("base"), F.when(~whole, F.col("p")).alias("p"), _chance("k").alias("u")))
+    base = scratch.write("units", unit.select("k", "skey", "size", "n", F.when(F.col("size") == 0, 0).otherwise(F.col("base") + F.when(whole & (F.col("p") > 0.5), 1).otherwise(0)).alias("base"), F.when(~whole, F.col("p")).alias("p")))
     widest = rows.groupBy("skey").count().agg(F.max("count")).first()[0] or 0
-    open_units, blocks, done, level = base.filter("p is not null").select("k", "skey", "size", "p", "u", "n"), widest, None, 0
+    open_units, blocks, done, level = base.filter("p is not null").select("k", "skey", "size", "p", "n"), widest, None, 0
     while True:
         blocks = -(-blocks // BLOCK)
         per_source = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(BLOCK ** (level + 1)))) if level == 0 else F.lit(blocks)
-        dealt = open_units.withColumn("block", F.pmod(F.xxhash64("k", F.lit(level)), per_source)).select("k", "skey", "size", "p", "u", "block")
-        ordered = dealt.repartition("skey", "block").sortWithinPartitions("skey", "block", F.desc("size"), "u", "k")
+        dealt = open_units.withColumn("block", F.pmod(F.xxhash64("k", F.lit(level)), per_source)).select("k", "skey", "size", "p", "block")
+        ordered = dealt.repartition("skey", "block").sortWithinPartitions("skey", "block", F.desc("size"), "k")
         last = blocks <= 1
         rounded = scratch.write(f"level{level}", ordered.mapInArrow(lambda b, last=last: _round(b, last), f"{_UNIT}, extra int"))
         settled = rounded.filter("extra is not null").select("k", "extra")
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
-        open_units, level = rounded.filter("extra is null").select("k", "skey", "size", "p", "u"), level + 1
+        open_units, level = rounded.filter("extra is null").select("k", "skey", "size", "p"), level + 1
     units = base.join(done, "k", "left").select("k", (F.col("base") + F.coalesce("extra", F.lit(0))).alias("copies"))
-    return scratch.write("copies", units), sources
-
-
-def _chance(key: str) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit("chance")), 11).cast("double") / F.lit(float(1 << 53))
+    units = scratch.write("copies", units, heavy=True)
+    scratch.drop_all_but("copies", "targets")
+    return units, sources
 
 
 def row_key(docs: DataFrame) -> F.Column:
-    """A hash of all columns of a row."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.to_json(F.struct(*[F.isnull(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])))
+    """A hash of all columns of a row; nulls are told apart from empty values."""
+    values = [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*values, F.to_json(F.struct(*[F.isnull(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])))
 
 
 def source_key(source: str) -> F.Column:
@@ -160,7 +172,7 @@ def source_key(source: str) -> F.Column:
 def mix(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The documents in as many copies as the mix takes of each; columns as before."""
     units, _ = copies(docs, source, text)
-    k, n = "weftline_row_key", "weftline_copies"
+    k, n = fresh(docs, "weftline_row_key"), fresh(docs, "weftline_copies")
     taken = units.filter("copies > 0").select(F.col("k").alias(k), F.col("copies").alias(n))
     found = docs.withColumn(k, row_key(docs)).join(taken, k)
     return found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[f"`{c}`" for c in docs.columns])

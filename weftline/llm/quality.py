@@ -2,23 +2,31 @@
 
 Each line with a word gets features of its bytes and words; Viterbi decoding
 of a two-label chain marks it content or boilerplate, and the share of words
-in content lines decides whether the document stays. Emission and transition
-weights are trained by gradient ascent on the conditional likelihood, on a
-bounded sample of labelled documents (SAMPLE_DOCS of each label, each of at
-most SAMPLE_BYTES), where every line carries its document's label. Without
-labels of both kinds the weights are DEFAULT_WEIGHTS.
+in content lines decides whether the document stays.
+
+Only documents are labelled, so the labels of lines are latent. Training
+alternates: given weights, the lines of each labelled document get the
+marginals of its chain, tilted by one number for the document so that at least
+LEAST_SHARE of its words are expected in lines of its own label (content in
+good ones, boilerplate in bad ones); given these, gradient ascent fits emission
+and transition weights to the expected counts. It starts from lines that all
+carry their document's label, without transitions. A junk document may thus
+keep lines of prose, and a good one a line of boilerplate. The sample is
+bounded: SAMPLE_DOCS documents of each label, each of at most SAMPLE_BYTES.
+Without labels of both kinds the weights are DEFAULT_WEIGHTS.
 
 Base rules come first: a document of under MIN_WORDS words, or of which more
 than half of the words lie in 3-word windows that the text repeats, fails.
 
 Edge cases: null and empty texts have no words, count zero everywhere and fail
-the base rules; a text without line breaks is one line; repeated rows get
-equal results; null labels are no labels.
+the base rules; a text without line breaks is one line; very long texts are
+read and labelled whole; repeated rows get equal results; null labels are no
+labels; an empty table gives an empty result; columns of the input that have
+the name of a result are replaced.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +39,10 @@ MIN_WORDS = 50
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 20_000
 CONTENT_SHARE = 0.5
+#: Share of a labelled document's words that training expects in lines of its own label, at least.
+LEAST_SHARE = 0.6
+#: How often the labels of the training lines are estimated anew.
+ROUNDS = 6
 FEATURES = ("bias", "symbols", "exclaims", "capitals", "same_word", "bars", "short", "sentence_end", "repeated_line", "digits")
 #: Emission weights of the label content, then the transition weight of keeping the label.
 DEFAULT_WEIGHTS = (2.0, -20.0, -20.0, -4.0, -6.0, -6.0, 0.0, 0.5, -1.0, 0.0, 1.0)
@@ -125,46 +137,80 @@ def viterbi(scores: np.ndarray, stay: float) -> np.ndarray:
     return labels
 
 
-def train(texts: list[str], good: list[bool], steps: int = 150, rate: float = 0.3, ridge: float = 0.01) -> tuple[float, ...]:
-    """Weights that maximise the conditional likelihood of the line labels, all chains in lockstep."""
-    if not any(good) or all(good):
-        return DEFAULT_WEIGHTS
+def marginals(scores: np.ndarray, stay: float, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of many chains, one a column: the chance of content of each line, and of one label for a line and the next.
+
+    there: which lines exist; chains start at the first row.
+    """
+    forward, backward = np.zeros((*scores.shape, 2)), np.zeros((*scores.shape, 2))
+    for i in range(len(scores)):
+        if i:
+            a, b = forward[i - 1, :, 0], forward[i - 1, :, 1]
+            forward[i] = np.stack([np.logaddexp(a + stay, b), np.logaddexp(a, b + stay)], 1)
+        forward[i, :, 1] += scores[i]
+    for i in range(len(scores) - 2, -1, -1):
+        a, b = backward[i + 1, :, 0], backward[i + 1, :, 1] + scores[i + 1]
+        now = np.stack([np.logaddexp(a + stay, b), np.logaddexp(a, b + stay)], 1)
+        backward[i] = np.where(there[i + 1][:, None], now, 0)
+    total = forward + backward
+    logz = np.logaddexp(total[..., 0], total[..., 1])
+    content = np.where(there, np.exp(total[..., 1] - logz), 0)
+    same = sum(np.exp(forward[:-1, :, k] + stay + backward[1:, :, k] + k * scores[1:] - logz[1:]) for k in (0, 1))
+    return content, np.where(there[1:], same, 0)
+
+
+def _tilted(scores: np.ndarray, stay: float, there: np.ndarray, words: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals under the least tilt that expects LEAST_SHARE of each chain's words in lines of its own label."""
+    sign, all_words = np.where(good, 1.0, -1.0), words.sum(0)
+    low, high = np.zeros(len(good)), np.zeros(len(good))
+
+    def at(tilt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        content, same = marginals(scores + sign * tilt, stay, there)
+        share = (content * words).sum(0) / all_words
+        return content, same, np.where(good, share, 1 - share) >= LEAST_SHARE
+
+    content, same, enough = at(low)
+    high = np.where(enough, 0.0, 64.0)
+    for _ in range(12):
+        middle = (low + high) / 2
+        content, same, enough = at(middle)
+        low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+    return at(high)[:2]
+
+
+def gradient(w: np.ndarray, x: np.ndarray, there: np.ndarray, content: np.ndarray, same: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected counts under the targets less those under the weights, each chain at its weight."""
+    now, now_same = marginals(x @ w[:-1], w[-1], there)
+    return np.append(np.einsum("ij,ijk->k", (content - now) * weight, x), ((same - now_same) * weight).sum())
+
+
+def train(texts: list[str], good: list[bool], rounds: int = ROUNDS, steps: int = 60, rate: float = 0.2, ridge: float = 0.001) -> tuple[float, ...]:
+    """Weights that fit the latent line labels of the documents, all chains in lockstep."""
     chains = []
     for part in slices(pa.array(texts, pa.string())):
         lines = Lines(part)
         x = lines.features(part)
-        chains += [(x[lines.line_bounds[t] : lines.line_bounds[t + 1]], good[part.first + t]) for t in range(len(part))]
+        spans = [slice(lines.line_bounds[t], lines.line_bounds[t + 1]) for t in range(len(part))]
+        chains += [(x[at], lines.line_words[at], good[part.first + t]) for t, at in enumerate(spans)]
     chains = sorted((c for c in chains if len(c[0])), key=lambda c: -len(c[0]))
+    y = np.array([g for *_, g in chains], bool)
+    if not y.any() or y.all():
+        return DEFAULT_WEIGHTS
     longest, n = len(chains[0][0]), len(chains)
-    x, there = np.zeros((longest, n, len(FEATURES))), np.zeros((longest, n), bool)
-    for k, (f, _) in enumerate(chains):
-        x[: len(f), k], there[: len(f), k] = f, True
-    y = np.array([g for _, g in chains])
-    weight = np.where(y, 0.5 / max(y.sum(), 1), 0.5 / max((~y).sum(), 1)) / there.sum(0)
-    w, m, v = np.zeros(len(FEATURES) + 1), 0.0, 0.0
-    for step in range(1, steps + 1):
-        s, stay = x @ w[:-1], w[-1]
-        forward, backward = np.zeros((longest, n, 2)), np.zeros((longest, n, 2))
-        for i in range(longest):
-            if i:
-                a, b = forward[i - 1, :, 0], forward[i - 1, :, 1]
-                forward[i] = np.stack([np.logaddexp(a + stay, b), np.logaddexp(a, b + stay)], 1)
-            forward[i, :, 1] += s[i]
-        for i in range(longest - 2, -1, -1):
-            a, b = backward[i + 1, :, 0], backward[i + 1, :, 1] + s[i + 1]
-            now = np.stack([np.logaddexp(a + stay, b), np.logaddexp(a, b + stay)], 1)
-            backward[i] = np.where(there[i + 1][:, None], now, 0)
-        total = forward + backward
-        logz = np.logaddexp(total[..., 0], total[..., 1])
-        content = np.exp(total[..., 1] - logz)
-        gradient = np.append(np.einsum("ij,ijk->k", np.where(there, (y[None, :] - content) * weight, 0), x), 0.0)
-        if longest > 1:
-            pair = there[1:] & there[:-1]
-            both = sum(np.exp(forward[:-1, :, k] + stay + backward[1:, :, k] + k * s[1:] - logz[1:]) for k in (0, 1))
-            gradient[-1] = (np.where(pair, 1 - both, 0) * weight).sum()
-        gradient -= ridge * w / 10
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    x, words, there = np.zeros((longest, n, len(FEATURES))), np.zeros((longest, n)), np.zeros((longest, n), bool)
+    for k, (f, count, _) in enumerate(chains):
+        x[: len(f), k], words[: len(f), k], there[: len(f), k] = f, count, True
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum()) / there.sum(0)
+    content, same = np.where(there, y, 0.0), np.where(there[1:], 0.5, 0.0)
+    w = np.zeros(len(FEATURES) + 1)
+    for turn in range(rounds):
+        if turn:
+            content, same = _tilted(x @ w[:-1], w[-1], there, words, y)
+        m, v = 0.0, 0.0
+        for step in range(1, steps + 1):
+            change = gradient(w, x, there, content, same, weight) - ridge * w
+            m, v = 0.9 * m + 0.1 * change, 0.999 * v + 0.001 * change**2
+            w = w + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return tuple(float(k) for k in w)
 
 
@@ -178,7 +224,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return train([r[1] for r in rows], [r["q"] == 1 for r in rows])
 
 
-
 def measure(docs: DataFrame, weights: tuple[float, ...], text: str = "text") -> DataFrame:
     """The documents with the counts of the base rules and content_share: of words, those in content lines."""
     emission, stay = np.array(weights[:-1]), float(weights[-1])

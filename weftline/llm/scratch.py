@@ -9,24 +9,27 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _kept: dict[str, SparkSession] = {}
+#: Folders of local sessions, by application.
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a new one of our own in a local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and spark.sparkContext.getCheckpointDir():
-        found = spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder, or one of our own in a local session, gone when Python ends."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _own.get(context.applicationId)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own[context.applicationId] = tempfile.mkdtemp(prefix="weftline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found
 
 
@@ -68,6 +71,21 @@ class Scratch:
         for name in names:
             remove(self.spark, self.paths.pop(name))
 
+    def ranked(self, name: str, df: DataFrame, column: str, *order: str | F.Column) -> DataFrame:
+        """The rows with their place in a global order, gapless from 0; many tasks sort, and only partition sizes meet."""
+        rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("weftline_at", F.monotonically_increasing_id())
+        rows = self.write(name, rows)
+        part = F.shiftright("weftline_at", 33)
+        sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())  # one for each partition
+        before, offsets = 0, []
+        for k, n in sizes:
+            offsets.append((k, before))
+            before += n
+        offset = F.broadcast(self.spark.createDataFrame(offsets, "weftline_part long, weftline_before long"))
+        found = rows.join(offset, part == F.col("weftline_part"))
+        place = F.col("weftline_before") + F.col("weftline_at").bitwiseAND((1 << 33) - 1)
+        return found.withColumn(column, place).drop("weftline_at", "weftline_part", "weftline_before")
+
     def drop_all_but(self, *names: str) -> None:
         """Drop what is not needed to read the result."""
         self.drop(*[n for n in self.paths if n not in names])
