@@ -234,33 +234,104 @@ def test_html(spark):
 ARTICLE = "<html><body><div id=top>Site name</div><article><h1>{0} title</h1><p>{0} opens with this text</p>{1}<p>{0} ends here</p></article></body></html>"
 
 
+def read(html, wrapper):
+    return dom.extract(html, dom.Wrapper(wrapper) if wrapper else None)
+
+
 def test_html_keeps_copies():
     copy = ["One title", "One opens with this text", "One ends here"]
     copies = [ARTICLE.format("One", "").replace("<body>", f"<body><!-- {i} -->") for i in range(8)]
-    assert dom.extract(copies[0], dom.induce(copies)).split("\n") == copy
+    assert read(copies[0], dom.induce(copies)).split("\n") == copy
     wrapper = dom.induce(copies + [ARTICLE.format(w, "") for w in ("Two", "Three")])
-    assert dom.extract(copies[0], wrapper).split("\n") == copy
+    assert read(copies[0], wrapper).split("\n") == copy
 
 
 def test_html_template_by_place():
     rows = [ARTICLE.format(w, "").replace("</article>", "<div>Share this page</div></article>") for w in ("One", "Two", "Three", "Four")]
     wrapper = dom.induce(rows)
-    assert dom.extract(rows[0], wrapper) == "One title\nOne opens with this text\nOne ends here"
-    assert "Share this page" in dom.extract(ARTICLE.format("Five", "<p>Share this page</p>"), wrapper)
-    assert "Share this page" in dom.extract(ARTICLE.format("Five", "<div>Share this page</div>"), wrapper)
+    assert read(rows[0], wrapper) == "One title\nOne opens with this text\nOne ends here"
+    assert "Share this page" in read(ARTICLE.format("Five", "<p>Share this page</p>"), wrapper)
+    assert "Share this page" in read(ARTICLE.format("Five", "<div>Share this page</div>"), wrapper)
 
 
 def test_html_keeps_whole_articles():
     nested = "<body><div>Top</div><article><h1>{0} title</h1><p>{0} lead</p><div class=body><p>" + "{0} text is long enough " * 20 + "</p></div></article></body>"
     rows = [nested.format(w) for w in ("One", "Two", "Three", "Four")]
-    for page in (dom.extract(rows[0], dom.induce(rows)), dom.extract(rows[0], None)):
+    for page in (read(rows[0], dom.induce(rows)), read(rows[0], None)):
         assert page.split("\n")[:2] == ["One title", "One lead"]
     parts = "<body><div>Top</div><section><p>{0} one</p></section><section><p>{0} and the second section</p></section><section><p>{0} three</p></section></body>"
     rows = [parts.format(w) for w in ("One", "Two", "Three", "Four")] + ["<body><div>Top</div><section><p>" + "All in one. " * 9 + "</p></section></body>"]
-    assert dom.extract(rows[0], dom.induce(rows)).split("\n") == ["One one", "One and the second section", "One three"]
+    assert read(rows[0], dom.induce(rows)).split("\n") == ["One one", "One and the second section", "One three"]
 
 
 def test_tree_matching():
     pairs = []
     dom.match(dom.parse("<ul><li>a<li>b<li>c</ul>"), dom.parse("<ul><li>x<p>y</p><li>z</ul>"), pairs)
     assert [x.tag for x, _ in pairs].count("li") == 2 and pairs[0][0].tag == "#document"
+
+
+def matched_by_force(x, y):
+    """Nodes in the best alignment, by the definition."""
+    if x.label != y.label:
+        return 0
+    xs, ys = x.elements(), y.elements()
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, a in enumerate(xs, 1):
+        for j, b in enumerate(ys, 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + matched_by_force(a, b))
+    return 1 + best[-1][-1]
+
+
+def random_tree(rng, depth=0):
+    tag = rng.choice(["div", "section", "b", "ul"])
+    inner = "".join(random_tree(rng, depth + 1) for _ in range(rng.randrange(5))) if depth < 4 else ""
+    return f"<{tag}>{inner}</{tag}>"
+
+
+def test_tree_matching_by_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = (dom.parse("<body>" + "".join(random_tree(rng) for _ in range(3)) + "</body>") for _ in range(2))
+        pairs = dom.Matcher().pairs(a, b)
+        assert len(pairs) == matched_by_force(a, b) and all(x.label == y.label for x, y in pairs)
+        opposite = {id(x): y for x, y in pairs}
+        assert len({id(y) for _, y in pairs}) == len(pairs)
+        assert all(opposite[id(x.parent)] is y.parent for x, y in pairs if x.parent is not None)
+        for x in dom.walk(a):  # order is kept
+            at = [y.parent.elements().index(y) for y in (opposite[id(c)] for c in x.elements() if id(c) in opposite)]
+            assert at == sorted(at)
+
+
+PLAIN = "<html><body><div><ul><li><a href=/a>Home {0}</a><li><a href=/b>More {0}</a></ul></div><div><p>Offer of the day {0}</p></div><div><h2>{0} title</h2><p>Update</p>{1}<div>Read on below</div><p>{0} ends here</p></div><div>Imprint {0}</div></body></html>"
+
+
+def plain_page(i, n=4):
+    return PLAIN.format(f"W{i}", "".join(f"<p>{f'text {i} number {k} ' * 6}</p>" for k in range(n + i % 3)))
+
+
+def test_wrapper_decides_on_unmarked_pages():
+    pages = [plain_page(i) for i in range(6)]
+    wrapper = dom.induce(pages)
+    for i, page in enumerate(pages):
+        body = [" ".join(f"text {i} number {k}".split() * 6) for k in range(4 + i % 3)]
+        assert read(page, wrapper).split("\n") == [f"W{i} title", "Update", *body, f"W{i} ends here"]
+        assert "Imprint" in read(page, None)
+    assert read(plain_page(7, 0), wrapper).split("\n")[0] == "W7 title" and "Home" not in read(plain_page(7, 0), wrapper)
+
+
+def test_deep_and_wide_pages():
+    deep = "<body><div>" + "<div>x " * 20000 + "</div>" * 20000 + "</div></body>"
+    assert read(deep, None).split() == ["x"] * 20000
+    assert dom.induce([deep, deep.replace("x ", "y "), deep.replace("x ", "z ")]) is not None
+    wide = ["<body><div>Menu</div><div class=main>" + "".join(f"<p>{w} {k} is a line</p>" + "<hr>" * (k % j == 0) for k in range(6000)) + "</div></body>" for j, w in ((7, "one"), (11, "two"), (13, "three"), (17, "four"))]
+    assert sum(map(len, wide)) > 500_000
+    found = read(wide[0], dom.induce(wide)).split("\n")
+    assert len(found) == 6000 and found[5] == "one 5 is a line"
+
+
+def test_html_empty_and_clashing(spark):
+    rows = [(i, f"https://h.org/{i}", PAGE.format(i), 1, "kept") for i in range(3)] * 2
+    table = spark.createDataFrame(rows, "page_id int, url string, html string, text int, host string")
+    found = html_text.extract(table)
+    assert found.columns == ["page_id", "url", "html", "host", "text"] and found.filter("host = 'kept'").count() == 6
+    assert found.select("page_id", "text").distinct().count() == 3 and html_text.extract(table.limit(0)).count() == 0
