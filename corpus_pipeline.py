@@ -27,10 +27,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth lies in benchmark passages."""
+    """Documents in which no window of a benchmark passage occurs."""
     renamed, names, back = plain(docs)
     found = decontaminate.occurrences(renamed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names["text"])
-    return decontaminate.verdicts(found).filter("not contaminated").select(back)
+    return decontaminate.verdicts(found).filter("n_hit = 0").select(back)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
