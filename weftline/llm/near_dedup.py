@@ -339,7 +339,7 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     reps = scratch.write("reps", some.select("node", "doc", "th"))
     named = scratch.write("named", classes.select("fa", "fb", "n", "node", "doc", "th"), heavy=True)
     scratch.drop("classes", "wanted")
-    members = scratch.write("members", member_sets(texts.join(reps, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), heavy=True)
+    members = scratch.bucketed("members", member_sets(texts.join(reps, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), "node")
     scratch.drop("reps")
     links = Links(scratch, sketches, members)
     _settle_lists(scratch, links, lists)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _kept: dict[str, SparkSession] = {}
+#: Names of the tables that have one, by path.
+_tables: dict[str, str] = {}
 #: Folders of local sessions, by application.
 _own: dict[str, str] = {}
 
@@ -36,6 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table; a missing one is no error."""
     _kept.pop(path, None)
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -71,6 +75,16 @@ class Scratch:
         for name in names:
             remove(self.spark, self.paths.pop(name))
 
+    def bucketed(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Write the rows in buckets of a key, so that joins on it read them where they are and shuffle only the other side."""
+        path, n = f"{self.base}/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"weftline_{uuid.uuid4().hex}"
+        df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
+        _kept[path], self.paths[name], _tables[path] = self.spark, path, table
+        del df
+        self.release()
+        return self.spark.table(table)
+
     def ranked(self, name: str, df: DataFrame, column: str, *order: str | F.Column) -> DataFrame:
         """The rows with their place in a global order, gapless from 0; many tasks sort, and only partition sizes meet."""
         rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("weftline_at", F.monotonically_increasing_id())
