@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from weftline.llm.kernels import Texts, slices
 
 #: Bytes of rows that Spark puts into one Arrow batch, so that very long texts do not meet in one.
-BATCH_BYTES = "16777216"
+BATCH_BYTES = "4194304"
 
 Kernel = Callable[[pa.RecordBatch, Texts], dict[str, "np.ndarray | list | pa.Array"]]
 

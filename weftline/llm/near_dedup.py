@@ -24,6 +24,9 @@ leaves room for that overlap. Near copies that were edited apart differ from
 the leader in places of their own and never meet, so no list is ever expanded
 into all pairs of its members, and no link is lost.
 
+Tables that grow with the corpus are joined by merging, whatever their size, so
+that a small corpus shows what a large one costs.
+
 Pairs pass if their sizes allow the threshold, if their sketches, one byte of
 each token, agree in MATCHES places, and if their full sets confirm it.
 
@@ -155,7 +158,7 @@ def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
     ranked = posted.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
     shared = scratch.write("shared", ranked.mapInArrow(_shared, posted.schema), heavy=True)
     often = scratch.write("often", shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"))
-    ranked = shared.join(often, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
+    ranked = shared.join(often.hint("merge"), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     score = F.aggregate("ranked", F.lit(0).cast("long"), lambda a, x: a + x["df"])
     prefix = ranked.filter(F.size("ranked") >= MATCHES).select("node", "n", score.alias("score"), F.explode(F.slice("ranked", 1, F.size("ranked") - F.lit(MATCHES - 1))).alias("x"))
     postings = scratch.write("postings", prefix.select(F.col("x.token").alias("token"), "node", "n", "score"), heavy=True)
@@ -195,7 +198,7 @@ class Links:
     def both(self, pairs: DataFrame, a: str, b: str) -> DataFrame:
         """The pairs with the full sets of both sides."""
         side = lambda name: self.members.select(F.col("node").alias(name), F.col("members").alias(f"members_{name}"))
-        return pairs.join(side(a), a).join(side(b), b)
+        return pairs.hint("merge").join(side(a), a).hint("merge").join(side(b), b)
 
     def confirm(self, pairs: DataFrame) -> tuple[int, int]:
         """Add the pairs (a < b, sizes known to fit) that pass both tests; how many there were, and how many passed."""
@@ -334,12 +337,12 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     scratch.drop("signatures")
     lists = _postings(scratch, classes)
     wanted = scratch.write("wanted", lists.select("node").distinct())
-    some = classes.join(wanted, "node", "left_semi")
+    some = classes.join(wanted.hint("merge"), "node", "left_semi")
     sketches = scratch.write("sketches", _sketches(some), heavy=True)
     reps = scratch.write("reps", some.select("node", "doc", "th"))
     named = scratch.write("named", classes.select("fa", "fb", "n", "node", "doc", "th"), heavy=True)
     scratch.drop("classes", "wanted")
-    members = scratch.bucketed("members", member_sets(texts.join(reps, ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), "node")
+    members = scratch.bucketed("members", member_sets(texts.join(reps.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), "node")
     scratch.drop("reps")
     links = Links(scratch, sketches, members)
     _settle_lists(scratch, links, lists)
