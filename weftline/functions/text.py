@@ -86,6 +86,12 @@ def trailing_number(label: Column | str) -> Column:
     return F.when(found != "", found)
 
 
+def section_label(label: Column | str) -> Column:
+    """The number or range of numbers that ends a label; null if there is none."""
+    found = F.regexp_extract(_c(label), r"\b(\d+[A-Za-z]?(?:-\d+[A-Za-z]?)?)\b\s*$", 1)
+    return F.when(found != "", found)
+
+
 def label_variants(label: Column | str) -> Column:
     """The label, without a leading number, without section words, and what follows `from`."""
     label = collapse(label)

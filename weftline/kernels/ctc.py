@@ -46,11 +46,12 @@ def forced(logp: np.ndarray, tokens: Sequence[int], blank: int = 0) -> list[tupl
     return out
 
 
-def best_path(logp: np.ndarray, arcs: Sequence[tuple[int, int, int, float]], final: int, blank: int = 0, beam: float = 25.0) -> tuple[list[tuple[int, int, int]], float]:
+def best_path(logp: np.ndarray, arcs: Sequence[tuple[int, int, int, float]], final: int, blank: int = 0, beam: float = 25.0, direct: bool = False) -> tuple[list[tuple[int, int, int]], float]:
     """(frame, symbol, state) of the cheapest path from state 0 to `final` through arcs (src, dst, symbol, weight).
 
     Symbols below zero read no frame. A symbol may last several frames, blanks
     may stand anywhere, and partial paths more than `beam` over the best are dropped.
+    A symbol follows another only after a blank, unless `direct` is set.
     """
     frames = len(logp)
     out_of: dict[int, list[tuple[int, int, float]]] = {}
@@ -83,7 +84,7 @@ def best_path(logp: np.ndarray, arcs: Sequence[tuple[int, int, int, float]], fin
             if last != blank:
                 offer((state, last), cost - logp[t, last], (t, last, state), trail)
             for dst, symbol, weight in out_of.get(state, ()):
-                if symbol >= 0 and symbol != blank and symbol != last:
+                if symbol >= 0 and symbol != blank and (last == blank or (direct and symbol != last)):
                     offer((dst, symbol), cost + weight - logp[t, symbol], (t, symbol, dst), trail)
         spread(new)
         least = min((c for c, _ in new.values()), default=np.inf)

@@ -63,19 +63,18 @@ def longest_interval(df: DataFrame, keys: Sequence[str], start: str = "start", e
     return df.groupBy(*keys).agg(best.alias("b")).select(*keys, f"b.{start}", f"b.{end}")
 
 
-def global_index(df: DataFrame, key: str, name: str = "index", buckets: int = 4096) -> DataFrame:
-    """Gapless ids over the whole table in the order of a numeric key, without sorting it in one task.
+def global_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
+    """Gapless ids over the whole table in the order of a key of any kind, without sorting it in one task.
 
-    Rows are numbered inside equal ranges of the key; running sizes of the ranges, one row each, give the offsets.
+    Rows are sorted by sampled ranges of the key and then of all columns, so a
+    frequent key spreads over tasks; the sizes of the parts, one row each, give the offsets.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = (float(high) - float(low)) / buckets or 1.0
-    placed = df.withColumn("weftline_bucket", F.floor((F.col(key).cast("double") - float(low)) / width))
-    counts = placed.groupBy("weftline_bucket").agg(F.count("*").alias("weftline_size"))
-    before = F.sum("weftline_size").over(Window.orderBy("weftline_bucket")) - F.col("weftline_size")
-    offsets = F.broadcast(counts.select("weftline_bucket", before.alias("weftline_before")))  # buckets + 1 rows at most
-    place = F.row_number().over(Window.partitionBy("weftline_bucket").orderBy(key)) - 1
-    ranked = placed.withColumn("weftline_place", place).join(offsets, "weftline_bucket")
-    return ranked.withColumn(name, (F.col("weftline_before") + F.col("weftline_place")).cast("long")).drop("weftline_bucket", "weftline_place", "weftline_before")
+    order = [key, *[c for c, kind in df.dtypes if c != key and "map<" not in kind]]
+    ranked = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("weftline_at", F.monotonically_increasing_id())
+    part = F.shiftright("weftline_at", 33)
+    sizes = ranked.groupBy(part.alias("weftline_part")).agg(F.count("*").alias("weftline_size"))
+    before = F.sum("weftline_size").over(Window.orderBy("weftline_part")) - F.col("weftline_size")
+    offsets = F.broadcast(sizes.select("weftline_part", before.alias("weftline_before")))  # one row for each partition
+    placed = ranked.join(offsets, part == F.col("weftline_part"))
+    place = F.col("weftline_before") + F.col("weftline_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(name, place.cast("long")).drop("weftline_at", "weftline_part", "weftline_before")

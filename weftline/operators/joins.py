@@ -43,7 +43,10 @@ def nearest_in_window(words: DataFrame, reference: DataFrame, keys: Sequence[str
     it; with edits, the smallest distance decides first.
     """
     near = (F.col("ref_pos") >= F.col("pos") - back) & (F.col("ref_pos") < F.col("pos") + ahead)
-    met = words.join(reference, list(keys)).filter(near)
+    width = max(ahead, back, 1)
+    cell = lambda x: F.floor(x / width)
+    cells = words.withColumn("weftline_cell", F.explode(F.sequence(cell(F.col("pos") - back), cell(F.col("pos") + ahead - 1))))  # three at most
+    met = cells.join(reference.withColumn("weftline_cell", cell(F.col("ref_pos"))), [*keys, "weftline_cell"]).filter(near)
     distance = F.levenshtein(F.lower("word"), F.lower("ref_word"), edits) if edits else F.when(F.lower("word") == F.lower("ref_word"), 0).otherwise(-1)
     rank = F.struct(F.col("distance"), (F.col("ref_pos") < F.col("pos")).cast("int"), F.abs(F.col("ref_pos") - F.col("pos")))
     best = met.withColumn("distance", distance).filter("distance >= 0").groupBy(*keys, "pos").agg(F.min_by(F.struct("ref_pos", "ref_word", "distance"), rank).alias("b"))
@@ -63,7 +66,11 @@ def validated(score: Column, second: Column, threshold: float = 1.0) -> Column:
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key; aggregated before the shuffle if the order is by columns."""
+    if all(isinstance(o, str) for o in order):
+        rest = [c for c in df.columns if c not in keys]
+        first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("weftline_first"))
+        return first.select(*[c if c in keys else F.col(f"weftline_first.{c}").alias(c) for c in df.columns])
     by = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("weftline_place", F.row_number().over(by)).filter("weftline_place = 1").drop("weftline_place")
 

@@ -9,8 +9,6 @@ text: texts without matches cost nothing after the join.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,34 +21,34 @@ MIN_LENGTH = 8
 MAX_GAP = 30
 
 
-def _grams(df: DataFrame, words: str, n: int, keep: list[str]) -> DataFrame:
-    """(keep, pos, gram hash, n_grams) of each n-gram; shifted copies zip into rows without lambdas."""
-    size = F.greatest(F.size(words) - n + 1, F.lit(0))
-    shifted = [F.slice(words, k + 1, size).alias(f"g{k}") for k in range(n)]
-    each = df.select(*keep, size.alias("n_grams"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "g"))
-    return each.select(*keep, "n_grams", "pos", F.xxhash64(*[F.col(f"g.g{k}") for k in range(n)]).alias("gram"))
+def _grams(df: DataFrame, sizes: range, keep: list[str]) -> DataFrame:
+    """(keep, n_words, pos, n, gram hash) of the n-grams of all sizes; each word is exploded once."""
+    most, count = sizes[-1], F.size("words")
+    shifted = [F.slice("words", k + 1, F.greatest(count, F.lit(1))).alias(f"g{k}") for k in range(most)]
+    each = df.select(*keep, count.alias("n_words"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "g"))
+    hashed = [F.when(F.col("pos") + n <= F.col("n_words"), F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.col(f"g.g{k}") for k in range(n)]).alias("gram"))) for n in sizes]
+    grams = each.filter("pos < n_words").select(*keep, "n_words", "pos", F.explode(F.array(*hashed)).alias("x"))
+    return grams.filter("x is not null").select(*keep, "n_words", "pos", "x.n", "x.gram")
 
 
 def candidates(texts: DataFrame, passages: DataFrame, n: int = MAX_N) -> DataFrame:
     """(text_id, passage_id) that share an n-gram."""
-    theirs = _grams(passages, "words", n, ["passage_id"]).select("passage_id", "gram").distinct()
-    return _grams(texts, "words", n, ["text_id"]).join(theirs, "gram").select("text_id", "passage_id").distinct()
+    theirs = _grams(passages, range(n, n + 1), ["passage_id"]).select("passage_id", "gram").distinct()
+    return _grams(texts, range(n, n + 1), ["text_id"]).join(theirs, "gram").select("text_id", "passage_id").distinct()
 
 
 def density(texts: DataFrame, passages: DataFrame, pairs: DataFrame, max_n: int = MAX_N) -> DataFrame:
     """(text_id, passage_id, pos, score) where the score is above zero."""
-    of_pairs = texts.join(pairs, "text_id")
-    layers = None
-    for n in range(1, max_n + 1):
-        width, offset = n + 2, (n - 1) // 2
-        theirs = _grams(passages, "words", n, ["passage_id"]).select("passage_id", "gram").distinct()
-        hits = _grams(of_pairs, "words", n, ["text_id", "passage_id"]).join(theirs, ["passage_id", "gram"])
-        low = F.greatest(F.col("pos") - (width - 1) // 2, F.lit(0))
-        high = F.least(F.col("pos") + width // 2, F.col("n_grams") - 1)
-        layer = hits.filter(F.col("n_grams") >= width).select("text_id", "passage_id", F.explode(F.sequence(low, high)).alias("at"))
-        layer = layer.select("text_id", "passage_id", (F.col("at") + offset).alias("pos"), F.lit(math.sqrt(math.log(n + 1)) / width / 3).alias("w"))
-        layers = layer if layers is None else layers.unionByName(layer)
-    return layers.groupBy("text_id", "passage_id", "pos").agg(F.sum("w").alias("score"))
+    sizes = range(1, max_n + 1)
+    theirs = _grams(passages, sizes, ["passage_id"]).select("passage_id", "n", "gram").distinct()
+    hits = _grams(texts.join(pairs, "text_id"), sizes, ["text_id", "passage_id"]).join(theirs, ["passage_id", "n", "gram"])
+    width, last = F.col("n") + 2, F.col("n_words") - F.col("n")
+    low = F.greatest(F.col("pos") - F.floor((F.col("n") + 1) / 2), F.lit(0))
+    high = F.least(F.col("pos") + F.floor(width / 2), last)
+    weight = F.sqrt(F.log(F.col("n") + 1.0)) / width / 3
+    spread = hits.filter(last + 1 >= width).select("text_id", "passage_id", "n", weight.alias("w"), F.explode(F.sequence(low, high)).alias("at"))
+    placed = spread.select("text_id", "passage_id", (F.col("at") + F.floor((F.col("n") - 1) / 2)).cast("int").alias("pos"), "w")
+    return placed.groupBy("text_id", "passage_id", "pos").agg(F.sum("w").alias("score"))
 
 
 def regions(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

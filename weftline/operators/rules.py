@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.phones import TARGET_VOWELS, stress
+from weftline.functions.phones import TARGET_VOWELS, stress, to_target
 
 
 def op_counts(ops: DataFrame) -> DataFrame:
@@ -87,3 +87,52 @@ def char_inventory(df: DataFrame, text: str) -> DataFrame:
         .otherwise("other")
     )
     return counts.select("ch", kind.alias("class"), "n")
+
+
+#: Syllabic phones whose sources are counted.
+SYLLABICS = ("em", "en", "el", "eng", "axr")
+
+
+def syllabic_patterns(ops: DataFrame, keys: Sequence[str], phones: Sequence[str] = SYLLABICS) -> DataFrame:
+    """(phone, pattern, n): the reference phones that a spoken syllabic comes from.
+
+    ops: (keys of one spoken word, idx, op, ref, act). A pattern holds all
+    reference phones aligned to an equal phone in the word, and counts once for each time that the phone is spoken.
+    """
+    spoken = ops.filter(F.col("act").isin(*phones) | ((F.col("op") == "match") & F.col("ref").isin(*phones))).withColumn("phone", F.coalesce("act", "ref"))
+    listed = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("idx", "ref"))), lambda x: x["ref"]), lambda x: x.isNotNull())
+    words = spoken.groupBy(*keys, "phone").agg(listed.alias("pattern"), F.count("*").alias("times"))
+    return words.filter(F.size("pattern") > 0).groupBy("phone", "pattern").agg(F.sum("times").alias("n"))
+
+
+def pronunciations(words: DataFrame) -> DataFrame:
+    """(word, prons, n): the distinct pronunciations of (word, pron) in order of frequency, with the number of tokens."""
+    counts = words.groupBy("word", "pron").agg(F.count("*").alias("c"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("o"), "pron"))), lambda x: x["pron"])
+    return counts.groupBy("word").agg(ordered.alias("prons"), F.sum("c").alias("n"))
+
+
+def distinct_counts(ops: DataFrame) -> DataFrame:
+    """(op, types, contexts, n): how many different transforms and contexts each operation has."""
+    contexts = F.count_distinct("ctx") if "ctx" in ops.columns else F.lit(None).cast("long")
+    return ops.filter("op <> 'match'").groupBy("op").agg(F.count_distinct(F.struct("ref", "act")).alias("types"), contexts.alias("contexts"), F.count("*").alias("n"))
+
+
+def target_rules(found: DataFrame) -> DataFrame:
+    """(key, total, target, n, rate): rules (phone, ctx, op, target, n, total, rate) in the target phone set.
+
+    Phones without a target and transforms that become identities drop; of source phones that share a key, the last one's rules stay.
+    """
+    source, goal = to_target(F.col("phone")), to_target(F.col("target"))
+    named = found.select("phone", F.concat_ws("/", source, "ctx").alias("key"), "total", F.when(F.col("op") != "deletion", goal).alias("target"), (F.col("op") == "deletion").alias("gone"), "n", F.round(F.col("rate"), 2).alias("rate"), source.alias("source"))
+    kept = named.filter((F.col("source") != "") & (F.col("gone") | ((F.col("target") != "") & (F.col("target") != F.col("source")))))
+    last = kept.groupBy("key").agg(F.max("phone").alias("phone"))
+    return kept.join(last, ["key", "phone"]).select("key", "total", "target", "n", "rate")
+
+
+def compared(counts: DataFrame, by: str, min_total: int = 5, most: int = 3, min_rate: float = 0.01) -> DataFrame:
+    """The most frequent substitutions of each phone and context, one column for each value of `by`."""
+    keys = [by, "phone", "ctx"]
+    rated = rules(counts, keys, min_total, 1, min_rate).filter("op = 'substitution'")
+    top = top_per_key(rated, keys, most, "n", ["target"])
+    return top.groupBy("phone", "ctx", "target").pivot(by).agg(F.round(F.first("rate"), 4))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from weftline.operators.islands import number_islands
 
 #: Symbols that are no phonemes.
-SPECIALS = ("<blk>", "<sos/eos>", "<unk>", "<pad>", "<s>", "</s>", "|", "SIL", "SPN", "[PAD]", "[UNK]")
+SPECIALS = ("|", "-", "<pad>", "<s>", "</s>", "<unk>", "SIL", "SPN", "STL", "<blank>", "<b>")
 
 
-def label_runs(frames: DataFrame, keys: Sequence[str], frame: str = "t", label: str = "label", skip: Sequence[str] = ("",), drop: Sequence[str] = (*SPECIALS, "<eps>")) -> DataFrame:
+def label_runs(frames: DataFrame, keys: Sequence[str], frame: str = "t", label: str = "label", skip: Sequence[str] = ("",), drop: Sequence[str] = SPECIALS) -> DataFrame:
     """(keys, label, start, end) of runs; frames of `skip` do not close a run, labels of `drop` go afterwards.
 
     A run ends where the next run starts, the last one after the last frame of all.
@@ -96,7 +96,7 @@ def greedy_words(frames: DataFrame, keys: Sequence[str], blank: str = "<blk>", s
 def reference_arcs(reference: DataFrame, similar: DataFrame, keys: Sequence[str], beta: float = 5.0, skip: int = 3, back: int = 2) -> DataFrame:
     """(keys, src, dst, label, weight): arcs of the graph that allows skips, returns and similar symbols.
 
-    reference: (keys, pos, label); similar: (label, other, sim), of which the two most similar count.
+    reference: (keys, pos, label); similar: (label, other, sim), of which the two most similar count, the label itself among them if it is listed.
     """
     import math
 
@@ -104,7 +104,7 @@ def reference_arcs(reference: DataFrame, similar: DataFrame, keys: Sequence[str]
     eps = 1 - alpha
     right = reference.select(*keys, F.col("pos").alias("src"), (F.col("pos") + 1).alias("dst"), "label", F.lit(-math.log(alpha)).alias("weight"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("sim"), "other"))
-    top = similar.filter((F.col("label") != F.col("other")) & ~F.col("other").isin(*SPECIALS)).withColumn("r", rank).filter("r <= 2")
+    top = similar.withColumn("r", rank).filter("r <= 2 and label <> other").filter(~F.col("other").isin(*SPECIALS))
     swaps = reference.join(top, "label").select(*keys, F.col("pos").alias("src"), (F.col("pos") + 1).alias("dst"), F.col("other").alias("label"), F.lit(-math.log(eps / 10000)).alias("weight"))
     jumps = F.array(*[F.lit(k) for k in (*range(1, skip + 1), *range(-back, 0))])
     ends = reference.groupBy(*keys).agg((F.max("pos") + 1).alias("states"))

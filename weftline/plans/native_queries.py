@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
-from weftline.functions.vectors import cosine
+from weftline.functions.vectors import similar_pairs
 from weftline.operators import islands, joins, regions, rules, trajectory
 from weftline.plans.registry import query
 from weftline.session import table
@@ -52,7 +52,8 @@ SELECT token, count(*) AS n FROM n WHERE token <> '' GROUP BY token
 def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised words of all documents with their counts."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("w"))
-    return words.select(T.normalize_word("w").alias("token")).filter("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    counted = words.groupBy("w").agg(F.count("*").alias("n"))  # normalise each spelling once
+    return counted.select(T.normalize_word("w").alias("token"), "n").filter("token <> ''").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @query(r"SELECT doc_id, CAST(u.i - 1 AS INT) AS sent_idx, s[u.i] AS sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) u")
@@ -257,11 +258,7 @@ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
 )
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar vectors of one label."""
-    vectors = table(spark, sf_dir, "embeddings")
-    a, b = vectors.alias("a"), vectors.alias("b")
-    met = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    sims = met.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), cosine(F.col("a.embedding"), F.col("b.embedding")).alias("sim"))
-    return sims.filter("sim > 0.2").withColumn("sim", F.round("sim", 6))
+    return similar_pairs(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.2).withColumn("sim", F.round("sim", 6))
 
 
 @query(

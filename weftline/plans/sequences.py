@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from weftline.kernels import banddp, ctc, editdp, fuzzy, ocrseq, rewrite, tokendiff
 
+# The rows of the usual similarity matrix, in order.
+SIMILARITY_SYMBOLS = "| OW UW EY AW AH AO AY EH K NG F JH M CH IH UH HH L AA R TH AE D Z OY DH IY B W S T SH ZH ER V Y N G P -".split()
+
 # Types rather than DDL strings, so that the module can be imported without a session.
 _OP = ArrayType(StructType([StructField("op", StringType()), StructField("ref_idx", IntegerType()), StructField("ref", StringType()), StructField("act", StringType())]))
 _SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
@@ -50,16 +54,29 @@ def align_editions(vectors: DataFrame, edition: str, order: str, vector: str, pa
     return met.select("a", "b", F.posexplode(run("va", "vb")).alias("place", "p")).select("a", "b", "place", "p.i", "p.j")
 
 
-def align_ocr(ocr: DataFrame, reference: DataFrame, dictionary: frozenset[str] = frozenset()) -> DataFrame:
-    """(doc, pos, word, ref_pos, ref_word, confidence, failed); ocr and reference: (doc, words)."""
+def align_ocr(ocr: DataFrame, reference: DataFrame, dictionary: frozenset[str] | DataFrame = frozenset()) -> DataFrame:
+    """(doc, pos, word, ref_pos, ref_word, confidence, failed); ocr and reference: (doc, words); a dictionary of words, or a table (word).
+
+    A table is joined, so that a task gets only the known words of its own documents.
+    """
+    met = ocr.join(reference.select("doc", F.col("words").alias("ref")), "doc")
+    if isinstance(dictionary, DataFrame):
+        used = ocr.select("doc", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word"))
+        known = used.join(dictionary.select(F.lower("word").alias("word")).distinct(), "word").groupBy("doc").agg(F.collect_set("word").alias("known"))
+        met, fixed = met.join(known, "doc", "left"), frozenset()
+    else:
+        met, fixed = met.withColumn("known", F.lit(None).cast("array<string>")), dictionary
 
     @F.pandas_udf("array<struct<ref_pos:int,confidence:double,failed:boolean>>")
-    def run(words: pd.Series, ref: pd.Series) -> pd.Series:
-        known = lambda w: w.lower() in dictionary
-        return pd.Series([[{"ref_pos": p, "confidence": c, "failed": f} for p, c, f in ocrseq.align(list(w), list(r), known)] if len(r) else [] for w, r in zip(words, ref, strict=True)])
+    def run(words: pd.Series, ref: pd.Series, known: pd.Series) -> pd.Series:
+        def one(w: list[str], r: list[str], listed: list[str] | None) -> list[dict]:
+            inside = fixed if listed is None else frozenset(listed)
+            return [{"ref_pos": p, "confidence": c, "failed": f} for p, c, f in ocrseq.align(list(w), list(r), lambda x: x.lower() in inside)] if len(r) else []
 
-    met = ocr.join(reference.select("doc", F.col("words").alias("ref")), "doc").withColumn("found", run("words", "ref"))
-    each = met.select("doc", "words", "ref", F.posexplode("found").alias("pos", "f"))
+        return pd.Series([one(w, r, k) for w, r, k in zip(words, ref, known, strict=True)])
+
+    found = met.withColumn("found", run("words", "ref", "known"))
+    each = found.select("doc", "words", "ref", F.posexplode("found").alias("pos", "f"))
     return each.select("doc", "pos", F.element_at("words", F.col("pos") + 1).alias("word"), "f.ref_pos", F.element_at("ref", F.col("f.ref_pos") + 1).alias("ref_word"), "f.confidence", "f.failed")
 
 
@@ -120,14 +137,19 @@ def force_align(frames: DataFrame, tokens: DataFrame, blank: int = 0, shift: flo
 
 
 def decode(frames: DataFrame, arcs: DataFrame, symbols: dict[str, int], blank: int = 0) -> DataFrame:
-    """(utt_id, t, label, state) of the best path through each utterance's arcs (utt_id, src, dst, label, weight)."""
+    """(utt_id, place, t, label, state) of the best path through each utterance's arcs (utt_id, src, dst, label, weight).
+
+    Arcs may have a column `candidate`: each candidate is a graph of its own, and the cheapest path of all counts, the first of equals.
+    """
+    if "candidate" not in arcs.columns:
+        arcs = arcs.withColumn("candidate", F.lit(0))
     posteriors = frames.groupBy("utt_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "logits"))), lambda x: x["logits"]).alias("x"))
-    graphs = arcs.groupBy("utt_id").agg(F.collect_list(F.struct("src", "dst", "label", "weight")).alias("arcs"))
+    graphs = arcs.groupBy("utt_id", "candidate").agg(F.collect_list(F.struct("src", "dst", "label", "weight")).alias("arcs"))
     names = {v: k for k, v in symbols.items()}
 
-    @F.pandas_udf("array<struct<t:int,label:string,state:int>>")
-    def run(x: pd.Series, graph: pd.Series) -> pd.Series:
-        def one(logits: np.ndarray, rows: list) -> list[dict]:
+    @F.pandas_udf("struct<cost:double,path:array<struct<t:int,label:string,state:int>>>")
+    def run(x: pd.Series, graph: pd.Series) -> pd.DataFrame:
+        def one(logits: np.ndarray, rows: list) -> tuple[float, list[dict]]:
             logp = ctc.log_softmax(np.stack([np.asarray(v, float) for v in logits]))
             table, markers = [], {}
             for a in rows:
@@ -136,12 +158,46 @@ def decode(frames: DataFrame, arcs: DataFrame, symbols: dict[str, int], blank: i
                     code = -1 - markers.setdefault(a["label"], len(markers))
                 table.append((a["src"], a["dst"], code, a["weight"]))
             back = {-1 - k: label for label, k in markers.items()}
-            path, _ = ctc.best_path(logp, table, max(a["dst"] for a in rows), blank)
-            return [{"t": t, "label": back.get(s, names.get(s, "")), "state": state} for t, s, state in path]
+            path, cost = ctc.best_path(logp, table, max(a["dst"] for a in rows), blank)
+            return cost, [{"t": t, "label": back.get(s, names.get(s, "")), "state": state} for t, s, state in path]
 
-        return pd.Series([one(a, b) for a, b in zip(x, graph, strict=True)])
+        return pd.DataFrame([one(a, b) for a, b in zip(x, graph, strict=True)], columns=["cost", "path"])
 
-    return posteriors.join(graphs, "utt_id").select("utt_id", F.posexplode(run("x", "arcs")).alias("place", "p")).select("utt_id", "place", "p.*")
+    found = posteriors.join(graphs, "utt_id").select("utt_id", "candidate", run("x", "arcs").alias("r"))
+    best = found.groupBy("utt_id").agg(F.min_by("r.path", F.struct("r.cost", "candidate")).alias("path"))
+    return best.select("utt_id", F.posexplode("path").alias("place", "p")).select("utt_id", "place", "p.*")
+
+
+def utterance_pronunciations(words: DataFrame, lexicon: DataFrame, rules: Sequence[rewrite.Rewrite] = (), most: int = rewrite.MOST_PATHS) -> DataFrame:
+    """(utt, candidate, pron): all readings of utterances (utt, pos, word) by a lexicon (word, place, pron), each word's under the optional rules; the first is 0.
+
+    Words without an entry drop out of the reading.
+    """
+    entries = lexicon.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pron"))), lambda x: x["pron"]).alias("prons"))
+    met = words.join(entries, "word")
+    grouped = met.groupBy("utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "prons"))), lambda x: x["prons"]).alias("words"))
+
+    @F.pandas_udf("array<array<string>>")
+    def run(utterances: pd.Series) -> pd.Series:
+        def one(parts: list) -> list[list[str]]:
+            readings = [list(dict.fromkeys(v for p in part for v in (rewrite.variants(list(p), rules) if rules else [tuple(p)]))) for part in parts]
+            return [list(r) for r in rewrite.pronunciations(readings, most)]
+
+        return pd.Series([one(u) for u in utterances])
+
+    return grouped.select("utt", F.posexplode(run("words")).alias("candidate", "pron"))
+
+
+def similarity_table(spark: SparkSession, matrix: np.ndarray | str, symbols: Sequence[str] | None = None) -> DataFrame:
+    """(label, other, sim) of a square similarity matrix, or of the .npy file that holds it; symbols name its rows."""
+    if isinstance(matrix, str):
+        data = spark.read.format("binaryFile").load(matrix).select("content").first()[0]  # one small matrix
+        matrix = np.load(io.BytesIO(bytes(data)))
+    names = list(symbols or SIMILARITY_SYMBOLS)
+    if matrix.shape != (len(names), len(names)):
+        raise ValueError(f"a matrix of {matrix.shape} for {len(names)} symbols")
+    rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    return spark.createDataFrame(rows, "label string, other string, sim double")
 
 
 def rewrite_variants(prons: DataFrame, rules: Sequence[rewrite.Rewrite]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 _BOX = re.compile(r"bbox (-?\d+) (-?\d+) (-?\d+) (-?\d+)")
 _CONF = re.compile(r"x_wconf (\d+)")
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 class _Words(HTMLParser):
@@ -26,11 +27,16 @@ class _Words(HTMLParser):
             self.page += 1
         if self.open is None and {"ocrx_word", "ocr_word"} & set(classes):
             self.open, self.depth = {"title": found.get("title") or "", "id": found.get("id"), "text": ""}, 0
-        if self.open is not None:
+        if self.open is not None and tag not in _VOID:
             self.depth += 1
 
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag: str) -> None:
-        if self.open is not None:
+        if self.open is not None and tag not in _VOID:
             self.depth -= 1
             if self.depth <= 0:
                 box, conf, text = _BOX.search(self.open["title"]), _CONF.search(self.open["title"]), " ".join(self.open["text"].split())
@@ -84,12 +90,15 @@ class _Page(HTMLParser):
         if tag == "tr" and self.in_table:
             self.rows.append([])
         if tag in ("td", "th") and self.in_table and self.rows:
-            self.rows[-1].append({"text": "", "href": None, "head": tag == "th"})
+            self.rows[-1].append({"text": "", "href": None, "raw": None, "head": tag == "th"})
         if tag == "a" and self.in_table and self.rows and self.rows[-1] and self.rows[-1][-1]["href"] is None:
-            self.rows[-1][-1]["href"] = urljoin(self.base, found.get("href") or "")
+            self.rows[-1][-1] |= {"href": urljoin(self.base, found.get("href") or ""), "raw": found.get("href")}
+        anchor = found.get("id") or (found.get("name") if tag == "a" else None)
+        if anchor and self.headings and any(re.fullmatch("h[1-6]", t) for t, _ in self.stack) and self.headings[-1]["anchor"] is None:
+            self.headings[-1]["anchor"] = anchor
         if re.fullmatch("h[1-6]", tag):
             self.headings.append({"level": int(tag[1]), "anchor": found.get("id") or found.get("name"), "text": ""})
-        if tag not in ("br", "img", "meta", "link", "input", "hr"):
+        if tag not in _VOID:
             self.stack.append((tag, classes))
 
     def handle_endtag(self, tag: str) -> None:
@@ -140,13 +149,14 @@ def page_record(html: str, base: str = "") -> dict:
         href = next((c["href"] for n, c in zip(names, row, strict=False) if n == "reader" and c["href"]), None)
         reader = re.search(r"/reader/(\d+)|peopleid=(\d+)", href or "")
         if len(row) >= 2 and cells.get("chapter"):
-            chapters.append({"section": cells.get("section", ""), "chapter": cells["chapter"], "reader": cells.get("reader", ""), "reader_id": next((g for g in reader.groups() if g), None) if reader else None, "time": cells.get("time", "")})
+            audio = row[0]["raw"] if row else None
+            chapters.append({"section": cells.get("section", ""), "chapter": cells["chapter"], "reader": cells.get("reader", ""), "reader_id": next((g for g in reader.groups() if g), None) if reader else None, "time": cells.get("time", ""), "audio": audio})
     return {"title": titles[0] if titles else None, "author": squeeze(page.author) or None, "links": [{"url": x["url"], "label": squeeze(x["label"])} for x in page.links], "chapters": chapters, "headings": [{**h, "text": squeeze(h["text"])} for h in page.headings]}
 
 
 RECORD = (
     "file_id string, title string, author string, links array<struct<url:string,label:string>>, "
-    "chapters array<struct<section:string,chapter:string,reader:string,reader_id:string,time:string>>, headings array<struct<level:int,anchor:string,text:string>>, status string"
+    "chapters array<struct<section:string,chapter:string,reader:string,reader_id:string,time:string,audio:string>>, headings array<struct<level:int,anchor:string,text:string>>, status string"
 )
 
 

@@ -7,13 +7,23 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import normalize_word
 from weftline.sources.transcripts import file_stem
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files, in file order."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    return whole.select("file", "line_no", "line")
+def lines(spark: SparkSession, path: str, recursive: bool = False, pattern: str = "*") -> DataFrame:
+    """(file, line_no, line) of text files, in file order, with either kind of line end.
+
+    Files are split like any text input. A line's number is the count of lines
+    before it in its file, by the place of its block, so no file has to fit one task.
+    """
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("file", "block", "first", before.alias("before"))
+    met = rows.join(offsets, ["file", "block"])
+    return met.select("file", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("line_no"), "line")
 
 
 def _field(n: int, parts: Column) -> Column:
@@ -42,18 +52,23 @@ def sentences_tsv(rows: DataFrame) -> DataFrame:
 def numbered_tsv(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, number, sent_idx, sentence): one list of numbered sentences for every file of `files`."""
     parts = F.split("line", "\t", 2)
-    found = rows.filter(F.size(parts) == 2).select("line_no", _field(0, parts).alias("number"), _field(1, parts).alias("sentence"))
-    listed = found.withColumn("sent_idx", F.row_number().over(Window.orderBy("line_no")) - 1).drop("line_no")
+    found = rows.filter(F.size(parts) == 2).select("file", "line_no", _field(0, parts).alias("number"), _field(1, parts).alias("sentence"))
+    listed = found.withColumn("sent_idx", F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).drop("file", "line_no")
     return files.select("file_id").join(listed, F.lit(True))
 
 
 def normalisations(spark: SparkSession, path: str) -> DataFrame:
-    """(ref, hyp, type) of a curated list; a missing file is an empty list, a missing type is normalization."""
+    """(ref, hyp, type, key) of a curated list; a missing file is an empty list, a missing type is normalization.
+
+    key: the normalised words of hyp.
+    """
     schema = "ref string, hyp string, type string"
-    if "://" not in path and not Path(path).exists():
-        return spark.createDataFrame([], schema)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{schema}, key array<string>")
     rows = spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "PERMISSIVE").csv(path)
-    return rows.filter("hyp is not null").withColumn("type", F.coalesce("type", F.lit("normalization")))
+    words = F.transform(F.filter(F.split(F.trim("hyp"), r"\s+"), lambda w: w != ""), normalize_word)
+    return rows.filter("hyp is not null").withColumn("type", F.coalesce("type", F.lit("normalization"))).withColumn("key", words)
 
 
 def interval_file(rows: DataFrame) -> DataFrame:

@@ -16,12 +16,17 @@ CHUNKS = "chunks array<struct<text:string,timestamp:array<double>>>"
 def read_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(file_id, json) of each file below a path; the id is the name without its suffix. Fails if there is none."""
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path, wholetext=True)
-    found = files.select(file_stem(F.input_file_name()).alias("file_id"), F.col("value").alias("json"))
+    found = files.select(file_stem(F.input_file_name()).alias("file_id"), F.input_file_name().alias("path"), F.col("value").alias("json"))
     if found.isEmpty():
         raise FileNotFoundError(f"no {pattern} below {path}")
     return found
 
 
+def read_html(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, path, html) of the .html and .htm files below a path, whatever their case, in the order of their paths."""
+    return read_files(spark, path, "*.{html,htm,HTML,HTM,Html,Htm}").select("file_id", "path", F.col("json").alias("html")).orderBy("path")
+
+
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
@@ -82,7 +87,11 @@ def any_json(files: DataFrame) -> DataFrame:
     return words_json(of("words")).unionByName(segments_json(of("segments"))).unionByName(chunks_json(of("chunks")))
 
 
-def chunk_rows(files: DataFrame) -> DataFrame:
-    """(file_id, chunk, speaker, text, start, end) of segment-level transcripts, not split into words."""
+def chunk_rows(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(file_id, chunk, speaker, text, start, end) of segment-level transcripts, not split into words; strict: a chunk that lacks a field stops the query."""
     parsed = files.select("file_id", F.posexplode(F.from_json("json", SEGMENTS)).alias("chunk", "seg"))
-    return parsed.select("file_id", "chunk", _either("seg", "Speaker", "speaker").cast("int").alias("speaker"), _either("seg", "Content", "text").alias("text"), _either("seg", "Start", "start").cast("double").alias("start"), _either("seg", "End", "end").cast("double").alias("end"))
+    found = parsed.select("file_id", "chunk", _either("seg", "Speaker", "speaker").cast("int").alias("speaker"), _either("seg", "Content", "text").alias("text"), _either("seg", "Start", "start").cast("double").alias("start"), _either("seg", "End", "end").cast("double").alias("end"))
+    if not strict:
+        return found
+    lacks = F.concat(F.lit("a chunk lacks a field: "), F.col("file_id"), F.lit(" "), F.col("chunk").cast("string"))
+    return found.withColumn("text", F.when(F.col("text").isNull() | F.col("start").isNull() | F.col("end").isNull(), F.raise_error(lacks)).otherwise(F.col("text")))

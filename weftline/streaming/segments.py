@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def once(stream: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
@@ -41,6 +42,27 @@ def store(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> Dat
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
+def poll_seconds(target: int) -> int:
+    """How often a live playlist of that target duration is read."""
+    return max(1, target // 2)
+
+
+def start(writer: DataStreamWriter, target: int) -> StreamingQuery:
+    """Start a query that polls at half the target duration; a poll that fails is read again by the next."""
+    return writer.trigger(processingTime=f"{poll_seconds(target)} seconds").start()
+
+
+def stop_when(queries: list[StreamingQuery], done: Callable[[], bool], every: float = 0.2) -> None:
+    """Wait until `done()`, or a query ends, and stop the others after the batch that they are in."""
+    while not done() and all(q.isActive for q in queries):
+        time.sleep(every)
+    for q in queries:
+        q.stop()
+    failed = [q.exception() for q in queries if q.exception() is not None]
+    if failed:
+        raise failed[0]
+
+
 def decode_rows(stream: DataFrame, decode: Callable[[dict], dict], schema: str) -> DataFrame:
     """Applies a function to every row; a row that fails has its error in `error`, the rest go on."""
     names = [f.name for f in stream.sparkSession.createDataFrame([], schema).schema]
@@ -59,10 +81,11 @@ def decode_rows(stream: DataFrame, decode: Callable[[dict], dict], schema: str)
 
 
 class Playlist(DataSource):
-    """A live playlist (option path: a file or URL) as a stream of (url, place).
+    """Live playlists as a stream of (stream, url, place). Options: path, one file or URL, or paths, several at blanks.
 
-    The offset holds the segments that the playlist listed last; it advances only when a
-    batch is planned, so a batch that fails is read again.
+    The offset holds what each playlist listed last; it advances only when a
+    batch is planned, so a batch that fails is read again. A playlist that
+    cannot be read lists nothing new until it can.
     """
 
     @classmethod
@@ -70,38 +93,44 @@ class Playlist(DataSource):
         return "weftline_playlist"
 
     def schema(self) -> str:
-        return "url string, place int"
+        return "stream string, url string, place int"
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _PlaylistReader(self.options["path"])
+        return _PlaylistReader((self.options.get("paths") or self.options["path"]).split())
 
 
 class _PlaylistReader(SimpleDataSourceStreamReader):
-    """Reads a playlist file again and again; lines that are new since the last poll are the new rows."""
+    """Reads playlists again and again; lines that are new since the last poll are the new rows."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
-    def _urls(self) -> list[str]:
+    @staticmethod
+    def _urls(path: str) -> list[str] | None:
         from urllib.request import urlopen
 
-        address = self.path if "://" in self.path else f"file://{self.path}"
-        with urlopen(address, timeout=30) as found:  # noqa: S310 - the caller's own playlist
-            lines = found.read().decode("utf-8", "replace").splitlines()
+        try:
+            with urlopen(path if "://" in path else f"file://{path}", timeout=30) as found:  # noqa: S310 - the caller's own playlist
+                lines = found.read().decode("utf-8", "replace").splitlines()
+        except OSError:
+            return None
         return [line.strip() for line in lines if line.strip() and not line.strip().startswith("#")]
 
     def initialOffset(self) -> dict:
-        return {"seen": []}
+        return {"seen": {}}
+
+    @staticmethod
+    def _new(start: dict, end: dict) -> Iterator[tuple]:
+        for path, urls in sorted(end["seen"].items()):
+            seen = set(start["seen"].get(path, ()))
+            yield from ((path, u, k) for k, u in enumerate(u for u in urls if u not in seen))
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        urls = self._urls()
-        seen = set(start["seen"])
-        new = [u for u in urls if u not in seen]
-        return iter([(u, k) for k, u in enumerate(new)]), {"seen": urls}
+        end = {"seen": {p: start["seen"].get(p, []) if (urls := self._urls(p)) is None else urls for p in self.paths}}
+        return iter(list(self._new(start, end))), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        seen = set(start["seen"])
-        return iter([(u, k) for k, u in enumerate(u for u in end["seen"] if u not in seen)])
+        return self._new(start, end)
 
 
-__all__ = ["Playlist", "decode_rows", "once", "once_for_ever", "sessions", "store", "windowed"]
+__all__ = ["Playlist", "decode_rows", "once", "once_for_ever", "poll_seconds", "sessions", "start", "stop_when", "store", "windowed"]
