@@ -139,16 +139,50 @@ def test_langid_learns(spark):
     assert found.count() > 5 and found.filter("lang <> lang_pred").count() == 0
 
 
-def test_langid_keeps_words_of_small_languages(spark, monkeypatch):
-    monkeypatch.setattr(langid, "WORDS", 40)
-    letters = "abcdefghijklmnopqrst"
-    big = [(i, " ".join(a + b for a in letters[:10] for b in letters[:10]), "big") for i in range(40)]
-    small = [(100 + i, " ".join("z" + a for a in letters), "small") for i in range(6)]
-    table = spark.createDataFrame(big + small, "doc_id long, text string, lang string")
-    names, words, counts = langid.learn(table)
-    assert names == ["big", "small"] and len(words) == len(counts) and (counts[:, 1] > 0).sum() == 20 and 25 <= (counts[:, 0] > 0).sum() <= 55
-    monkeypatch.setattr(langid, "WORDS", 150)
-    assert (langid.learn(table)[2] > 0).sum(0).tolist() == [100, 20]
+def score_by_force(text, names, counts):
+    """Log probabilities of the languages by the definition: words first, then shorter and shorter n-grams."""
+    import math
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    total = [0.0] * len(names)
+    vocabulary = [sum(c[k] for c in counts.values()) for k in range(len(names))]
+    grams = {}
+    for size in (1, 2, 3, 4):
+        table = defaultdict(lambda: [0] * len(names))
+        for w, c in counts.items():
+            for g in langid.Model.split(w, size):
+                table[g] = [a + b for a, b in zip(table[g], c, strict=True)]
+        grams[size] = table
+    for w in words:
+        for k in range(len(names)):
+            if w in counts:
+                total[k] += math.log((counts[w][k] + 0.1) / (vocabulary[k] + 0.1 * len(counts)))
+                continue
+            value = 0.0
+            for size in (4, 3, 2, 1):
+                known = [g for g in langid.Model.split(w, size) if g in grams[size]]
+                if known:
+                    all_of = sum(c[k] for c in grams[size].values())
+                    value = sum(math.log((grams[size][g][k] + 0.1) / (all_of + 0.1 * len(grams[size]))) for g in known) / len(known) + (4 - size) * langid.BACKOFF
+                    break
+            total[k] += value + langid.BACKOFF
+    share = [math.exp((t - max(total)) / len(words)) for t in total]
+    best = max(range(len(names)), key=lambda k: total[k])
+    return names[best], share[best] / sum(share)
+
+
+def test_langid_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(8)
+    counts = {"".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))): [rng.randrange(9), rng.randrange(9), rng.randrange(3)] for _ in range(40)}
+    names = ["x", "y", "z"]
+    model = langid.Model(names, list(counts), np.array(list(counts.values())))
+    for _ in range(60):
+        text = " ".join(rng.choice([*counts, *("".join(rng.choice("abcdéfq") for _ in range(rng.randint(1, 7))) for _ in range(20))]) for _ in range(rng.randint(1, 12)))
+        got, expected = model.score(text), score_by_force(text, names, counts)
+        assert got[0] == expected[0] and abs(got[1] - expected[1]) < 1e-9
+    assert model.score("123 _ ²") == (langid.UNKNOWN, 0.0)
 
 
 def test_near_duplicates(docs, clashing, corpus, empty):
@@ -206,6 +240,57 @@ def test_quality(spark, docs, corpus, empty):
     assert quality.measure(empty, weights).count() == 0
 
 
+MIXED_PROSE = ["The old house stands by the sea and waits.", "Nobody came to see it for many years.", "Then a child opened the door."]
+MIXED_JUNK = ["Home | About | Contact | Login | More", "BUY NOW!! CHEAP!! OFFER!!", "###*** $$$ win %%% &&& click ***"]
+
+
+def test_quality_labels_lines_of_mixed_documents():
+    import numpy as np
+
+    rng = random.Random(2)
+    pick = lambda pool, n: [rng.choice(pool) + " " + "word " * rng.randrange(3) for _ in range(n)]
+    good = ["\n".join(pick(MIXED_PROSE, 8)) for _ in range(30)] + ["\n".join(pick(MIXED_PROSE, 7) + pick(MIXED_JUNK, 1)) for _ in range(10)]
+    bad = ["\n".join(pick(MIXED_PROSE, 2) + pick(MIXED_JUNK, 7)) for _ in range(40)]
+    weights = quality.train(good + bad, [True] * 40 + [False] * 40)
+
+    def labels(text):
+        (part,) = quality.slices(pa.array([text]))
+        return quality.viterbi(quality.Lines(part).features(part) @ np.array(weights[:-1]), weights[-1]).tolist()
+
+    assert labels("\n".join([*MIXED_PROSE, *MIXED_JUNK, *MIXED_PROSE])) == [True] * 3 + [False] * 3 + [True] * 3
+
+
+def test_quality_gradient_by_brute_force():
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=(4, 2, 3)), rng.normal(size=4)
+    there = np.array([[1, 1], [1, 1], [1, 1], [1, 0]], bool)
+    x[~there] = 0
+    content, same = quality.marginals(x @ w[:-1], w[-1], there)
+    for c, n in ((0, 4), (1, 3)):
+        labels = list(itertools.product((0, 1), repeat=n))
+        score = lambda y: sum(float(x[i, c] @ w[:-1]) * y[i] for i in range(n)) + w[-1] * sum(y[i] == y[i + 1] for i in range(n - 1))  # noqa: B023, E731
+        mass = [math.exp(score(y)) for y in labels]
+        for i in range(n):
+            assert abs(content[i, c] - sum(m for m, y in zip(mass, labels, strict=True) if y[i]) / sum(mass)) < 1e-9
+        for i in range(n - 1):
+            assert abs(same[i, c] - sum(m for m, y in zip(mass, labels, strict=True) if y[i] == y[i + 1]) / sum(mass)) < 1e-9
+    goal, pairs = np.where(there, 0.3, 0.0), np.where(there[1:], 0.6, 0.0)
+    likelihood = lambda v: sum(
+        float((goal[:n, c] * (x[:n, c] @ v[:-1])).sum() + v[-1] * pairs[: n - 1, c].sum())
+        - math.log(sum(math.exp(sum(float(x[i, c] @ v[:-1]) * y[i] for i in range(n)) + v[-1] * sum(y[i] == y[i + 1] for i in range(n - 1))) for y in itertools.product((0, 1), repeat=n)))
+        for c, n in ((0, 4), (1, 3))
+    )
+    found = quality.gradient(w, x, there, goal, pairs, np.ones(2))
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-5
+        assert abs(found[k] - (likelihood(w + step) - likelihood(w - step)) / 2e-5) < 1e-6
+
+
 def test_viterbi_is_the_best_labelling():
     import itertools
     import random

@@ -5,27 +5,29 @@ language has falls back to its character 4-grams, those unknown too to 3-, 2-
 and 1-grams, each step at a penalty. A text takes the language with the
 highest sum.
 
-The model is learned from a bounded sample of labelled documents, about
-SAMPLE_DOCS of each language, chosen by a hash of the id; it keeps the WORDS
-most frequent words of each language, so it can be broadcast, and a language
-loses no words to another. Held-out documents (crc32 of the
-id as text leaves remainder HELD_OUT modulo FOLDS) are never learned from.
+The model is learned from a bounded sample of labelled documents: about
+SAMPLE_DOCS of each language, chosen by a hash of the id, of at most
+SAMPLE_BYTES each. It has every word of the sample, so its size is bounded by
+the sample's and it can be broadcast. Held-out documents (crc32 of the id as
+text leaves remainder HELD_OUT modulo FOLDS) are never learned from.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; null
 languages are not learned; without any labelled document every text is `und`;
-repeated rows get equal results.
+very long texts are scored whole; an empty table gives an empty result;
+repeated rows get equal results; columns of the input that have the name of a
+result are replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,7 @@ from weftline.llm.scratch import Scratch
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS = 2000
-#: Words kept of each language.
-WORDS = 200_000
+SAMPLE_BYTES = 200_000
 LONGEST = 4
 #: Words whose n-grams are counted at once.
 SLICE = 10_000
@@ -44,7 +45,9 @@ BACKOFF = math.log(0.4)
 KEPT_WORDS = 1 << 16
 UNKNOWN = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: What a word is, for Spark and for Python.
+WORD = r"\p{L}+"
+_WORD = regex.compile(WORD)
 
 
 def held_out(doc_id: str) -> F.Column:
@@ -54,7 +57,7 @@ def held_out(doc_id: str) -> F.Column:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], list[str], np.ndarray]:
     """(languages, words, counts of each word in each language), from the sample."""
-    usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    usable = docs.filter(~held_out(doc_id) & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
     sizes = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(lang).collect()}
     if not sizes:
         return [], [], np.zeros((0, 0))
@@ -62,34 +65,16 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     share = F.lit(1.0)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, min(1.0, SAMPLE_DOCS / n)).otherwise(share)
-    each = usable.filter(chance < share).select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    each = usable.filter(chance < share).select(F.col(lang).alias("l"), F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))).alias("w"))
     counts = each.groupBy("w", "l").count()
     counts = Scratch(docs.sparkSession).write("counts", counts)
     names = sorted(sizes)
-    kept = counts
-    for name, (least, share) in _least_counts(counts).items():
-        lucky = F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int(share * (1 << 20))
-        kept = kept.filter((F.col("l") != name) | (F.col("count") > least) | ((F.col("count") == least) & lucky))
-    by = kept.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"))
+    by = counts.groupBy("w").agg(F.map_from_entries(F.collect_list(F.struct("l", "count"))).alias("by"))
     table = by.select("w", F.array(*[F.coalesce(F.col("by")[k], F.lit(0)) for k in names]).alias("n")).toArrow().combine_chunks()
     found = pc.list_flatten(table["n"]).to_numpy().reshape(-1, len(names))
     return names, table["w"].to_pylist(), found
 
 
-def _least_counts(counts: DataFrame) -> dict[str, tuple[int, float]]:
-    """Of languages with over WORDS words, the count below which a word is left out, and the share that stays of those with just that count."""
-    sizes = counts.groupBy("l", "count").agg(F.count("*").alias("n")).orderBy("l", F.desc("count")).collect()  # as many rows as there are different counts
-    out: dict[str, tuple[int, float]] = {}
-    so_far: Counter = Counter()
-    for name, count, n in sizes:
-        if so_far[name] < WORDS < so_far[name] + n:
-            out[name] = (count, (WORDS - so_far[name]) / n)
-        elif so_far[name] == WORDS:
-            out[name] = (count, 0.0)
-        so_far[name] += n
-    return out
-
-
 class Model:
     """Log frequencies of words and of character n-grams for each language."""
 
@@ -153,7 +138,7 @@ class Model:
     def score(self, text: str) -> tuple[str, float]:
         """The best language and its share of the probability, by the mean score of a word."""
         words = _WORD.findall(text.lower())
-        if not self.names or not any(c.isalpha() for w in words for c in w):
+        if not self.names or not words:
             return UNKNOWN, 0.0
         counts = Counter(words)
         new = [w for w in counts if w not in self.index]
