@@ -60,6 +60,47 @@ def test_licenses(docs, corpus, empty):
     assert twice == 0 and licenses.scan(empty).count() == 0
 
 
+def license_labels(text):
+    """(labels, best coverage) by the rule of diagonals, template by template."""
+    w, found, best = brute.plain_words(text), {x for x in brute.licenses(text)[4].split(",") if x}, 0.0
+    for label, template in licenses.templates():
+        t = template.split()
+        grams, votes = len(t) - 2, defaultdict(set)
+        for at in range(grams):
+            for pos in range(len(w) - 2):
+                if w[pos : pos + 3] == t[at : at + 3]:
+                    votes[pos - at].add(at)
+        span, last = set(), None
+        for diagonal in sorted(votes):
+            if last is not None and diagonal - last > licenses.SLACK:
+                span = set()
+            span, last = span | votes[diagonal], diagonal
+            if len(span) / grams >= licenses.COVERAGE:
+                found.add(label)
+                best = max(best, len(span) / grams)
+    return ",".join(sorted(found)), best
+
+
+def test_license_labels_by_brute_force(spark, clashing):
+    rng, rows = random.Random(6), []
+    for k, (_, template) in enumerate(licenses.templates()):
+        w = template.split()
+        rows.append((3 * k, " ".join(rng.choices(["alpha", "beta", "the"], k=9) + w + rng.choices(["gamma", "of"], k=5))))
+        for at in sorted(rng.sample(range(len(w)), max(1, len(w) // 12)), reverse=True):
+            w[at : at + 1] = rng.choice([[], ["inserted", w[at]], ["changed"]])
+        rows.append((3 * k + 1, " ".join(w).upper()))
+        rows.append((3 * k + 2, " ".join(w[: len(w) // 2])))
+    rows.append((999, " ".join(t for _, t in licenses.templates()) + " mit license"))
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        labels, best = license_labels(text)
+        assert r.labels == labels, (r.doc_id, text)
+        assert abs(r.score - (1.0 if r.n_base else min(best, 1.0))) < 1e-9
+    assert len(found) == len(rows) and sum(r.labels != "" for r in found) >= 40
+    assert licenses.scan(clashing).count() == clashing.count()
+
+
 def test_license_scan_is_native(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)

@@ -8,12 +8,15 @@ or left out shift the rest, and a span is verified if its votes cover enough
 distinct template positions. Places of base phrases are found in the same
 pass; their labels always stay.
 
-The template table is fixed, of under 300 rows, so it is broadcast. Only rows
-that vote, and one row of each document, are shuffled, by document.
+Templates are sentences and whole texts of licenses. Their table is fixed, of
+under 1,500 rows, so it is broadcast. Only rows that vote, and one row of each
+document, are shuffled, by document.
 
 Edge cases: null and empty texts have no words, places or labels and a score
-of 0; repeated rows each get their own equal result; rows that share a doc_id
-but not the text are kept apart.
+of 0; very long texts are scanned whole, their words as rows; an empty table
+gives an empty result; repeated rows each get their own equal result; rows that
+share a doc_id but not the text are kept apart; other columns of the input are
+not read.
 """
 
 from __future__ import annotations
@@ -42,11 +45,64 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+#: Whole license texts and notices, as lower-case words, and their labels.
+WHOLE_TEXTS = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties "
+        "of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other "
+        "liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied "
+        "warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever "
+        "resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or "
+        "performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright "
+        "notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this "
+        "software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http "
+        "www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even "
+        "the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in "
+        "source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+)
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def templates() -> list[tuple[str, str]]:
+    """(label, text) of single sentences and of whole texts: a part of a license is seen by its sentences."""
+    return [*TEMPLATES, *WHOLE_TEXTS]
+
+
 def words(text: str) -> F.Column:
     """The words of a text, A-Z lower-cased."""
     return F.array_remove(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _SMALL), _BREAK), "")
@@ -64,7 +120,7 @@ def _base_label() -> F.Column:
 
 def _template_grams(docs: DataFrame) -> DataFrame:
     """(hash, template, at, grams, label) of each template position."""
-    rows = [(k, at, len(text.split()) - GRAM + 1, label, *text.split()[at : at + GRAM]) for k, (label, text) in enumerate(TEMPLATES) for at in range(len(text.split()) - GRAM + 1)]
+    rows = [(k, at, len(text.split()) - GRAM + 1, label, *text.split()[at : at + GRAM]) for k, (label, text) in enumerate(templates()) for at in range(len(text.split()) - GRAM + 1)]
     table = docs.sparkSession.createDataFrame(rows, "template int, at int, grams int, label string, w0 string, w1 string, w2 string")
     return table.select(F.xxhash64("w0", "w1", "w2").alias("hash"), "template", "at", "grams", F.col("label").alias("of"), *[F.col(f"w{i}").alias(f"t{i}") for i in range(GRAM)])
 
@@ -76,7 +132,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     shifted = [F.slice("w", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(1, GRAM)]
     zipped = split.select("doc_id", "th", n.alias("n"), F.col("w").alias("w0"), *shifted)
     grams = zipped.select("doc_id", "th", "n", F.posexplode_outer(F.arrays_zip(*[f"w{i}" for i in range(GRAM)])).alias("pos", "g"))
-    first_words = sorted({t.split()[i] for _, t in TEMPLATES for i in range(len(t.split()) - GRAM + 1)} | {p.split()[0] for p, _ in PHRASES})
+    first_words = sorted({t.split()[i] for _, t in templates() for i in range(len(t.split()) - GRAM + 1)} | {p.split()[0] for p, _ in PHRASES})
     seeds = grams.filter(F.col("pos").isNull() | (F.col("pos") == 0) | F.col("g.w0").isin(first_words)).withColumn("base", _base_label())
     table = F.broadcast(_template_grams(docs))  # a fixed table
     same = F.xxhash64("g.w0", "g.w1", "g.w2") == F.col("hash")
