@@ -42,7 +42,7 @@ of texts with that id one is kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +61,7 @@ MATCHES = 36
 #: Long lists get another leader as long as the last one linked so large a share of what it was compared with.
 PAYS = 0.1
 #: Posting lists of up to so many members are compared pair by pair.
-SMALL = 16
+SMALL = 8
 #: Similarity threshold as (numerator, denominator).
 THRESHOLD = (80, 100)
 
@@ -189,8 +189,9 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Links:
     """Candidate pairs in, confirmed links and components out."""
 
-    def __init__(self, scratch: Scratch, sketches: DataFrame, members: DataFrame):
-        self.scratch, self.sketches, self.members = scratch, sketches, members
+    def __init__(self, scratch: Scratch, sketches: DataFrame):
+        self.scratch, self.sketches = scratch, sketches
+        self.members: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.table, self.round = "", 0
@@ -200,25 +201,38 @@ class Links:
         side = lambda name: self.members.select(F.col("node").alias(name), F.col("members").alias(f"members_{name}"))
         return pairs.hint("merge").join(side(a), a).hint("merge").join(side(b), b)
 
-    def confirm(self, pairs: DataFrame) -> tuple[int, int]:
-        """Add the pairs (a < b, sizes known to fit) that pass both tests; how many there were, and how many passed."""
-        self.round += 1
+    def alike(self, name: str, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The distinct pairs (a < b, sizes known to fit) whose sketches agree, and how many were compared."""
         side = lambda node: self.sketches.select(F.col("node").alias(node), F.col("sketch").alias(f"sketch_{node}"))
-        pairs = self.scratch.write(f"pairs{self.round}", pairs.distinct())
+        pairs = self.scratch.write(f"{name}-pairs", pairs.distinct())
+        compared = pairs.count()
         met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b")
-        alike = self.scratch.write(f"alike{self.round}", met.mapInArrow(_alike, "a long, b long"), heavy=True)
+        found = self.scratch.write(name, met.mapInArrow(_alike, "a long, b long"), heavy=True)
+        self.scratch.drop(f"{name}-pairs")
+        return found, compared
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are not connected yet."""
+        if self.labels is None:
+            return pairs
+        label = lambda node: self.labels.select(F.col("node").alias(node), F.col("label").alias(f"label_{node}"))
+        named = pairs.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        return named.filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+    def confirm(self, alike: DataFrame) -> int:
+        """Add the pairs whose full sets reach the threshold; how many."""
+        self.round += 1
         shared = F.size(F.array_intersect("members_a", "members_b"))
         union = F.size("members_a") + F.size("members_b") - shared
         links = self.scratch.write(f"links{self.round}", self.both(alike, "a", "b").filter(THRESHOLD[1] * shared >= THRESHOLD[0] * union).select("a", "b"), heavy=True)
-        compared, linked = pairs.count(), links.count()
-        self.scratch.drop(f"pairs{self.round}", f"alike{self.round}")
+        linked = links.count()
         if linked:
             self.links = links if self.links is None else self.links.unionByName(links)
             before = self.table
             self.labels, self.table = components(self.scratch, f"labels{self.round}", self.links)
             if before:
                 self.scratch.drop(before)
-        return compared, linked
+        return linked
 
 
 def _fit(a: str, b: str) -> F.Column:
@@ -253,33 +267,39 @@ def _with_leader(lists: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 def _all_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs (a, b) of short lists, of members in different components."""
+    """All pairs (a, b) of the members of short lists."""
     one, other = lists.alias("p"), lists.alias("q")
-    pairs = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.comp") < F.col("q.comp")) & _fit("p.n", "q.n"))
-    return pairs.select(*_pair("p.node", "q.node"))
+    pairs = one.join(other, (F.col("p.token") == F.col("q.token")) & (F.col("p.node") < F.col("q.node")) & _fit("p.n", "q.n"))
+    return pairs.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
 
 
-def _settle_lists(scratch: Scratch, links: Links, lists: DataFrame) -> None:
-    """Confirm all links between members of one list."""
-    lists = _open_lists(scratch, "open1", lists, None)
-    leaders = scratch.write("leaders1", lists.groupBy("token").agg(_leader()))
-    links.confirm(_with_leader(lists, leaders))
-    lists = _open_lists(scratch, "open2", lists, links.labels)
+def _settle(scratch: Scratch, links: Links, lists: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> None:
+    """Confirm all links between members of one list; sets_of gives the full sets of the nodes that can have one."""
     sizes = lists.groupBy("token").agg((F.count("*") <= SMALL).alias("small"))
     sized = scratch.write("sized", lists.join(sizes, "token"), heavy=True)
-    pairs, lists = _all_pairs(sized.filter("small")), sized.filter("not small").drop("small")
-    tried, turn = leaders.select("token", F.col("l.node").alias("node")), 2
+    long = _open_lists(scratch, "open1", sized.filter("not small").drop("small"), None)
+    leaders = scratch.write("leaders1", long.groupBy("token").agg(_leader()))
+    first, _ = links.alike("alike1", _with_leader(long, leaders))
+    short, _ = links.alike("alike2", _all_pairs(sized.filter("small")))
+    nodes = long.select("node")
+    for pairs in (first, short):
+        nodes = nodes.unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    links.members = sets_of(scratch.write("live", nodes.distinct()))
+    links.confirm(first)
+    links.confirm(links.apart(short))
+    long = _open_lists(scratch, "open2", long, links.labels)
+    tried, turn = leaders.select("token", F.col("l.node").alias("node")), 3
     while True:
         now = tried if links.labels is None else tried.join(links.labels, "node", "left").select("token", F.coalesce("label", "node").alias("node"))
-        outside = lists.join(now.select("token", F.col("node").alias("comp")), ["token", "comp"], "left_anti")
+        outside = long.join(now.select("token", F.col("node").alias("comp")), ["token", "comp"], "left_anti")
         leaders = scratch.write(f"leaders{turn}", outside.groupBy("token").agg(_leader()))
-        met = _with_leader(lists, leaders)
-        compared, linked = links.confirm(pairs.unionByName(met) if turn == 2 else met)
-        lists, turn = _open_lists(scratch, f"open{turn + 1}", lists, links.labels), turn + 1
+        alike, compared = links.alike(f"alike{turn}", _with_leader(long, leaders))
+        linked = links.confirm(alike)
+        long, turn = _open_lists(scratch, f"open{turn}", long, links.labels), turn + 1
         if linked < PAYS * compared or not linked:
             break
         tried = tried.unionByName(leaders.select("token", F.col("l.node").alias("node")))
-    links.confirm(_by_differences(scratch, links, lists))
+    links.confirm(links.alike("alike-last", _by_differences(scratch, links, long))[0])
 
 
 def _by_differences(scratch: Scratch, links: Links, lists: DataFrame) -> DataFrame:
@@ -339,13 +359,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     wanted = scratch.write("wanted", lists.select("node").distinct())
     some = classes.join(wanted.hint("merge"), "node", "left_semi")
     sketches = scratch.write("sketches", _sketches(some), heavy=True)
-    reps = scratch.write("reps", some.select("node", "doc", "th"))
     named = scratch.write("named", classes.select("fa", "fb", "n", "node", "doc", "th"), heavy=True)
     scratch.drop("classes", "wanted")
-    members = scratch.bucketed("members", member_sets(texts.join(reps.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")), "node")
-    scratch.drop("reps")
-    links = Links(scratch, sketches, members)
-    _settle_lists(scratch, links, lists)
+    links = Links(scratch, sketches)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        reps = scratch.write("reps", named.select("node", "doc", "th").join(nodes.hint("merge"), "node", "left_semi"))
+        found = texts.join(reps.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")
+        return scratch.bucketed("members", member_sets(found), "node")
+
+    _settle(scratch, links, lists, sets_of)
     if links.labels is None:
         labelled = named.withColumn("label", F.col("node"))
     else:
