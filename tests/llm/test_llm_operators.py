@@ -49,6 +49,52 @@ def test_byte_repeats(docs, corpus, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_ranks_by_prefix_doubling(docs, corpus, empty):
+    found = defaultdict(set)
+    for r in suffix_dedup.by_ranks(docs).collect():
+        found[r.doc].add(r.pos)
+    seen, expected = set(), defaultdict(set)
+    for i, text in sorted(texts(corpus)):
+        data = (text or "").encode()
+        for at in range(len(data) - 99):
+            if data[at : at + 100] in seen:
+                expected[i].add(at)
+            seen.add(data[at : at + 100])
+    assert found == expected and len(expected) > 5
+    assert suffix_dedup.by_ranks(empty).count() == 0
+
+
+def test_repeats_without_ids(spark):
+    """Different texts under one id, or none, are told apart; equal rows keep what only they have."""
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = words(40)
+    rows = [(1, shared + " " + words(30)), (None, words(20) + " " + shared), (None, words(30)), (7, words(30)), (7, shared + " " + words(9)), (None, words(30))] * 2
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {bytes(r.kept).decode() for r in substring_dedup.remove_repeats(table).collect()}
+    assert kept == {t if i == 1 or shared not in t else t.replace(shared, "").strip() for i, t in rows}
+    left = {(r.doc_id, bytes(r.kept)) for r in suffix_dedup.remove_repeats(table).collect()}
+    assert len(left) == 6 and (1, rows[0][1].encode()) in left and all(len(k) < 110 for i, k in left if i == 7 and k != rows[3][1].encode())
+    assert {k for i, k in left if i is None} >= {rows[2][1].encode(), rows[5][1].encode()}
+
+
+def test_settling_batch_by_batch():
+    from weftline.llm import repeats
+
+    rng = random.Random(3)
+    flat = lambda parts: sorted((tuple(r.values()) for b in parts for r in b.to_pylist()), key=str)
+    for _ in range(300):
+        n = rng.randrange(1, 30)
+        rows = sorted((rng.randrange(4), rng.randrange(3), rng.randrange(4), rng.randrange(3), rng.randrange(2)) for _ in range(n))
+        columns = [pa.array(c, t) for c, t in zip((*zip(*rows, strict=True), [1] * n, [0] * n), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        whole = pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "lo", "th", "n", "off"])
+        cuts = [0, *sorted(rng.randrange(n + 1) for _ in range(4)), n]
+        for within in (True, False):
+            for representatives in (True, False):
+                parts = [whole.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+                assert flat(repeats._settle(iter(parts), within, representatives)) == flat(repeats._settle(iter([whole]), within, representatives))
+
+
 def test_licenses(docs, corpus, empty):
     found = {r.doc_id: r for r in licenses.scan(docs).collect()}
     for i, text in texts(corpus):

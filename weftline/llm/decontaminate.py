@@ -8,14 +8,16 @@ block names the patterns that end in it, their first word is compared, then
 all word hashes, then the bytes of the words.
 
 Many stretches of text are searched in lockstep, so the jumps are numpy
-gathers. The patterns are broadcast in parts of at most PART_BYTES of
-benchmark text, whose size is measured first; more than one part is searched
+gathers. The patterns are broadcast in parts of about PART_BYTES of benchmark
+text, whose size is measured first, as their tables take some 170 times that in
+each Python worker; more than one part is searched
 part by part, and the hits are merged by document.
 
 Edge cases: a null or empty text has no words and no hits; a null benchmark
 text or id gives no pattern; equal windows of several items count for each of
 them; repeated rows each get their own equal result; an empty benchmark gives
-zero hits everywhere.
+zero hits everywhere, and an empty table an empty result; very long texts are
+searched whole; columns of the input that have the name of a result are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from weftline.llm.kernels import ALNUM, LOWER, Texts, U, mix, slices, word_count
 from weftline.llm.scratch import Scratch
 
 WINDOW = 13
-PART_BYTES = 8 << 20
+PART_BYTES = 2 << 20
 #: Window ends that one lane of the lockstep search covers.
 LANE = 64
 COLUMNS = "n_words long, hits array<struct<first:int,last:int>>, items array<string>"

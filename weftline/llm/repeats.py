@@ -17,7 +17,8 @@ shuffle, and none of the windows undecided:
    the earliest of its run is a repeat.
 
 The sorts are range partitioned with the position as last key, so a gram that
-holds a third of all rows spreads over many tasks; what a partition cannot
+holds a third of all rows spreads over many tasks, and each task reads its
+sorted rows batch by batch; what a partition cannot
 settle alone is whether its first span goes on from the one before, so one or
 two rows a partition are compared in a second step. No group is ever gathered
 in one task, and no pairs of a group are made.
@@ -77,6 +78,11 @@ def _ids(rows: pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(rows.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
+def spread(rows: pa.RecordBatch, name: str, text: np.ndarray) -> np.ndarray:
+    """A column's value for each of the texts named."""
+    return _ids(rows, name)[text]
+
+
 def anchors(texts_of: DataFrame, rule: Rule) -> DataFrame:
     """A row for each anchor: a names its gram, b its span; lo and n say which windows it owns."""
 
@@ -154,41 +160,85 @@ def _ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(len(rows)), sizes), *fields
 
 
+@dataclass
+class _Open:
+    """Where a sorted partition stands after a batch: its last span, and how many spans and runs there were."""
+
+    a: int
+    b: int
+    doc: int
+    lo: int
+    head: pa.RecordBatch
+    spans: int
+    runs: int
+    in_run: int
+
+
+#: Rows of an unfinished run that are held back; more of them go on as representatives, which costs but loses nothing.
+HELD = 65536
+
+
+def _settled(rows: pa.RecordBatch, keep: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """The kept rows with their kind; names stay only where they are needed."""
+    hide = pa.array(kind < OPEN)
+    out = rows.take(pa.array(keep))
+    columns = [pc.if_else(hide, pa.scalar(None, pa.int64()), out.column(k)) for k in (0, 1)]
+    columns += [out.column(out.schema.get_field_index(k)) for k in PLACE_COLUMNS] + [pa.array(kind.astype(np.int8))]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", *PLACE_COLUMNS, "kind"])
+
+
 def _settle(batches: Iterator[pa.RecordBatch], within: bool, representatives: bool) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: which rows are repeats, which are representatives of their spans.
+    """Over one sorted partition, batch by batch: which rows are repeats, which are representatives of their spans.
 
     Whatever follows an equal span in the partition is a repeat. Only the first
-    row (and its ties) of the partition's first span stays open.
+    row (and its ties) of the partition's first span stays open. A run of one
+    span is not compared further, unless it may go on in another partition; so
+    the first rows of a run are held back until a second span follows or the run ends.
     """
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    a, b, doc, lo = (rows.column(k).to_numpy() for k in ("a", "b", "doc", "lo"))
-    new = np.ones(len(a), bool)
-    new[1:] = a[1:] != a[:-1]
-    new_span = new.copy()
-    new_span[1:] |= b[1:] != b[:-1]
-    run, heads = np.cumsum(new) - 1, np.flatnonzero(new_span)
-    first = np.repeat(heads, np.diff(np.append(heads, len(a))))
-    later = (doc > doc[first]) | (within & (doc == doc[first]) & (lo > lo[first]))
-    several = np.bincount(run[heads])[run] > 1
-    kind = np.full(len(a), -1, np.int8)
-    if representatives:  # a run at either edge may have other spans elsewhere
-        kind[several | (run == 0) | (run == run[-1])] = REPRESENTATIVE
-    kind[first == 0] = OPEN
-    kind[later] = REMOVED
-    keep = np.flatnonzero(kind >= 0)
-    kind = kind[keep]
-    if first[-1] > 0:  # tells the next partition where its first span started
-        keep, kind = np.append(keep, first[-1]), np.append(kind, EDGE)
-    still = kind >= OPEN
-    out = rows.take(pa.array(keep))
-    hide = pa.array(~still)
-    columns = [pc.if_else(hide, pa.scalar(None, pa.int64()), out.column(k).combine_chunks()) for k in ("a", "b")]
-    columns += [out.column(k).combine_chunks() for k in PLACE_COLUMNS] + [pa.array(kind.astype(np.int8))]
-    table = pa.Table.from_arrays(columns, names=["a", "b", *PLACE_COLUMNS, "kind"])
-    yield from table.to_batches(max_chunksize=65536)
+    at: _Open | None = None
+    held: list[pa.RecordBatch] = []
+
+    def release() -> Iterator[pa.RecordBatch]:
+        for rows in held:
+            yield _settled(rows, np.arange(rows.num_rows), np.full(rows.num_rows, REPRESENTATIVE, np.int8))
+        held.clear()
+
+    for rows in batches:
+        if not rows.num_rows:
+            continue
+        a, b, doc, lo = (rows.column(rows.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("a", "b", "doc", "lo"))
+        new = np.append(at is None or a[0] != at.a, a[1:] != a[:-1])
+        new_span = new | np.append(at is None or b[0] != at.b, b[1:] != b[:-1])
+        heads, span, run = np.flatnonzero(new_span), np.cumsum(new_span), np.cumsum(new)  # 0: what is carried on
+        before = at or _Open(0, 0, 0, 0, rows.slice(0, 1), 0, 0, 0)
+        head_doc, head_lo = np.append(before.doc, doc[heads])[span], np.append(before.lo, lo[heads])[span]
+        later = (doc > head_doc) | (within & (doc == head_doc) & (lo > head_lo))
+        spans = np.bincount(run[heads], minlength=run[-1] + 1)
+        spans[0] += before.in_run
+        kind = np.full(len(a), -1, np.int8)
+        if representatives:
+            decided = (spans[run] > 1) | (before.runs + run == 1)  # or the partition's first run
+            kind[decided] = REPRESENTATIVE
+        kind[before.spans + span == 1] = OPEN
+        kind[later] = REMOVED
+        if held and spans[0] > 1:
+            yield from release()
+        elif run[-1]:
+            held.clear()
+        keep = np.flatnonzero(kind >= 0)
+        if len(keep):
+            yield _settled(rows, keep, kind[keep])
+        if representatives:
+            waiting = np.flatnonzero((run == run[-1]) & (kind < 0))
+            if len(waiting):
+                held.append(rows.take(pa.array(waiting)))
+            if sum(h.num_rows for h in held) > HELD:
+                yield from release()
+                spans[run[-1]] += 1
+        at = _Open(a[-1], b[-1], head_doc[-1], head_lo[-1], rows.slice(heads[-1], 1) if len(heads) else before.head, before.spans + int(span[-1]), before.runs + int(run[-1]), int(spans[run[-1]]))
+    yield from release()
+    if at is not None and at.spans > 1:  # tells the next partition where its first span started
+        yield _settled(at.head, np.array([0]), np.array([EDGE], np.int8))
 
 
 def sorted_runs(scratch: Scratch, name: str, places: DataFrame, within: bool, representatives: bool) -> DataFrame:
@@ -218,7 +268,9 @@ def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
         open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
         found = sorted_runs(scratch, f"step{step}", blocks(texts.join(open_spans, ["doc", "th"]), rule, step), rule.within, step > 1)
         places = places.unionByName(found.filter(F.col("kind") == REMOVED))
-    return scratch.write("repeats", _gathered(places), heavy=True)
+    found = scratch.write("repeats", _gathered(places), heavy=True)
+    scratch.drop_all_but("repeats")
+    return found
 
 
 def cut(docs: DataFrame, rule: Rule, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

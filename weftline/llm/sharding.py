@@ -16,8 +16,8 @@ lives on the driver, and rows find their leaf by a nested CASE expression.
 
 Edge cases: a null text has the size of an empty one and equals it; null
 metadata counts as a value of its own; repeated rows are separate members of
-their group; an empty table gives an empty result; columns of the input other
-than the named ones are not used.
+their group; very long texts weigh their whole bytes; an empty table gives an
+empty result; columns of the input other than the named ones are not used.
 """
 
 from __future__ import annotations
@@ -194,6 +194,7 @@ def manifest(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text
     member = scratch.write("placed", placed).withColumn("shard", _route(tree).cast("int"))
     block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOT_BLOCKS)).cast("int")
     member = scratch.write("member", member.select("doc_id", "size", "text_crc32", "th", "shard", block.alias("block")))
+    scratch.drop_all_but("member")
     counts = member.groupBy("shard", "block").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = F.broadcast(counts.select("shard", "block", F.coalesce(before, F.lit(0)).alias("offset")))  # shards * SLOT_BLOCKS rows

@@ -9,7 +9,9 @@ least 13 words are removed.
 A word goes if a window that covers it also starts in a document with a
 smaller doc_id. Edge cases: null and empty texts, and texts of fewer than 13
 words, lose nothing; a null doc_id counts as the largest id; rows that repeat
-a doc_id never remove words of one another; repeats inside one document stay.
+a doc_id never remove words of one another; repeats inside one document stay;
+very long texts are read whole; an empty table gives an empty result; columns of
+the input that have the name of a result, or doc, th or ranges, are replaced.
 """
 
 from __future__ import annotations

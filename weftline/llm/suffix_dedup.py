@@ -20,15 +20,25 @@ repeat is lost (see repeats).
 A byte goes if a 100-byte string that covers it also starts earlier (smaller
 doc_id, or same document and earlier start). Edge cases: null and empty texts,
 and texts under 100 bytes, lose nothing; a null doc_id counts as the largest
-id; rows that repeat a doc_id and text count as one place and both keep it.
+id; rows that repeat a doc_id and text count as one place and both keep it;
+very long texts are read whole; an empty table gives an empty result; columns of
+the input that have the name of a result, or doc, th or ranges, are replaced.
+
+by_ranks() is prefix doubling over every position, with ranks, pairs of ranks
+and reranking. Its result is the same; what it costs is in the README.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.repeats import Rule, cut
+from weftline.llm.batches import map_texts
+from weftline.llm.kernels import Prefix, Texts, signed
+from weftline.llm.repeats import Rule, cut, keyed, spread
+from weftline.llm.scratch import Scratch
 
 LENGTH = 100
 GRAM = 37
@@ -41,6 +51,41 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return cut(docs, Rule("bytes", LENGTH, GRAM, within=True, head=HEAD, steps=STEPS), doc_id, text)
 
 
+def _positions(texts_of: DataFrame, size: int) -> DataFrame:
+    """(doc, th, pos, one, other) of every position with `size` bytes after it; one names these bytes."""
+
+    def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
+        grams = Prefix(texts.byte_values()).grams(size)
+        of = np.repeat(np.arange(len(texts)), np.diff(texts.offsets))
+        at = np.flatnonzero(np.arange(len(grams)) + size <= texts.offsets[of[: len(grams)] + 1])
+        text = of[at]
+        return {"doc": spread(rows, "doc", text), "th": spread(rows, "th", text), "pos": (at - texts.offsets[text]).astype(np.int32), "one": signed(grams[at]), "other": np.zeros(len(at), np.int64)}
+
+    return map_texts(texts_of, "text", kernel, "doc long, th long, pos int, one long, other long")
+
+
+def by_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = 25) -> DataFrame:
+    """(doc, th, pos): starts of the windows of `length` bytes that also start earlier, by prefix doubling.
+
+    Positions are ranked by their first bytes; each round sorts pairs of the
+    ranks of a position and of the one as far behind as the ranks reach, and
+    ranks anew. Positions whose rank is unique leave, and with them those that would pair with them.
+    """
+    scratch, reach, turn = Scratch(docs.sparkSession), first, 0
+    pairs = _positions(keyed(docs, doc_id, text), first)
+    while True:
+        places = scratch.ranked(f"sorted{turn}", pairs, "place", "one", "other", "doc", "pos", "th")
+        heads = places.groupBy("one", "other").agg(F.min("place").alias("rank"), F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        ranks = scratch.write(f"ranks{turn}", places.join(heads, ["one", "other"]).select("doc", "th", "pos", "rank", "head"), heavy=True)
+        scratch.drop(f"sorted{turn}", *([f"ranks{turn - 1}"] if turn else []))
+        if reach == length:
+            return ranks.filter(F.struct("doc", "pos") > F.col("head")).select("doc", "th", "pos").distinct()
+        step = min(reach, length - reach)
+        behind = ranks.select("doc", "th", (F.col("pos") - step).alias("pos"), F.col("rank").alias("other")).filter("pos >= 0").distinct()
+        pairs = ranks.select("doc", "th", "pos", F.col("rank").alias("one")).distinct().join(behind, ["doc", "th", "pos"])
+        reach, turn = reach + step, turn + 1
+
+
 def digests(found: DataFrame) -> DataFrame:
     """n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
