@@ -31,7 +31,7 @@ def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def sentence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of conversations with what was heard of them, times and scores."""
     refs, hyps = _spoken(spark, sf_dir)
-    found = S.sentences(S.edits(S.steps(refs, hyps), refs, hyps), refs)
+    found = S.sentences(S.edits(S.aligned_words(refs, hyps)), refs)
     return found.select("file_id", "sent_idx", "asr", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round("score", 6).alias("score"), F.round("ref_coverage", 6).alias("ref_coverage"))
 
 

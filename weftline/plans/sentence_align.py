@@ -24,11 +24,7 @@ def _sequence(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("file_id").agg(words.alias(name))
 
 
-def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None, whole_hyp: bool = True) -> DataFrame:
-    """(file_id, step, ref_pos, hyp_pos, status) of each aligned pair.
-
-    A file without words on one side gives one row that says so as its status.
-    """
+def _steps_of(scores: worddp.Scores | None, whole_hyp: bool):
     scores = scores or worddp.Scores()
 
     @F.pandas_udf(f"struct<steps:{_STEPS},status:string>")
@@ -39,25 +35,56 @@ def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None,
                 found.append([])
                 status.append("no reference words" if r is None else "no hypothesis words")
             else:
-                found.append([(s.ref_from, s.hyp_from, s.ref_to, s.hyp_to) for s in worddp.align(list(r), list(h), scores, whole_hyp)[0]])
+                found.append([{"ref_from": s.ref_from, "hyp_from": s.hyp_from, "ref_to": s.ref_to, "hyp_to": s.hyp_to} for s in worddp.align(list(r), list(h), scores, whole_hyp)[0]])
                 status.append("ok")
-        return pd.DataFrame({"steps": [[dict(zip(("ref_from", "hyp_from", "ref_to", "hyp_to"), s, strict=True)) for s in x] for x in found], "status": status})
+        return pd.DataFrame({"steps": found, "status": status})
+
+    return run
+
+
+def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None, whole_hyp: bool = True) -> DataFrame:
+    """(file_id, step, ref_pos, hyp_pos, status) of each aligned pair.
 
-    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id", "full").withColumn("found", run("ref", "hyp"))
+    A file without words on one side gives one row that says so as its status.
+    """
+    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id", "full").withColumn("found", _steps_of(scores, whole_hyp)("ref", "hyp"))
     each = aligned.select("file_id", "found.status", F.posexplode_outer("found.steps").alias("step", "s"))
     consumed = lambda a, b: F.when(F.col(f"s.{b}") > F.col(f"s.{a}"), F.col(f"s.{b}") - 1)
     return each.select("file_id", "step", consumed("ref_from", "ref_to").alias("ref_pos"), consumed("hyp_from", "hyp_to").alias("hyp_pos"), "status")
 
 
-def edits(aligned: DataFrame, refs: DataFrame, hyps: DataFrame) -> DataFrame:
-    """Steps with words, edit type, times and sentence.
+def aligned_words(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None, whole_hyp: bool = True) -> DataFrame:
+    """(file_id, step, ref_pos, hyp_pos, status, ref_word, sent_idx, hyp_word, start, end, conf): steps with their words.
+
+    Words travel with their file: one shuffle of each side, and no joins by position.
+    """
+    listed = lambda rows, *columns: rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("x"))
+    left = listed(refs, "word", "sent_idx", normalize_word("word").alias("w")).withColumnRenamed("x", "r")
+    right = listed(hyps, "word", "start", "end", "conf", normalize_word("word").alias("w")).withColumnRenamed("x", "h")
+    met = left.join(right, "file_id", "full").withColumn("found", _steps_of(scores, whole_hyp)("r.w", "h.w"))
+
+    def row(s: F.Column) -> F.Column:
+        r = F.when(s["ref_to"] > s["ref_from"], F.get("r", s["ref_from"]))
+        h = F.when(s["hyp_to"] > s["hyp_from"], F.get("h", s["hyp_from"]))
+        fields = [r["pos"].alias("ref_pos"), h["pos"].alias("hyp_pos"), r["word"].alias("ref_word"), r["sent_idx"].alias("sent_idx"), h["word"].alias("hyp_word"), *[h[c].alias(c) for c in ("start", "end", "conf")]]
+        return F.struct(*fields)
+
+    rows = met.select("file_id", "found.status", F.transform("found.steps", row).alias("rows"))
+    each = rows.select("file_id", "status", F.posexplode_outer("rows").alias("step", "x"))
+    return each.select("file_id", "step", "status", "x.*")
+
+
+def edits(aligned: DataFrame, refs: DataFrame | None = None, hyps: DataFrame | None = None) -> DataFrame:
+    """Steps with words, edit type, times and sentence; of steps() with both tables, or of aligned_words().
 
     Deletions last no time, at the end of the last word heard; a step belongs
     to the sentence of the last reference word consumed, at first to 0.
     """
-    r = refs.select("file_id", F.col("pos").alias("ref_pos"), F.col("word").alias("ref_word"), "sent_idx")
-    h = hyps.select("file_id", F.col("pos").alias("hyp_pos"), F.col("word").alias("hyp_word"), "start", "end", "conf")
-    met = aligned.filter("status = 'ok' and step is not null").join(r, ["file_id", "ref_pos"], "left").join(h, ["file_id", "hyp_pos"], "left")
+    met = aligned.filter("status = 'ok' and step is not null")
+    if refs is not None and hyps is not None:
+        r = refs.select("file_id", F.col("pos").alias("ref_pos"), F.col("word").alias("ref_word"), "sent_idx")
+        h = hyps.select("file_id", F.col("pos").alias("hyp_pos"), F.col("word").alias("hyp_word"), "start", "end", "conf")
+        met = met.join(r, ["file_id", "ref_pos"], "left").join(h, ["file_id", "hyp_pos"], "left")
     by = Window.partitionBy("file_id").orderBy("step")
     so_far = by.rowsBetween(Window.unboundedPreceding, 0)
     first = F.first("start", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -174,8 +201,8 @@ def align_files(refs: DataFrame, hyps: DataFrame, second: DataFrame | None = Non
     def one(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         if phrases is not None:
             words = collapse_phrases(words, phrases).select("file_id", "pos", "word", "start", "end", "conf")
-        aligned = steps(refs, words, scores, whole_hyp)
-        return aligned, sentences(edits(aligned, refs, words), refs)
+        aligned = aligned_words(refs, words, scores, whole_hyp)
+        return aligned, sentences(edits(aligned), refs)
 
     aligned, found = one(hyps)
     status = aligned.groupBy("file_id").agg(F.first("status").alias("status"))
