@@ -29,12 +29,12 @@ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace
   trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) AS collapsed,
   trim(regexp_replace(translate(lower(text), '‘’“”–—', '''''""--'), '[^a-z0-9]+', ' ', 'g')) AS key,
   substr(regexp_replace(trim(text), '[^\p{L}\p{N}_]+', '_', 'g'), 1, 80) AS slug,
-  regexp_extract_all(text, '[A-Za-z0-9''‘’‛]+') AS ocr_tokens FROM documents
+  array_to_string(regexp_extract_all(text, '[A-Za-z0-9''‘’‛]+'), ' ') AS ocr_tokens FROM documents
 """
 )
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cleaned, collapsed, as lookup keys, slugs and OCR words."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text("text").alias("cleaned"), T.collapse("text").alias("collapsed"), T.key_text("text").alias("key"), T.slug("text").alias("slug"), T.ocr_tokens("text").alias("ocr_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text("text").alias("cleaned"), T.collapse("text").alias("collapsed"), T.key_text("text").alias("key"), T.slug("text").alias("slug"), F.array_join(T.ocr_tokens("text"), " ").alias("ocr_tokens"))
 
 
 @query(
