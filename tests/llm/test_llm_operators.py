@@ -167,6 +167,70 @@ def test_sharding(spark, docs, corpus, empty):
     assert len(sizes) == 10 and max(sizes) <= 1.03 * min(sizes)
 
 
+def split_by_force(points, first, shards, full, leaf, out):
+    """The k-d tree by its rule: cut the widest dimension at the weighted median, ties by hash, then by row."""
+    if shards == 1:
+        out.update((p["id"], first) for p in points)
+        return
+    spread = lambda d: (max(p[d] for p in points) - min(p[d] for p in points)) / full[d]
+    dim = max(sharding.DIMENSIONS, key=lambda d: (spread(d), d))
+    target, before, inside, fixed = sum(p["weight"] for p in points) * (shards // 2) / shards, 0.0, points, []
+    for key in (dim, "tie", "row"):
+        values = sorted({p[key] for p in inside})
+        for v in values:
+            weight = sum(p["weight"] for p in inside if p[key] == v)
+            if before + weight >= target or v == values[-1]:
+                break
+            before += weight
+        fixed.append((key, v))
+        inside = [p for p in inside if p[key] == v]
+        if weight <= sharding.TOLERANCE * leaf:
+            break
+    through = before + weight - target <= target - before
+    place, cut = (lambda p: tuple(p[k] for k, _ in fixed)), tuple(v for _, v in fixed)
+    left = [p for p in points if place(p) < cut or (through and place(p) == cut)]
+    split_by_force(left, first, shards // 2, full, leaf, out)
+    split_by_force([p for p in points if p not in left], first + shards // 2, shards - shards // 2, full, leaf, out)
+
+
+def test_tree_by_brute_force(spark):
+    from weftline.llm.scratch import Scratch
+
+    rng = random.Random(12)
+    points = [{"id": i, "x0": float(rng.randrange(40)), "x1": float(rng.choice([0, 0, 0, 7, 9])), "x2": rng.random(), "x3": float(i), "tie": float(rng.randrange(50)), "row": float(i % 3), "weight": float(rng.randint(1, 90))} for i in range(400)]
+    points += [{**points[0], "id": 1000 + k, "row": float(k), "weight": 400.0} for k in range(30)]
+    table = spark.createDataFrame(points, "id int, x0 double, x1 double, x2 double, x3 double, tie double, row double, weight double")
+    full = {d: max(p[d] for p in points) - min(p[d] for p in points) for d in sharding.DIMENSIONS}
+    for shards in (2, 7):
+        tree = sharding.grow(Scratch(spark), table, shards)
+        found = {r.id: r.shard for r in table.select("id", sharding._route(tree).alias("shard")).collect()}
+        expected = {}
+        split_by_force(points, 0, shards, full, sum(p["weight"] for p in points) / shards, expected)
+        assert found == expected and len(set(found.values())) == shards
+
+
+def test_very_long_texts_and_other_columns(spark, clashing):
+    """Texts of 200,000 words, and columns named like results, through the operators that map texts."""
+    rng = random.Random(5)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", str(rng.randrange(10**6))]) for _ in range(200_000))
+    table = spark.createDataFrame([(1, long, "en", "s"), (2, long[:900_000], "en", "s"), (3, "short text here", "en", "s")], "doc_id long, text string, lang string, source string")
+    benchmark = spark.createDataFrame([(1, " ".join(long.split()[150_000:150_020]))], "item_id int, text string")
+    hits = {r.doc_id: (r.n_words, r.n_hit) for r in decontaminate.verdicts(decontaminate.occurrences(table, benchmark)).collect()}
+    assert hits[1] == (200_000, 20) and hits[3] == (3, 0)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.digests(substring_dedup.remove_repeats(table)).collect()}
+    assert removed[1] == removed[3] == 0 and removed[2] >= len(long[:900_000].split()) - 1
+    cut = {r.doc_id: r.n_removed for r in suffix_dedup.digests(suffix_dedup.remove_repeats(table)).collect()}
+    assert cut[2] == 900_000 and cut[3] == 0
+    assert near_dedup.verdicts(table).filter("kept").count() == 3 - (900_000 / len(long) > 0.85)
+    assert mixing.report(table).filter("size = 200000").count() == 1 and sharding.manifest(table, shards=2).count() == 3
+    assert licenses.scan(table).filter("n_words = 200000").count() == 1
+    assert quality.measure(table, quality.DEFAULT_WEIGHTS).filter("n_words = 200000").count() == 1
+    n = clashing.count()
+    assert quality.measure(clashing, quality.DEFAULT_WEIGHTS).count() == n and sharding.manifest(clashing, shards=4).count() == n
+    assert decontaminate.occurrences(clashing, benchmark).count() == n and langid.predict(clashing, langid.learn(clashing)).count() == n
+    assert suffix_dedup.remove_repeats(clashing).count() == n
+
+
 def test_mixing(docs, clashing, corpus, empty):
     size, by = {i: len(brute.words(t)) for i, t in texts(corpus)}, defaultdict(int)
     source = {r[0]: r[3] for r in corpus}

@@ -62,3 +62,16 @@ def test_run_equals_stages(spark, stages):
     folder, out = stages
     ran = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, out[5].collect()))
+
+
+def test_stages_of_an_empty_table(spark, stages, empty):
+    folder, _ = stages
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+
+
+def test_stages_keep_other_columns(spark, stages, clashing):
+    folder, out = stages
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        found = stage(spark, clashing, folder)
+        assert found.columns == clashing.columns and 0 < found.select("doc_id").distinct().count() <= clashing.count(), k
