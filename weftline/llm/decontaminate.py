@@ -9,8 +9,8 @@ all word hashes, then the bytes of the words.
 
 Many stretches of text are searched in lockstep, so the jumps are numpy
 gathers. The patterns are broadcast in parts of about PART_BYTES of benchmark
-text, whose size is measured first, as their tables take some 170 times that in
-each Python worker; more than one part is searched
+text, whose size is measured first; their tables take some 60 times that in each
+Python worker. More than one part is searched
 part by part, and the hits are merged by document.
 
 Edge cases: a null or empty text has no words and no hits; a null benchmark
@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.batches import append_columns, without
-from weftline.llm.kernels import ALNUM, LOWER, Texts, U, mix, slices, word_counts
+from weftline.llm.kernels import ALNUM, LOWER, Prefix, Texts, U, mix, slices, word_counts
 from weftline.llm.scratch import Scratch
 
 WINDOW = 13
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
+#: Bits of the largest shift table, a byte for each slot.
+MOST_BITS = 25
 #: Window ends that one lane of the lockstep search covers.
 LANE = 64
 COLUMNS = "n_words long, hits array<struct<first:int,last:int>>, items array<string>"
@@ -43,17 +45,38 @@ COLUMNS = "n_words long, hits array<struct<first:int,last:int>>, items array<str
 
 @dataclass
 class Length:
-    """Tables of the patterns of one length."""
+    """Tables of the patterns of one length.
 
-    words: int
+    A pattern is a run of `size` of the benchmark's words, from word `first` on;
+    hashes, starts and ends are those of all words, text is their bytes with one
+    blank between, and items[bounds[k] : bounds[k + 1]] are the ids of pattern k's items.
+    """
+
+    size: int
     block: int
     bits: int
     shift: np.ndarray
+    bucket_bits: int
     bucket: np.ndarray
     members: np.ndarray
+    first: np.ndarray
     hashes: np.ndarray
-    texts: list[bytes]
-    items: list[list[str]]
+    starts: np.ndarray
+    ends: np.ndarray
+    text: bytes
+    bounds: np.ndarray
+    items: list[str]
+
+    def ids(self, k: int) -> list[str]:
+        return self.items[self.bounds[k] : self.bounds[k + 1]]
+
+    def bytes_of(self, k: int) -> bytes:
+        return self.text[self.starts[self.first[k]] : self.ends[self.first[k] + self.size - 1]]
+
+    def suffixes(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds among the members of the suffix-hash buckets of those slots."""
+        slots = slots >> (self.bits - self.bucket_bits)
+        return self.bucket[slots], self.bucket[slots + 1]
 
 
 def _block_slots(hashes: np.ndarray, ends: np.ndarray, block: int, bits: int) -> np.ndarray:
@@ -63,42 +86,55 @@ def _block_slots(hashes: np.ndarray, ends: np.ndarray, block: int, bits: int) ->
     return (mix(x) >> U(64 - bits)).astype(np.int64)
 
 
+def _joined(part: Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the words, lower-cased, each followed by a blank."""
+    sizes = ends - starts
+    nth = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+    out[np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes) + nth] = LOWER[part.data[np.repeat(starts, sizes) + nth]]
+    return out
+
+
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Length]:
     """Shift tables and suffix buckets of the windows of the items (id, text)."""
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, list[str]]]] = {}
-    if not items:
-        return []
-    for part in slices(pa.array([t for _, t in items], pa.string())):
+    hashes, sizes, texts, counts = [], [], [], []
+    for part in slices(pa.array([t for _, t in items], pa.string())) if items else ():
         starts, ends, of = part.words(ALNUM)
-        hashes = part.word_hashes(starts, ends, fold=True)
-        folded = LOWER[part.data].tobytes()
-        bounds = np.searchsorted(of, np.arange(len(part) + 1))
-        for i in range(len(part)):
-            lo, hi = int(bounds[i]), int(bounds[i + 1])
-            n = min(window, hi - lo)
-            for at in range(lo, hi - n + 1) if n else ():
-                key = b" ".join(folded[starts[j] : ends[j]] for j in range(at, at + n))
-                ids = by_length.setdefault(n, {}).setdefault(key, (hashes[at : at + n], []))[1]
-                if items[part.first + i][0] not in ids:
-                    ids.append(items[part.first + i][0])
+        hashes.append(part.word_hashes(starts, ends, fold=True))
+        sizes.append(ends - starts)
+        texts.append(_joined(part, starts, ends))
+        counts.append(word_counts(part, of))
+    if not hashes or not sum(len(h) for h in hashes):
+        return []
+    hashes, sizes, text, count = (np.concatenate(x) for x in (hashes, sizes, texts, counts))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    size = np.minimum(count, window)
+    windows = np.where(count > 0, count - size + 1, 0)
+    item = np.repeat(np.arange(len(items)), windows)
+    first = np.repeat(np.cumsum(count) - count, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    names = [Prefix(hashes, which) for which in (0, 1)]
     out = []
-    for n, found in sorted(by_length.items()):
-        block = min(2, n)
-        hashes = np.array([h for h, _ in found.values()], np.uint64).reshape(len(found), n)
-        bits = max(8, min(24, int(len(found) * n * 16).bit_length()))
+    for n in np.unique(size[item]).tolist():
+        at, whose = first[size[item] == n], item[size[item] == n]
+        keys = np.stack([x.runs(at, at + n) for x in names], 1)
+        _, chosen, which = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+        at, pairs = at[chosen], np.unique(np.stack([which.ravel(), whose], 1), axis=0)
+        block, bits = min(2, n), max(8, min(MOST_BITS, int(len(at) * n * 16).bit_length()))
         shift = np.full(1 << bits, n - block + 1, np.int8 if n < 128 else np.int32)
         for end in range(block - 1, n):
-            slots = _block_slots(hashes.ravel(), np.arange(len(found)) * n + end, block, bits)
+            slots = _block_slots(hashes, at + end, block, bits)
             np.minimum.at(shift, slots, n - 1 - end)
         order = np.argsort(slots, kind="stable")
-        bucket = np.searchsorted(slots[order], np.arange((1 << bits) + 1))
-        out.append(Length(n, block, bits, shift, bucket, order, hashes, list(found), [ids for _, ids in found.values()]))
+        bucket_bits = min(bits, int(2 * len(at)).bit_length())
+        bucket = np.searchsorted(slots[order] >> (bits - bucket_bits), np.arange((1 << bucket_bits) + 1)).astype(np.int32)
+        bounds = np.searchsorted(pairs[:, 0], np.arange(len(at) + 1))
+        out.append(Length(n, block, bits, shift, bucket_bits, bucket, order, at, hashes, starts, starts + sizes, text.tobytes(), bounds, [items[k][0] for k in pairs[:, 1].tolist()]))
     return out
 
 
 def _candidates(p: Length, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Window ends at which the shift table stops the search, text by text."""
-    first, last = bounds[:-1] + p.words - 1, bounds[1:]
+    first, last = bounds[:-1] + p.size - 1, bounds[1:]
     room = np.maximum(last - first, 0)
     lanes = -(-room // LANE)
     nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -127,23 +163,23 @@ def search(texts: Texts, lengths: list[Length]) -> tuple[np.ndarray, np.ndarray,
             at = _candidates(p, hashes, bounds)
             if not len(at):
                 continue
-            slots = _block_slots(hashes, at, p.block, p.bits)
-            size = p.bucket[slots + 1] - p.bucket[slots]
-            at = np.repeat(at, size)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            which = p.members[np.repeat(p.bucket[slots], size) + nth]
-            for j in range(p.words):  # the first word prunes most, the rest follows
-                same = hashes[at - p.words + 1 + j] == p.hashes[which, j]
+            low, high = p.suffixes(_block_slots(hashes, at, p.block, p.bits))
+            found = high - low
+            at = np.repeat(at, found)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(found) - found, found)
+            which = p.members[np.repeat(low, found) + nth]
+            for j in range(p.size):  # the first word prunes most, the rest follows
+                same = hashes[at - p.size + 1 + j] == p.hashes[p.first[which] + j]
                 at, which = at[same], which[same]
             if len(at) and folded is None:
                 folded = LOWER[texts.data].tobytes()
             for end, w in zip(at.tolist(), which.tolist(), strict=True):
-                lo = end - p.words + 1
-                if b" ".join(folded[starts[j] : ends[j]] for j in range(lo, end + 1)) == p.texts[w]:
+                lo = end - p.size + 1
+                if b" ".join(folded[starts[j] : ends[j]] for j in range(lo, end + 1)) == p.bytes_of(w):
                     t = int(of[end])
                     where.append(t)
                     spans.append((lo - int(bounds[t]), end - int(bounds[t])))
-                    items.append(p.items[w])
+                    items.append(p.ids(w))
     return counts, np.array(where, np.int64), np.array(spans, np.int64).reshape(-1, 2), items
 
 
