@@ -199,6 +199,23 @@ def test_recordings(spark, tmp_path):
     assert store.read(f"{tmp_path}/sub/t.txt") == "some text é" and "t.txt" in store.listdir(f"{tmp_path}/sub")
 
 
+def test_hub_and_archive(spark, tmp_path):
+    import gzip
+
+    spark.createDataFrame([(1,)], "k int").write.parquet(f"{tmp_path}/me/repo/out")
+    assert media.read_hub(spark, "hf://me/repo/out", lambda owner, repo: f"{tmp_path}/{owner}/{repo}").count() == 1
+    rows = spark.sql("SELECT 'http://x/1' AS url, CAST('HTTP/1.1 200 OK' AS BINARY) AS payload, TIMESTAMP '2024-01-02 03:04:05' AS fetched_at")
+    text = gzip.decompress(bytes(media.warc_records(rows).first().record)).decode()
+    assert text.startswith("WARC/1.0") and "WARC-Date: 2024-01-02T03:04:05Z" in text and text.endswith("HTTP/1.1 200 OK\r\n\r\n")
+
+
+def test_symbols(spark):
+    from weftline.operators import trajectory
+
+    found = {r.symbol: r.id for r in trajectory.symbol_table(spark, ["<b>", "a"], 2).collect()}
+    assert found["a"] == 1 and sorted(found.values()) == list(range(8)) and "0<trans>2" in found and "1<trans>1" not in found
+
+
 def test_extension_points(spark):
     texts = spark.createDataFrame([(1, "One. Two! "), (2, "a;b")], "id int, text string")
     extend.add_splitter("semicolon", lambda c: F.split(c, ";"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.islands import number_islands
@@ -113,3 +113,23 @@ def reference_arcs(reference: DataFrame, similar: DataFrame, keys: Sequence[str]
     cost = -F.log(F.lit(eps) * F.exp(-F.col("by") * F.col("by") / 2))
     markers = moved.select(*keys, "src", "dst", F.concat_ws("<trans>", F.col("src").cast("string"), F.col("dst").cast("string")).alias("label"), cost.alias("weight"))
     return right.unionByName(swaps).unionByName(markers)
+
+
+def symbol_table(spark: SparkSession, symbols: Sequence[str], markers: int = 0) -> DataFrame:
+    """(id, symbol): symbols by place, 0 being the blank; then the transition markers between states 0 to `markers`."""
+    listed = spark.createDataFrame(list(enumerate(symbols)), "id long, symbol string")
+    if not markers:
+        return listed
+    state = spark.range(markers + 1)
+    pairs = state.select(F.col("id").alias("i")).join(state.select(F.col("id").alias("j")), F.col("i") != F.col("j"))
+    place = F.col("i") * markers + F.col("j") - F.when(F.col("j") > F.col("i"), 1).otherwise(0)
+    return listed.unionByName(pairs.select((place + len(symbols)).alias("id"), F.concat_ws("<trans>", F.col("i").cast("string"), F.col("j").cast("string")).alias("symbol")))
+
+
+def ctc_topology(spark: SparkSession, tokens: int) -> DataFrame:
+    """(src, dst, ilabel, olabel) over states that are the last symbol read: blank 0, and one for each token; a token follows another only after a blank."""
+    token = spark.range(1, tokens).select(F.col("id").alias("t"))
+    arc = lambda *ends: F.struct(*[F.lit(v).cast("long").alias(n) if isinstance(v, int) else v.alias(n) for n, v in zip(("src", "dst", "ilabel", "olabel"), ends, strict=True)])
+    t = F.col("t")
+    arcs = token.select(F.inline(F.array(arc(0, t, t, t), arc(t, t, t, t), arc(t, 0, 0, 0))))
+    return arcs.unionByName(spark.range(1).select(F.inline(F.array(arc(0, 0, 0, 0)))))

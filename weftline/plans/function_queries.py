@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import geometry
 from weftline.functions import phones as P
 from weftline.functions import text as T
 from weftline.operators import joins, rules, trajectory
+from weftline.plans import chunk_pipeline
 from weftline.plans.registry import query
+from weftline.plans.sequences import SIMILARITY_SYMBOLS
 from weftline.session import table
 from weftline.sources import sinks, tables
 
@@ -195,3 +198,52 @@ def lookup_with_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = joins.first_wins(rich, ["n_nationkey"], ["s_suppkey"])
     met, missed = joins.with_rejects(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), first, ["n_nationkey"])
     return met.select("n_nationkey", "n_name", F.col("s_name").alias("first_supplier"), F.lit(False).alias("missed")).unionByName(missed.select("n_nationkey", "n_name", F.lit("").alias("first_supplier"), F.lit(True).alias("missed")))
+
+
+@query("SELECT 0 AS src, t AS dst, t AS ilabel, t AS olabel FROM range(1, 41) r(t) UNION ALL SELECT t, t, t, t FROM range(1, 41) r(t) UNION ALL SELECT t, 0, 0, 0 FROM range(1, 41) r(t) UNION ALL SELECT 0, 0, 0, 0")
+def topology_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs of the topology of the usual symbols."""
+    return trajectory.ctc_topology(spark, len(SIMILARITY_SYMBOLS))
+
+
+@query(
+    """
+WITH o AS (SELECT event_type AS phone, CASE WHEN value < 10 THEN 'deletion' WHEN value < 60 THEN 'substitution' ELSE 'match' END AS op, CASE WHEN value >= 10 AND value < 60 THEN CAST(user_id % 7 AS VARCHAR) END AS target FROM events),
+c AS (SELECT phone, op, target, count(*) AS n FROM o GROUP BY ALL), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY phone) AS BIGINT) AS total FROM c)
+SELECT phone, op, target, n, total, round(n / total, 6) AS rate FROM r WHERE op <> 'match' AND n >= 5 AND n / total >= 0.01
+"""
+)
+def phone_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms that are frequent whatever their context."""
+    value = F.col("value")
+    op = F.when(value < 10, "deletion").when(value < 60, "substitution").otherwise("match")
+    ops = table(spark, sf_dir, "events").select(F.col("event_type").alias("phone"), op.alias("op"), F.when(op == "substitution", (F.col("user_id") % 7).cast("string")).alias("target"))
+    counts = ops.groupBy("phone", "op", "target").agg(F.count("*").alias("n"))
+    return rules.rules(counts, ("phone",), min_total=0, min_count=5, min_rate=0.01).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    """
+WITH b AS (SELECT p_partkey, p_size * 1.5 AS x, p_size + 0.9 AS y, p_retailprice / 7 AS w, p_retailprice / 9 AS h FROM part)
+SELECT p_partkey, CAST(trunc(x) AS INT) AS "left", CAST(trunc(y) AS INT) + CAST(trunc(h) AS INT) AS bottom, 1000 - CAST(trunc(y + h) AS INT) AS y1, CAST(trunc(x + w) AS INT) AS x2 FROM b
+"""
+)
+def part_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rectangles on a page of height 1000, under both conventions of the origin."""
+    x, y, w, h = F.col("p_size") * 1.5, F.col("p_size") + 0.9, F.col("p_retailprice") / 7, F.col("p_retailprice") / 9
+    rows = table(spark, sf_dir, "part").select("p_partkey", geometry.crop(x, y, w, h).alias("c"), geometry.from_bottom(x, y, w, h, F.lit(1000)).alias("b"))
+    return rows.select("p_partkey", "c.left", "c.bottom", "b.y1", "b.x2")
+
+
+@query(
+    """
+WITH s AS (SELECT conv_id, turn, role, string_split(trim(text), ' ') AS w FROM conversations),
+r AS (SELECT conv_id, turn, turn * 1.0 AS start, role = 'system' OR len(list_filter(w, lambda x: x <> '')) = 0 AS decode, len(list_filter(w, lambda x: x <> '')) AS n FROM s)
+SELECT conv_id, CASE WHEN decode THEN 'decode' ELSE 'forced' END AS aligner, count(*) AS n_segments, CAST(sum(n) AS BIGINT) AS n_words FROM r GROUP BY ALL
+"""
+)
+def routed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as matched segments: which aligner each would take."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.trim("text").alias("passage"), (F.col("role") == "system").alias("is_boilerplate"), F.lit("ngram").alias("match_method"))
+    words = F.size(F.array_remove(F.split("passage", " "), ""))
+    return chunk_pipeline.routed(rows).groupBy("conv_id", "aligner").agg(F.count("*").alias("n_segments"), F.sum(words).cast("long").alias("n_words"))

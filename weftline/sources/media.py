@@ -5,7 +5,9 @@ Formats other than PCM WAV need a decoder that the caller passes in.
 
 from __future__ import annotations
 
+import gzip
 import io
+import uuid
 import wave
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -104,6 +106,31 @@ def samples(rows: DataFrame, order: Sequence[str], most: int | None = None, utt_
     return sequential(ranked.withColumn("weftline_all", F.lit(0)), ["weftline_all"], order, "weftline_place").withColumn("utt_id", F.format_string("utt_%06d", F.col("weftline_place"))).drop("weftline_all", "weftline_place")
 
 
+def read_hub(spark: SparkSession, uri: str, mount: Callable[[str, str], str], kind: str = "parquet") -> DataFrame:
+    """Read an hf://owner/repo/path URI below the folder where `mount(owner, repo)` makes the repository available."""
+    owner, repo, *rest = uri.removeprefix("hf://").split("/", 2)
+    return spark.read.format(kind).load("/".join([mount(owner, repo).rstrip("/"), *rest]))
+
+
+def warc_record(url: str, payload: bytes, date: str, record_id: str) -> bytes:
+    """One gzipped WARC response record."""
+    head = {"WARC-Type": "response", "WARC-Target-URI": url, "WARC-Date": date, "WARC-Record-ID": f"<urn:uuid:{record_id}>", "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(payload))}
+    text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
+    return gzip.compress(text.encode() + payload + b"\r\n\r\n", mtime=0)
+
+
+def warc_records(responses: DataFrame) -> DataFrame:
+    """(url, record) of responses (url, payload, fetched_at); records of many rows may be written one after another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(u, warc_record(u, bytes(p), t, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{u} {t}")))) for u, p, t in zip(batch["url"], batch["payload"], batch["at"], strict=True)]
+            yield pd.DataFrame(rows, columns=["url", "record"])
+
+    stamped = responses.select("url", "payload", F.date_format(F.to_utc_timestamp("fetched_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
+    return stamped.mapInPandas(run, "url string, record binary")
+
+
 class Store(Protocol):
     """Where notebooks and reports are kept; an object with these can stand in for any storage."""
 
