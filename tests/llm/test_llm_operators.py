@@ -555,6 +555,18 @@ def test_wrapper_decides_on_unmarked_pages():
     assert read(plain_page(7, 0), wrapper).split("\n")[0] == "W7 title" and "Home" not in read(plain_page(7, 0), wrapper)
 
 
+def test_wrapper_among_slots_of_like_size():
+    rng = random.Random(1)
+    w = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [(w(25), w(25), w(20)) for _ in range(6)]
+    pages = [f"<body><div class=top>{w(4)}</div><div class=main><h1>T {i}</h1><p>{a}</p><p>{b}</p></div><div class=sidebar><p>{c}</p><p>{w(15)}</p></div><div class=foot>{w(6)}</div></body>" for i, (a, b, c) in enumerate(texts)]
+    assert read(pages[0], dom.induce(pages)) == "\n".join(["T 0", *texts[0][:2]])
+    pages = [f"<body><table><tr><td>{w(3)}</td><td><p>{a}</p><p>{b}</p></td><td><a href=x>{c}</a></td></tr></table></body>" for a, b, c in texts]
+    assert read(pages[2], dom.induce(pages)) == "\n".join(texts[2][:2])
+    pages = [f"<body><article><h1>T&amp;{i}</h1><p>{a}</p><form>Mail <input></form><table><tr><td>1</td><td>{b}</td></tr></table><div class=ad>{w(3)}</div><section class=comments><p>{c}</p></section></article></body>" for i, (a, b, c) in enumerate(texts)]
+    assert read(pages[3], dom.induce(pages)) == "\n".join(["T&3", texts[3][0], "1", texts[3][1]])
+
+
 def test_deep_and_wide_pages():
     deep = "<body><div>" + "<div>x " * 20000 + "</div>" * 20000 + "</div></body>"
     assert read(deep, None).split() == ["x"] * 20000

@@ -20,6 +20,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 NO_TEXT = frozenset("head nav footer aside form script style noscript button select textarea iframe svg template object canvas dialog menu".split())
 #: Elements that only hold others; an article's container is one of them.
 CONTAINERS = frozenset("html body div section article main table tbody tr td center header nav footer aside form ul ol dl".split())
+CELLS = frozenset("table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Hints in class or id, used where a host has no wrapper and for slots of a wrapper that come out the same size as the article.
 MARKS = frozenset(
@@ -298,16 +299,17 @@ def _roots(root: Node, masses: dict[int, int]) -> list[Node]:
         beside = masses[id(at)] - sum(masses[id(c)] for c in (*inside, *titles))
         if not inside or beside > BESIDE * masses[id(at)]:
             break
-        groups: dict[object, list[Node]] = {}  # siblings of one label are parts of one thing, if it is more than a bare div
+        groups: dict[object, list[Node]] = {}  # siblings of one label are parts of one thing, if the label says more than div or td
         for c in inside:
-            groups.setdefault(id(c) if c.label == "div" else c.label, []).append(c)
+            groups.setdefault(c.label if c.marks or c.tag in ("section", "article") else id(c), []).append(c)
         size = lambda group: sum(masses[id(c)] for c in group)
-        first, *others = sorted(groups.values(), key=size, reverse=True)
-        if others and size(others[0]) * LEAD > size(first):  # as large as the article: hints decide
-            plain = [g for g in groups.values() if not marked(g[0])]
-            if len(plain) != 1:
+        leading = lambda some: some and (len(some) == 1 or size(some[1]) * LEAD <= size(some[0]))
+        ranked = sorted(groups.values(), key=size, reverse=True)
+        if not leading(ranked):  # another slot is as large as the article: hints decide
+            ranked = [g for g in ranked if not marked(g[0])]
+            if not leading(ranked):
                 break
-            first = plain[0]
+        first = ranked[0]
         headless = not any(d.tag in HEADINGS for c in first for d in walk(c))
         if len(first) > 1 or (titles and headless):
             kept = {id(c) for c in (*first, *(titles if headless else ()))}
@@ -385,7 +387,7 @@ def induce(pages: list[str]) -> list[list] | None:
             stable = len(opposite.get(id(node), ())) >= enough
             if stable and marked(node):
                 flags[id(node)] = FURNITURE
-            elif id(node) in mine and (node.marks or node.tag in CONTAINERS):
+            elif id(node) in mine and (node.marks or node.tag in CONTAINERS - CELLS):
                 flags[id(node)] = sorted(mine[id(node)])
     flags |= {id(part): CONTENT for part in roots}
     return _skeleton(base, flags, matcher.shape(base))
