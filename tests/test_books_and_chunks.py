@@ -295,6 +295,15 @@ def test_readers(spark, tmp_path):
         transcripts.chunk_rows(chunks, strict=True).collect()
 
 
+def test_interval_corpus(spark, tmp_path):
+    for name, text in (("a/X.WRD", "0 9 she\n"), ("a/X.PHN", "0 4 sh\n4 9 iy\n"), ("b/y.wrd", "0 3 a\n"), ("b/z.txt", "0 1 no\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    words, phones = tables.interval_corpus(spark, str(tmp_path))
+    assert {r.label for r in words.collect()} == {"she", "a"}
+    assert {(r.label, p) for r, p in ((r, r.p) for r in words.select("key", "label").join(phones.select("key", F.col("label").alias("p")), "key").collect())} == {("she", "sh"), ("she", "iy")}
+
+
 def test_many_transcripts(spark):
     rows = [(f, s, 0, f"{f}{s}", 0.0, 1.0, 0.5) for f in "ab" for s in range(3)]
     words = spark.createDataFrame(rows, "file_id string, segment int, pos int, word string, start double, end double, score double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import geometry
 from weftline.functions import phones as P
 from weftline.functions import text as T
+from weftline.functions.numbers import matching_column
 from weftline.operators import joins, rules, trajectory
 from weftline.plans import chunk_pipeline
 from weftline.plans.registry import query
@@ -247,3 +248,33 @@ def routed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.trim("text").alias("passage"), (F.col("role") == "system").alias("is_boilerplate"), F.lit("ngram").alias("match_method"))
     words = F.size(F.array_remove(F.split("passage", " "), ""))
     return chunk_pipeline.routed(rows).groupBy("conv_id", "aligner").agg(F.count("*").alias("n_segments"), F.sum(words).cast("long").alias("n_words"))
+
+
+@query(
+    """
+WITH l AS (SELECT string_split('zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen', ' ') AS o, string_split('twenty thirty forty fifty sixty seventy eighty ninety', ' ') AS t),
+s AS (SELECT n, CASE WHEN n < 20 THEN o[n + 1] ELSE t[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || o[n % 10 + 1] ELSE '' END END AS w FROM range(0, 100) r(n), l),
+h AS (SELECT r.n, CASE WHEN r.n < 100 THEN s.w ELSE o[r.n // 100 + 1] || ' hundred' || CASE WHEN r.n % 100 > 0 THEN ' and ' || s.w ELSE '' END END AS w FROM range(0, 1000) r(n) JOIN s ON s.n = r.n % 100, l)
+SELECT p_partkey, 'size ' || a.w || ' no ' || b.w || ' ' || lower(p_name) AS spoken FROM part JOIN h a ON a.n = p_size JOIN h b ON b.n = p_partkey % 1000
+"""
+)
+def spoken_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as they would be read aloud: digits as words, no punctuation."""
+    said = F.format_string("Size %d, No. %d: %s!", F.col("p_size").cast("int"), (F.col("p_partkey") % 1000).cast("int"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", matching_column(said).alias("spoken"))
+
+
+@query(
+    """
+WITH w AS (SELECT DISTINCT p_name AS word, string_split(upper(p_name), ' ') AS pron FROM part), r AS (SELECT * FROM (VALUES ('WIDGET', 'C_#', 'GADGET', 0), ('COLD', '#_C', NULL, 1), ('SMALL', '#_C', 'TINY', 2), ('WIDGET', 'V_#', 'NEVER', 3)) v(phone, ctx, target, rank)),
+s AS (SELECT word, pron, u.i AS site, CASE WHEN u.i = 1 THEN '#' ELSE 'C' END || '_' || CASE WHEN u.i = len(pron) THEN '#' ELSE 'C' END AS ctx FROM w, LATERAL (SELECT unnest(range(1, len(pron) + 1)) AS i) u),
+v AS (SELECT word, list_concat(list_concat(pron[1:site - 1], CASE WHEN target IS NULL THEN CAST([] AS VARCHAR[]) ELSE [target] END), pron[site + 1:]) AS pron, site - 1 AS site, rank FROM s JOIN r ON pron[site] = phone AND s.ctx = r.ctx),
+e AS (SELECT word, pron, -1 AS site, -1 AS rank FROM w UNION ALL SELECT * FROM v), o AS (SELECT word, array_to_string(pron, ' ') AS pron, min((site, rank)) AS k FROM e GROUP BY ALL)
+SELECT word, pron, CAST(row_number() OVER (PARTITION BY word ORDER BY k, pron) - 1 AS INT) AS variant FROM o
+"""
+)
+def context_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-site variants of part names under rules that look at the neighbours."""
+    words = table(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct().withColumn("pron", F.split(F.upper("word"), " "))
+    found = spark.createDataFrame([("WIDGET", "C_#", "GADGET", 0), ("COLD", "#_C", None, 1), ("SMALL", "#_C", "TINY", 2), ("WIDGET", "V_#", "NEVER", 3)], "phone string, ctx string, target string, rank int")
+    return rules.apply_rules(words, F.broadcast(found)).withColumn("pron", F.array_join("pron", " "))

@@ -83,6 +83,12 @@ def paired_intervals(words: DataFrame, phones: DataFrame) -> tuple[DataFrame, Da
     return words.withColumn("key", key), phones.withColumn("key", key)
 
 
+def interval_corpus(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Word and phone intervals of all .WRD and .PHN files below a folder, with their common key."""
+    of = lambda suffix: interval_file(lines(spark, root, recursive=True, pattern=f"*.{{{suffix},{suffix.lower()}}}"))
+    return paired_intervals(of("WRD"), of("PHN"))
+
+
 def slash_dictionary(rows: DataFrame) -> DataFrame:
     """(word, pron) of `word /p1 p2/` lines; ; starts a comment, the last line of a word wins."""
     found = rows.filter(~F.col("line").startswith(";")).select("line_no", F.regexp_extract("line", r"^\s*(\S+)\s+/([^/]*)/", 1).alias("word"), F.regexp_extract("line", r"^\s*(\S+)\s+/([^/]*)/", 2).alias("p"))
