@@ -235,20 +235,26 @@ class Matcher:
             row = new
         return row, moves
 
-    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        """The matched nodes of two trees."""
-        sa, sb = self.shape(a), self.shape(b)
+    def pairs(self, a: Node, b: Node, shapes: dict[int, int] | None = None, wanted: set[int] | None = None) -> list[tuple[Node, Node]]:
+        """The matched nodes of two trees; shapes: of the first, if they are known; wanted: which of its nodes to follow, if not all."""
+        sa, sb = shapes or self.shape(a), self.shape(b)
         out: list[tuple[Node, Node]] = []
         todo = [(a, b)] if self.weigh(sa[id(a)], sb[id(b)]) else []
         while todo:
             x, y = todo.pop()
+            if wanted is not None and id(x) not in wanted:
+                continue
             out.append((x, y))
             cx, cy = x.elements(), y.elements()
+            if not cx or not cy:
+                continue
             xs, ys = tuple(sa[id(c)] for c in cx), tuple(sb[id(c)] for c in cy)
             head, tail = self._trim(xs, ys)
             todo.extend(zip(cx[:head], cy[:head], strict=True))
             todo.extend(zip(cx[len(cx) - tail :], cy[len(cy) - tail :], strict=True))
             cx, cy, xs, ys = cx[head : len(cx) - tail], cy[head : len(cy) - tail], xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+            if not xs or not ys:
+                continue
             for p, q in {(p, q) for p in set(xs) for q in set(ys)}:
                 self.weigh(p, q)
             _, moves = self._table(xs, ys, trace=True)
@@ -433,13 +439,23 @@ class Wrapper:
         self.kind = {id(n): row[2] for n, row in zip(self.nodes, skeleton, strict=True) if row[2]}
         self.template = {id(n): set(row[3]) for n, row in zip(self.nodes, skeleton, strict=True) if row[3]}
         self.content = [n for n in self.nodes if self.kind.get(id(n)) == CONTENT]
+        self._start()
+
+    def _start(self) -> None:
         self.matcher = Matcher()
+        self.shapes = self.matcher.shape(self.nodes[0])
+        self.wanted: set[int] = set()
+        for node in self.nodes:
+            if id(node) in self.kind or id(node) in self.template:
+                while node is not None and id(node) not in self.wanted:
+                    self.wanted.add(id(node))
+                    node = node.parent
 
     def read(self, root: Node) -> list[tuple[Node, str]] | None:
         """The blocks of the article, None if the page has no place for it."""
         if len(self.matcher.parts) > 50_000:
-            self.matcher = Matcher()
-        pairs = self.matcher.pairs(self.nodes[0], root)
+            self._start()
+        pairs = self.matcher.pairs(self.nodes[0], root, self.shapes, self.wanted)
         parts = [y for x, y in pairs if self.kind.get(id(x)) == CONTENT]
         if not parts:
             return None
@@ -448,8 +464,10 @@ class Wrapper:
             parts = [c for c in parts[0].parent.elements() if labels[c.label]]
         gone = {id(y) for x, y in pairs if self.kind.get(id(x)) == FURNITURE}
         template = {id(y): self.template[id(x)] for x, y in pairs if id(x) in self.template}
-        place = {id(n): k for k, n in enumerate(walk(root))}
-        found = [block for part in sorted(parts, key=lambda n: place[id(n)]) for block in runs(part, gone)]
+        if len(parts) > 1:
+            place = {id(n): k for k, n in enumerate(walk(root))}
+            parts.sort(key=lambda n: place[id(n)])
+        found = [block for part in parts for block in runs(part, gone)]
         left = [(owner, text) for owner, text in found if text not in template.get(id(owner), ())]
         size = lambda some: sum(len(t) for _, t in some)
         return left if 2 * size(left) >= size(found) else found
