@@ -12,9 +12,10 @@ shuffle, and none of the windows undecided:
 2. Where a whole span equals an earlier one, all its windows are repeats. Of
    each distinct span only the earliest place is kept as its representative.
 3. Representatives whose gram also starts other spans are extended piece by
-   piece, in blocks of fewer windows and longer cores, at last window by window:
-   Spark sorts their 128-bit names, unique cores drop out, and whatever is not
-   the earliest of its run is a repeat.
+   piece, in blocks of fewer windows and longer cores: Spark sorts their names,
+   unique cores drop out, and whatever is not the earliest of its run is a repeat.
+4. The single windows that are left are sorted by their 128-bit names, or, if
+   the rule says so, ranked by prefix doubling.
 
 The sorts are range partitioned with the position as last key, so a gram that
 holds a third of all rows spreads over many tasks, and each task reads its
@@ -49,16 +50,16 @@ REMOVED, REPRESENTATIVE, OPEN, EDGE = 0, 1, 2, 3
 class Rule:
     """What repeats: unit, window length, gram length of anchors, and whether a text repeats itself.
 
-    head: a window's pair of names covers its first and its last `head` units (0: both cover all of it).
-    steps: how many windows of a representative are compared at once, round by round; the last is 1.
+    steps: how many windows of a representative are compared at once, round by round.
+    first: the single windows that are left are ranked by prefix doubling from so many units on; 0: the last step is 1 and names them whole.
     """
 
     unit: str
     length: int
     gram: int
     within: bool
-    head: int = 0
     steps: tuple[int, ...] = (1,)
+    first: int = 0
 
     def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, tuple]:
         """Values of the units, the bounds of the texts among them, and the word spans if units are words."""
@@ -134,8 +135,7 @@ def blocks(texts_of: DataFrame, rule: Rule, step: int) -> DataFrame:
         first, core = anchor - far, anchor - block * step
         names = Prefix(values)
         if step == 1:
-            head = rule.head or rule.length
-            a, b = names.runs(first, first + head), Prefix(values, 1).runs(first + rule.length - head, first + rule.length)
+            a, b = names.runs(first, first + rule.length), Prefix(values, 1).runs(first, first + rule.length)
         else:
             a = mix(names.runs(core, core + rule.length - step + 1) + block.astype(np.uint64))
             b = mix(names.runs(first, first + far - near + rule.length) + far.astype(np.uint64) * U(0x9E3779B97F4A7C15))
@@ -254,6 +254,57 @@ def sorted_runs(scratch: Scratch, name: str, places: DataFrame, within: bool, re
     return found if representatives else found.filter(F.col("kind") == REMOVED)
 
 
+def offsets(rule: Rule) -> list[tuple[int, int]]:
+    """(reach, step) of each round of doubling: ranks of `reach` units are paired with those `step` units on."""
+    out, reach = [], rule.first
+    while reach < rule.length:
+        out.append((reach, min(reach, rule.length - reach)))
+        reach += out[-1][1]
+    return out
+
+
+def positions(texts_of: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, th, pos, one, other): the positions whose ranks the windows of `ranges` need; one names the rule's first units there."""
+
+    def kernel(rows: pa.RecordBatch, texts: Texts) -> dict | None:
+        values, bounds, _ = rule.units(texts)
+        of, lo, n, _ = _ranges(rows)
+        if not len(of):
+            return None
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.unique(np.repeat(bounds[of] + lo, n) + nth)
+        for _, step in reversed(offsets(rule)):
+            starts = np.union1d(starts, starts + step)
+        text = np.searchsorted(bounds, starts, side="right") - 1
+        return {"doc": _ids(rows, "doc")[text], "th": _ids(rows, "th")[text], "pos": (starts - bounds[text]).astype(np.int32), "one": signed(Prefix(values).runs(starts, starts + rule.first)), "other": np.zeros(len(starts), np.int64)}
+
+    return map_texts(texts_of, "text", kernel, "doc long, th long, pos int, one long, other long")
+
+
+def later_windows(scratch: Scratch, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, th, pos): windows that also start earlier, by prefix doubling.
+
+    pairs: (doc, th, pos, one, other). Each round sorts the pairs and ranks the
+    positions by them; a position's next pair is its rank and that of the
+    position as far behind as the ranks reach. Positions of a unique rank
+    leave, and with them those that would pair with them.
+    """
+    rounds, turn = offsets(rule), 0
+    while True:
+        places = scratch.ranked(f"sorted{turn}", pairs, "place", "one", "other", "doc", "pos", "th")
+        heads = places.groupBy("one", "other").agg(F.min("place").alias("rank"), F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        met = places.join(heads, ["one", "other"])
+        if turn == len(rounds):
+            late = scratch.write("late", met.filter(F.struct("doc", "pos") > F.col("head")).select("doc", "th", "pos").distinct(), heavy=True)
+            scratch.drop(f"sorted{turn}", f"ranks{turn - 1}")
+            return late
+        ranks = scratch.write(f"ranks{turn}", met.select("doc", "th", "pos", "rank").distinct(), heavy=True)
+        scratch.drop(f"sorted{turn}", *([f"ranks{turn - 1}"] if turn else []))
+        behind = ranks.select("doc", "th", (F.col("pos") - rounds[turn][1]).alias("pos"), F.col("rank").alias("other"))
+        pairs = ranks.withColumnRenamed("rank", "one").join(behind, ["doc", "th", "pos"])
+        turn += 1
+
+
 def _gathered(places: DataFrame) -> DataFrame:
     return places.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "n", "off")).alias("ranges"))
 
@@ -268,6 +319,11 @@ def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
         open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
         found = sorted_runs(scratch, f"step{step}", blocks(texts.join(open_spans, ["doc", "th"]), rule, step), rule.within, step > 1)
         places = places.unionByName(found.filter(F.col("kind") == REMOVED))
+    if rule.first:
+        open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
+        ranked = later_windows(scratch, positions(texts.join(open_spans, ["doc", "th"]), rule), rule)
+        one = [F.lit(x).cast("int").alias(c) for c, x in (("n", 1), ("off", 0))]
+        places = places.unionByName(ranked.select("doc", F.col("pos").alias("lo"), "th", *one, F.lit(REMOVED).cast("byte").alias("kind")))
     found = scratch.write("repeats", _gathered(places), heavy=True)
     scratch.drop_all_but("repeats")
     return found

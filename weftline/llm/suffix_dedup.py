@@ -1,21 +1,24 @@
-"""Suffix-array dedup over bytes: distributed prefix doubling on a sampled suffix array.
+"""Suffix-array dedup over bytes: distributed prefix doubling.
 
-Positions are named by fingerprints of growing prefixes, and Spark sorts pairs
-of names with their positions and reranks until a position is unique or its
-prefix is past the threshold of 100 bytes:
+Spark sorts positions by their first FIRST bytes and ranks them, then sorts
+pairs of ranks at growing offsets (25 and 50 bytes) and ranks anew, until a
+position's rank is unique, when it leaves, or the ranks reach past the threshold
+of 100 bytes. Of equal ranks all but the earliest position repeat.
 
-* round 1 sorts positions by the name of 37 bytes; unique ones drop out;
-* the same sort ranks by the pair (37 bytes, the span extended both ways past
-  100 bytes); equal spans are repeats, one of each goes on;
-* round 2 sorts what is left by names of 93 bytes, which blocks of 8 windows
-  share, paired with the block's span; unique ones drop out again;
-* round 3 sorts what is left by the pair (bytes 0-63, bytes 36-99) of each
-  window, two names at an offset, which is past the threshold.
+Ranking every position would shuffle some hundred times the input (by_ranks()
+does that; the README has the figures). So positions are sampled first, and
+only what the samples leave undecided is ranked (see repeats):
 
-Round 1 takes the suffixes of winnowed anchors only, one in about 32: sorting
-every position would shuffle over 20 bytes for each byte of text in each
-round. Since a window's anchor depends on the window's content alone, no
-repeat is lost (see repeats).
+* suffixes at winnowed anchors, one in about 32, are sorted by 37 bytes; where
+  one is unique, so are all windows that elect it;
+* the same sort compares the spans of anchors, past 100 bytes both ways; of
+  equal spans one goes on, the others are repeats;
+* what is left is compared in blocks of 8 windows by the 93 bytes that a block
+  shares, and by its whole span;
+* the windows of blocks that are still neither unique nor equal, well under a
+  hundredth of all, go through prefix doubling.
+
+Since a window's anchor depends on the window's content alone, no repeat is lost.
 
 A byte goes if a 100-byte string that covers it also starts earlier (smaller
 doc_id, or same document and earlier start). Edge cases: null and empty texts,
@@ -24,8 +27,6 @@ id; rows that repeat a doc_id and text count as one place and both keep it;
 very long texts are read whole; an empty table gives an empty result; columns of
 the input that have the name of a result, or doc, th or ranges, are replaced.
 
-by_ranks() is prefix doubling over every position, with ranks, pairs of ranks
-and reranking. Its result is the same; what it costs is in the README.
 """
 
 from __future__ import annotations
@@ -37,18 +38,19 @@ from pyspark.sql import functions as F
 
 from weftline.llm.batches import map_texts
 from weftline.llm.kernels import Prefix, Texts, signed
-from weftline.llm.repeats import Rule, cut, keyed, spread
+from weftline.llm.repeats import Rule, cut, keyed, later_windows, spread
 from weftline.llm.scratch import Scratch
 
 LENGTH = 100
 GRAM = 37
-HEAD = 64
-STEPS = (8, 1)
+FIRST = 25
+STEPS = (8,)
+RULE = Rule("bytes", LENGTH, GRAM, within=True, steps=STEPS, first=FIRST)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with n_units (bytes), removed (maximal byte runs) and kept (the bytes left)."""
-    return cut(docs, Rule("bytes", LENGTH, GRAM, within=True, head=HEAD, steps=STEPS), doc_id, text)
+    return cut(docs, RULE, doc_id, text)
 
 
 def _positions(texts_of: DataFrame, size: int) -> DataFrame:
@@ -64,26 +66,9 @@ def _positions(texts_of: DataFrame, size: int) -> DataFrame:
     return map_texts(texts_of, "text", kernel, "doc long, th long, pos int, one long, other long")
 
 
-def by_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, first: int = 25) -> DataFrame:
-    """(doc, th, pos): starts of the windows of `length` bytes that also start earlier, by prefix doubling.
-
-    Positions are ranked by their first bytes; each round sorts pairs of the
-    ranks of a position and of the one as far behind as the ranks reach, and
-    ranks anew. Positions whose rank is unique leave, and with them those that would pair with them.
-    """
-    scratch, reach, turn = Scratch(docs.sparkSession), first, 0
-    pairs = _positions(keyed(docs, doc_id, text), first)
-    while True:
-        places = scratch.ranked(f"sorted{turn}", pairs, "place", "one", "other", "doc", "pos", "th")
-        heads = places.groupBy("one", "other").agg(F.min("place").alias("rank"), F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        ranks = scratch.write(f"ranks{turn}", places.join(heads, ["one", "other"]).select("doc", "th", "pos", "rank", "head"), heavy=True)
-        scratch.drop(f"sorted{turn}", *([f"ranks{turn - 1}"] if turn else []))
-        if reach == length:
-            return ranks.filter(F.struct("doc", "pos") > F.col("head")).select("doc", "th", "pos").distinct()
-        step = min(reach, length - reach)
-        behind = ranks.select("doc", "th", (F.col("pos") - step).alias("pos"), F.col("rank").alias("other")).filter("pos >= 0").distinct()
-        pairs = ranks.select("doc", "th", "pos", F.col("rank").alias("one")).distinct().join(behind, ["doc", "th", "pos"])
-        reach, turn = reach + step, turn + 1
+def by_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, th, pos): starts of the windows that also start earlier, by prefix doubling over every position of the texts."""
+    return later_windows(Scratch(docs.sparkSession), _positions(keyed(docs, doc_id, text), FIRST), RULE)
 
 
 def digests(found: DataFrame) -> DataFrame:
