@@ -284,7 +284,7 @@ def positions(texts_of: DataFrame, rule: Rule) -> DataFrame:
 def later_windows(scratch: Scratch, pairs: DataFrame, rule: Rule) -> DataFrame:
     """(doc, th, pos): windows that also start earlier, by prefix doubling.
 
-    pairs: (doc, th, pos, one, other). Each round sorts the pairs and ranks the
+    pairs: (doc, th, pos, one, other), each position once. Each round sorts the pairs and ranks the
     positions by them; a position's next pair is its rank and that of the
     position as far behind as the ranks reach. Positions of a unique rank
     leave, and with them those that would pair with them.
@@ -295,10 +295,10 @@ def later_windows(scratch: Scratch, pairs: DataFrame, rule: Rule) -> DataFrame:
         heads = places.groupBy("one", "other").agg(F.min("place").alias("rank"), F.min(F.struct("doc", "pos")).alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
         met = places.join(heads, ["one", "other"])
         if turn == len(rounds):
-            late = scratch.write("late", met.filter(F.struct("doc", "pos") > F.col("head")).select("doc", "th", "pos").distinct(), heavy=True)
+            late = scratch.write("late", met.filter(F.struct("doc", "pos") > F.col("head")).select("doc", "th", "pos"), heavy=True)
             scratch.drop(f"sorted{turn}", f"ranks{turn - 1}")
             return late
-        ranks = scratch.write(f"ranks{turn}", met.select("doc", "th", "pos", "rank").distinct(), heavy=True)
+        ranks = scratch.write(f"ranks{turn}", met.select("doc", "th", "pos", "rank"), heavy=True)
         scratch.drop(f"sorted{turn}", *([f"ranks{turn - 1}"] if turn else []))
         behind = ranks.select("doc", "th", (F.col("pos") - rounds[turn][1]).alias("pos"), F.col("rank").alias("other"))
         pairs = ranks.withColumnRenamed("rank", "one").join(behind, ["doc", "th", "pos"])
@@ -321,7 +321,8 @@ def repeated(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
         places = places.unionByName(found.filter(F.col("kind") == REMOVED))
     if rule.first:
         open_spans = _gathered(found.filter(F.col("kind") == REPRESENTATIVE))
-        ranked = later_windows(scratch, positions(texts.join(open_spans, ["doc", "th"]), rule), rule)
+        once = texts.join(open_spans, ["doc", "th"]).dropDuplicates(["doc", "th"])
+        ranked = later_windows(scratch, positions(once, rule), rule)
         one = [F.lit(x).cast("int").alias(c) for c, x in (("n", 1), ("off", 0))]
         places = places.unionByName(ranked.select("doc", F.col("pos").alias("lo"), "th", *one, F.lit(REMOVED).cast("byte").alias("kind")))
     found = scratch.write("repeats", _gathered(places), heavy=True)

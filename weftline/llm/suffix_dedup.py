@@ -68,7 +68,8 @@ def _positions(texts_of: DataFrame, size: int) -> DataFrame:
 
 def by_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, th, pos): starts of the windows that also start earlier, by prefix doubling over every position of the texts."""
-    return later_windows(Scratch(docs.sparkSession), _positions(keyed(docs, doc_id, text), FIRST), RULE)
+    once = keyed(docs, doc_id, text).dropDuplicates(["doc", "th"])
+    return later_windows(Scratch(docs.sparkSession), _positions(once, FIRST), RULE)
 
 
 def digests(found: DataFrame) -> DataFrame:
