@@ -13,10 +13,10 @@ only what the samples leave undecided is ranked (see repeats):
   one is unique, so are all windows that elect it;
 * the same sort compares the spans of anchors, past 100 bytes both ways; of
   equal spans one goes on, the others are repeats;
-* what is left is compared in blocks of 8 windows by the 93 bytes that a block
-  shares, and by its whole span;
-* the windows of blocks that are still neither unique nor equal, well under a
-  hundredth of all, go through prefix doubling.
+* what is left is compared in blocks of 8 windows and then of 2, by the 93 and 99
+  bytes that the windows of a block share, and by its whole span;
+* the windows of blocks that are still neither unique nor equal, some thousandth
+  of all, go through prefix doubling.
 
 Since a window's anchor depends on the window's content alone, no repeat is lost.
 
@@ -44,7 +44,7 @@ from weftline.llm.scratch import Scratch
 LENGTH = 100
 GRAM = 37
 FIRST = 25
-STEPS = (8,)
+STEPS = (8, 2)
 RULE = Rule("bytes", LENGTH, GRAM, within=True, steps=STEPS, first=FIRST)
 
 
