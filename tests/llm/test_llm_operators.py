@@ -376,6 +376,21 @@ def test_near_duplicates_in_one_large_group(spark):
     assert 100 < len({x[1] for x in expected.values()}) < 350
 
 
+def test_near_duplicates_among_texts_of_frequent_words(spark):
+    """Texts that share frequent shingles by chance, the more of them the larger the corpus, are not posted; their near copies are."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 3) for k in range(500)], k=100))) for i in range(800)]
+    rows += [(1000 + i, rows[i][1].replace(rows[i][1].split()[50], "other", 1)) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = near_dedup.signatures(near_dedup.keyed(table, "doc_id", "text")).withColumn("node", near_dedup.named_by_set())
+    posted = {r.node for r in near_dedup._postings(near_dedup.Scratch(spark), classes).select("node").collect()}
+    copies = {r.node for r in classes.filter("doc < 20 or doc >= 1000").collect()}
+    assert copies <= posted and len(posted) < 3 * len(copies)
+    found = near_dedup.verdicts(table)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == brute.components(rows)
+
+
 def test_quality(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(r[0], int(not re.search(r"[|]|!!", r[1] or "")), None) for r in corpus], "doc_id long, quality int, toxic int")
     weights = quality.fit(docs, labels)

@@ -1,16 +1,18 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
 A document's set holds its distinct word shingles. Documents of equal sets
-form a class, kept as one row. A class has COORDINATES minima of its set under
-different hashes; each is a token (coordinate, value) under which the class is
-posted. Two classes of similarity 0.8 share about 51 of 64 tokens; MATCHES of
-them are asked for, which a pair of that similarity misses with a chance of a
-few in a million.
-
-Prefix merging: tokens that only one class has are dropped by one sort, and a
-class with fewer than MATCHES others cannot have a partner. The remaining
-tokens are ordered by rarity, and only the first (count - MATCHES + 1) are
-posted: two classes that share MATCHES tokens meet under one of these.
+form a class, kept as one row. A class has MINIMA minima of its set under
+different hashes. Two of them are a coordinate, and each coordinate is a token
+(coordinate, value) under which the class is posted. Two classes of similarity
+0.8 share about 51 of 64 minima and 20 of 32 tokens; AGREE and MATCHES of them
+are asked for, which a pair of that similarity misses with a chance of a few in
+a million. Texts of one language share frequent shingles, and so single minima,
+the more of them the larger the corpus; two minima at once they hardly share.
+
+Prefix merging: tokens that no other class of a fitting size has are dropped by
+one sort, and a class with fewer than MATCHES others cannot have a partner. The
+remaining tokens are ordered by rarity, and only the first (count - MATCHES + 1)
+are posted: two classes that share MATCHES tokens meet under one of these.
 
 Skip merging: in each posting list, members that are already known to be
 connected are skipped. First every list compares its members with one leader,
@@ -28,7 +30,7 @@ Tables that grow with the corpus are joined by merging, whatever their size, so
 that a small corpus shows what a large one costs.
 
 Pairs pass if their sizes allow the threshold, if their sketches, one byte of
-each token, agree in MATCHES places, and if their full sets confirm it.
+each minimum, agree in AGREE places, and if their full sets confirm it.
 
 Edge cases: null texts and texts without words have an empty set and are
 linked with nothing; a text of one word has one shingle; repeated rows are in
@@ -56,8 +58,12 @@ from weftline.llm.repeats import LAST_ID, keyed
 from weftline.llm.scratch import Scratch
 
 SHINGLE = 2
-COORDINATES = 64
-MATCHES = 36
+MINIMA = 64
+#: Minima that the sketches of a pair have to share.
+AGREE = 36
+#: Coordinates, each of two minima, and how many of them a pair has to share.
+COORDINATES = MINIMA // 2
+MATCHES = 7
 #: Long lists get another leader as long as the last one linked so large a share of what it was compared with.
 PAYS = 0.1
 #: Posting lists of up to so many members are compared pair by pair.
@@ -65,8 +71,8 @@ SMALL = 8
 #: Similarity threshold as (numerator, denominator).
 THRESHOLD = (80, 100)
 
-_seeds = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64))
-_FLIPS, _FACTORS = _seeds[:COORDINATES], _seeds[COORDINATES:] | U(1)
+_seeds = mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64))
+_FLIPS, _FACTORS = _seeds[:MINIMA], _seeds[MINIMA:] | U(1)
 _ID_BITS = 52
 
 
@@ -90,27 +96,30 @@ def shingle_sets(texts: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
 
 
 def signatures(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows with n (set size), fa and fb (the set's name) and tokens (one for each coordinate)."""
+    """The rows with n (set size), fa and fb (the set's name), tokens (one for each coordinate) and sketch (one byte of each minimum)."""
 
     def kernel(rows: pa.RecordBatch, texts: Texts) -> dict:
         members, bounds = shingle_sets(texts, shingle)
         n = np.diff(bounds)
         full = np.flatnonzero(n)
         heads = bounds[full]
-        tokens = np.zeros((len(full), COORDINATES), np.uint64)
+        minima = np.zeros((len(full), MINIMA), np.uint64)
         fa, fb = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
         if len(full):
             x = mix(members)
             fa[full], fb[full] = np.add.reduceat(x, heads), np.add.reduceat(mix(x ^ _FLIPS[0]), heads)
-            for i in range(COORDINATES):
+            for i in range(MINIMA):
                 v = (x ^ _FLIPS[i]) * _FACTORS[i]
                 v ^= v >> U(31)
                 v *= U(0xC4CEB9FE1A85EC53)
-                tokens[:, i] = mix(np.minimum.reduceat(v, heads) + _FLIPS[i])
-        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))]).astype(np.int32)
-        return {"n": n.astype(np.int64), "fa": signed(fa), "fb": signed(fb), "tokens": pa.ListArray.from_arrays(offsets, pa.array(signed(tokens.ravel())))}
+                minima[:, i] = mix(np.minimum.reduceat(v, heads) + _FLIPS[i])
+        tokens = mix(minima[:, ::2] + mix(minima[:, 1::2]))
+        places = np.concatenate([[0], np.cumsum(n > 0)])
+        lists = pa.ListArray.from_arrays((COORDINATES * places).astype(np.int32), pa.array(signed(tokens.ravel())))
+        sketches = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((MINIMA * places).astype(np.int32)), pa.py_buffer(minima.astype(np.uint8).tobytes())])
+        return {"n": n.astype(np.int64), "fa": signed(fa), "fb": signed(fb), "tokens": lists, "sketch": sketches}
 
-    return append_columns(texts_of, "text", kernel, "n long, fa long, fb long, tokens array<long>").drop("text")
+    return append_columns(texts_of, "text", kernel, "n long, fa long, fb long, tokens array<long>, sketch binary").drop("text")
 
 
 def named_by_set() -> F.Column:
@@ -129,15 +138,15 @@ def member_sets(texts_of: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a sorted partition, the rows whose token another row has too; its first and last row may have one elsewhere."""
+    """Of a partition sorted by token and n, the rows whose token another row of a fitting n has too; its first and last row may have one elsewhere."""
     held, follows = None, True
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        token = batch.column(0).to_numpy(zero_copy_only=False)
-        same = token[1:] == token[:-1]
+        token, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        same = (token[1:] == token[:-1]) & (THRESHOLD[1] * n[:-1].astype(np.int64) >= THRESHOLD[0] * n[1:].astype(np.int64))
         keep = np.concatenate([[follows], same])
         keep[:-1] |= same
         follows, held = bool(keep[-1]), batch.slice(len(token) - 1)
@@ -155,7 +164,7 @@ def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
     the original has the highest, as each copy lacks some of its tokens.
     """
     posted = classes.select(F.explode("tokens").alias("token"), "node", F.col("n").cast("int").alias("n"))
-    ranked = posted.repartitionByRange("token", "node").sortWithinPartitions("token", "node")
+    ranked = posted.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
     shared = scratch.write("shared", ranked.mapInArrow(_shared, posted.schema), heavy=True)
     often = scratch.write("often", shared.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1"))
     ranked = shared.join(often.hint("merge"), "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
@@ -166,24 +175,13 @@ def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
     return postings
 
 
-def _sketches(classes: DataFrame) -> DataFrame:
-    """(node, sketch): one byte of each token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column(1).flatten().to_numpy().astype(np.uint8).reshape(-1, COORDINATES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.tobytes() for t in tokens], pa.binary())], names=["node", "sketch"])
-
-    return classes.select("node", "tokens").mapInArrow(run, "node long, sketch binary")
-
-
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b) of (a, b, sketch_a, sketch_b) whose sketches agree in MATCHES places."""
+    """The pairs (a, b) of (a, b, sketch_a, sketch_b) whose sketches agree in AGREE places."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((one == other).sum(1) >= MATCHES))
+        one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array((one == other).sum(1) >= AGREE))
 
 
 class Links:
@@ -277,6 +275,7 @@ def _settle(scratch: Scratch, links: Links, lists: DataFrame, sets_of: Callable[
     """Confirm all links between members of one list; sets_of gives the full sets of the nodes that can have one."""
     sizes = lists.groupBy("token").agg((F.count("*") <= SMALL).alias("small"))
     sized = scratch.write("sized", lists.join(sizes, "token"), heavy=True)
+    scratch.drop("postings")
     long = _open_lists(scratch, "open1", sized.filter("not small").drop("small"), None)
     leaders = scratch.write("leaders1", long.groupBy("token").agg(_leader()))
     first, _ = links.alike("alike1", _with_leader(long, leaders))
@@ -288,6 +287,8 @@ def _settle(scratch: Scratch, links: Links, lists: DataFrame, sets_of: Callable[
     links.confirm(first)
     links.confirm(links.apart(short))
     long = _open_lists(scratch, "open2", long, links.labels)
+    if links.labels is not None:
+        scratch.drop("sized")
     tried, turn = leaders.select("token", F.col("l.node").alias("node")), 3
     while True:
         now = tried if links.labels is None else tried.join(links.labels, "node", "left").select("token", F.coalesce("label", "node").alias("node"))
@@ -352,13 +353,13 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     signed_rows = scratch.write("signatures", signatures(texts))
     rows = scratch.write("rows", signed_rows.select("doc", "th", "n", "fa", "fb"))
     least = F.min(F.struct("doc", "th"))
-    classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"))
-    classes = scratch.write("classes", classes.select("fa", "fb", "n", named_by_set().alias("node"), F.col("m.doc").alias("doc"), F.col("m.th").alias("th"), "tokens"), heavy=True)
+    classes = signed_rows.filter("n > 0").groupBy("fa", "fb", "n").agg(least.alias("m"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    classes = scratch.write("classes", classes.select("fa", "fb", "n", named_by_set().alias("node"), F.col("m.doc").alias("doc"), F.col("m.th").alias("th"), "tokens", "sketch"), heavy=True)
     scratch.drop("signatures")
     lists = _postings(scratch, classes)
     wanted = scratch.write("wanted", lists.select("node").distinct())
     some = classes.join(wanted.hint("merge"), "node", "left_semi")
-    sketches = scratch.write("sketches", _sketches(some), heavy=True)
+    sketches = scratch.write("sketches", some.select("node", "sketch"), heavy=True)
     named = scratch.write("named", classes.select("fa", "fb", "n", "node", "doc", "th"), heavy=True)
     scratch.drop("classes", "wanted")
     links = Links(scratch, sketches)
