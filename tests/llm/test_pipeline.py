@@ -1,7 +1,9 @@
+import random
+
 import brute
 import pytest
 
-from weftline.llm import quality
+from weftline.llm import near_dedup, quality
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -43,6 +45,23 @@ def test_near_stage(stages):
     assert sorted(i for i, _ in texts(out[2])) == sorted(i for i, x in expected.items() if x[2])
 
 
+def test_near_stage_posts_few_texts_of_frequent_words(spark, monkeypatch):
+    rng, posted, made = random.Random(5), [], near_dedup._postings
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, [1 / (k + 3) for k in range(500)], k=100))) for i in range(800)]
+    rows += [(1000 + i, rows[i][1].replace(rows[i][1].split()[50], "other", 1)) for i in range(20)]
+
+    def counted(scratch, classes):
+        found = made(scratch, classes)
+        posted.append(found.select("node").distinct().count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "_postings", counted)
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i, x in brute.components(rows).items() if x[2])
+    assert 40 <= posted[0] < 120
+
+
 def test_decontamination_stage(spark, stages):
     folder, out = stages
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
