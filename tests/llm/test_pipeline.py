@@ -62,6 +62,23 @@ def test_near_stage_posts_few_texts_of_frequent_words(spark, monkeypatch):
     assert 40 <= posted[0] < 120
 
 
+def test_near_duplicates_shuffle_no_texts_in_vain(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.getrandbits(256):x}" for _ in range(1500))) for i in range(60)]
+    rows += [(60, rows[0][1] + " end"), (61, rows[1][1] + " end"), (62, rows[2][1]), (3, rows[3][1]), (None, rows[4][1]), (5, rows[6][1]), (63, None), (63, None), (64, " "), (64, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).cache()
+    table.count()
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    left = near_dedup.survivors(table).collect()
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in left) == sorted([*rows[:6], *rows[7:60], (5, rows[6][1]), (63, ""), (63, ""), (64, ""), (64, "")])
+    assert written() - before < 0.5 * sum(len(t or "") for _, t in rows)
+
+
 def test_decontamination_stage(spark, stages):
     folder, out = stages
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]

@@ -32,6 +32,11 @@ that a small corpus shows what a large one costs.
 Pairs pass if their sizes allow the threshold, if their sketches, one byte of
 each minimum, agree in AGREE places, and if their full sets confirm it.
 
+Texts are shuffled only where a row may need it: those whose sets are compared,
+and those that may be removed. A bitmap of fixed size, hashed from the keys and
+broadcast, picks them during the scan; the exact join follows, so a place that
+two keys share costs a row and changes no result.
+
 Edge cases: null texts and texts without words have an empty set and are
 linked with nothing; a text of one word has one shingle; repeated rows are in
 one class; an empty table gives an empty result; very long texts have as many
@@ -68,6 +73,8 @@ MATCHES = 7
 PAYS = 0.1
 #: Posting lists of up to so many members are compared pair by pair.
 SMALL = 8
+#: Bits of the bitmap that picks texts, 64 in a row of its table.
+PICKS = 1 << 24
 #: Similarity threshold as (numerator, denominator).
 THRESHOLD = (80, 100)
 
@@ -157,6 +164,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _pick(doc: str, th: str) -> F.Column:
+    """The bit of a key."""
+    return F.pmod(F.xxhash64(doc, th), F.lit(PICKS))
+
+
+def _bitmap(keys: DataFrame) -> DataFrame:
+    """(word, bits) of keys(doc, th): which bits they set."""
+    at = keys.select(_pick("doc", "th").alias("at"))
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits"))
+
+
+def _picked(rows: DataFrame, doc: str, th: str, bitmap: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose key may be among those of the bitmap, or else the rows whose key is not; nothing is shuffled."""
+    word, bits = fresh(rows, "weftline_word"), fresh(rows, "weftline_bits")
+    at = _pick(doc, th)
+    met = rows.join(F.broadcast(bitmap.toDF(word, bits)), F.shiftright(at, 6) == F.col(word), "left")
+    may = F.coalesce(F.getbit(bits, at.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return met.filter(may if among else ~may).drop(word, bits)
+
+
 def _postings(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """(token, node, n, score): what classes are posted under, after prefix merging.
 
@@ -366,7 +393,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         reps = scratch.write("reps", named.select("node", "doc", "th").join(nodes.hint("merge"), "node", "left_semi"))
-        found = texts.join(reps.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")
+        picked = _picked(texts, "doc", "th", scratch.write("reps-bits", _bitmap(reps)))
+        found = picked.join(reps.hint("merge"), ["doc", "th"]).dropDuplicates(["doc", "th"]).select("node", "text")
         return scratch.bucketed("members", member_sets(found), "node")
 
     _settle(scratch, links, lists, sets_of)
@@ -394,10 +422,16 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the least id, and all with an empty set; columns as before."""
     rows, classes = near_classes(docs, doc_id, text)
-    single = classes.select(F.col("head").alias("doc"), F.col("head_th").alias("th"), F.lit(True).alias("once")).distinct()
-    empty = rows.filter("n = 0").select("doc", "th", F.lit(False).alias("once")).distinct()
-    key, tag, once, place = (fresh(docs, f"weftline_{c}") for c in ("doc", "th", "once", "place"))
-    wanted = Scratch(docs.sparkSession).write("survivors", single.unionByName(empty)).toDF(key, tag, once)
+    scratch = Scratch(docs.sparkSession)
+    single = classes.select(F.col("head").alias("doc"), F.col("head_th").alias("th"), F.lit(True).alias("head")).distinct()
+    full = rows.filter("n > 0").groupBy("doc", "th").agg((F.count("*") > 1).alias("again"))
+    touched = full.join(single.hint("merge"), ["doc", "th"], "left").filter("head is null or again")
+    touched = scratch.write("touched", touched.select("doc", "th", F.coalesce("head", F.lit(False)).alias("head")), heavy=True)
+    bitmap = scratch.write("touched-bits", _bitmap(touched))
+    key, tag, head, place = (fresh(docs, f"weftline_{c}") for c in ("doc", "th", "head", "place"))
     tagged = docs.withColumn(key, F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).withColumn(tag, F.xxhash64(text))
-    met = tagged.join(wanted, [key, tag]).withColumn(place, F.row_number().over(Window.partitionBy(key, tag).orderBy(once)))
-    return met.filter(~F.col(once) | (F.col(place) == 1)).select(*[f"`{c}`" for c in docs.columns])
+    met = _picked(tagged, key, tag, bitmap).join(touched.toDF(key, tag, head).hint("merge"), [key, tag], "left")
+    met = met.withColumn(place, F.row_number().over(Window.partitionBy(key, tag).orderBy(head)))
+    columns = [f"`{c}`" for c in docs.columns]
+    left = met.filter(F.col(head).isNull() | (F.col(head) & (F.col(place) == 1))).select(*columns)
+    return _picked(tagged, key, tag, bitmap, among=False).select(*columns).union(left)
