@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -145,3 +147,39 @@ def test_rewrite():
     assert rewrite.variants(["b", "ah", "t", "er"], [rule]) == [("b", "ah", "t", "er"), ("b", "ah", "d", "er")]
     assert rewrite.variants(["s", "t"], [rewrite.Rewrite("t", "")]) == [("s", "t"), ("s",)]
     assert rewrite.pronunciations([[("a",), ("b",)], [("c",)]]) == [("a", "c"), ("b", "c")]
+
+
+def test_bands_keep_few_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    left, right = rng.standard_normal((2, 700, 8))
+    left[200:500] = right[150:450]
+    left, right = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (left, right))
+    whole = banddp.align(left @ right.T)
+    assert {(200 + k, 150 + k) for k in range(300)} <= set(whole)
+    monkeypatch.setattr(banddp, "CELLS", 1 << 13)
+    tracemalloc.start()
+    found = banddp.align_vectors(left, right)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == whole and most < 700 * 700 * 4  # the table alone has 8 bytes a cell
+
+
+@given(st.integers(1, 14), st.integers(1, 14), st.integers(0, 1000), st.sampled_from([0.0, 0.1, 0.3]), st.sampled_from([0, 2, 10]))
+@settings(max_examples=80, deadline=None)
+def test_bands_follow_the_whole_box(m, n, seed, penalty, band):
+    sim = np.round(np.random.default_rng(seed).random((m, n)) * 1.4 - 0.4, 1)
+    total, back = np.full((m + 1, n + 1), -np.inf), {}
+    total[0, 0] = 0
+    for i, j in np.ndindex(m, n):
+        tried = [(-np.inf, None)]
+        if sim[i, j] >= 0.2:
+            tried = [(total[p, q] + sim[i, j] - penalty * max(max(i - p, j - q) - 1, 0), (p, q)) for p in range(max(0, i - band), i + 1) for q in range(max(0, j - band), j + 1)]
+        tried += [(total[i, j + 1], (i, j + 1)), (total[i + 1, j], (i + 1, j))]
+        total[i + 1, j + 1], back[i + 1, j + 1] = max(tried, key=lambda x: x[0])
+    at, pairs = (m, n), []
+    while at in back and total[at] > -np.inf:
+        p, q = back[at]
+        if p < at[0] and q < at[1]:
+            pairs.append((at[0] - 1, at[1] - 1))
+        at = p, q
+    assert [x for x in banddp.align(sim, penalty, 0.2, band) if None not in x] == pairs[::-1]

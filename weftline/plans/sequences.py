@@ -33,10 +33,14 @@ def operations(pairs: DataFrame, ref: str, act: str, keep: Sequence[str]) -> Dat
     return each.select(*keep, "idx", "o.*")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def align_editions(vectors: DataFrame, edition: str, order: str, vector: str, pairs: DataFrame, compat: bool = False) -> DataFrame:
     """(a, b, place, i, j) of ordered texts, by cosine similarity; pairs: (a, b) of editions.
 
-    Each pair is one task of the kernel; a chapter's worth of sentences, not a corpus.
+    Each pair is one task of the kernel, whose memory grows with the length of the texts.
     """
     lists = vectors.groupBy(F.col(edition).alias("e")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, vector))), lambda x: x[vector]).alias("v"))
     side = lambda name: lists.select(F.col("e").alias(name), F.col("v").alias(f"v{name}"))
@@ -46,11 +50,11 @@ def align_editions(vectors: DataFrame, edition: str, order: str, vector: str, pa
         def one(x: np.ndarray, y: np.ndarray) -> list[dict]:
             m, n = (np.stack([np.asarray(v, float) for v in side]) for side in (x, y))
             m, n = (k / np.maximum(np.linalg.norm(k, axis=1, keepdims=True), 1e-12) for k in (m, n))
-            return [{"i": i, "j": j} for i, j in banddp.align(m @ n.T, compat=compat)]
+            return [{"i": i, "j": j} for i, j in banddp.align_vectors(m, n, compat=compat)]
 
         return pd.Series([one(x, y) for x, y in zip(left, right, strict=True)])
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").repartition(_tasks(vectors))  # few rows with much work each: dealt out one by one
     return met.select("a", "b", F.posexplode(run("va", "vb")).alias("place", "p")).select("a", "b", "place", "p.i", "p.j")
 
 
