@@ -1,3 +1,4 @@
+import time
 import tracemalloc
 
 import numpy as np
@@ -62,6 +63,35 @@ def test_long_alignment_keeps_few_rows(monkeypatch):
     assert all(back[s.ref_to][s.hyp_to] == (s.ref_from, s.hyp_from) for s in steps)
 
 
+@pytest.mark.parametrize("cells", [1, 1 << 24])
+@given(ref=WORDS, hyp=st.lists(st.sampled_from("abcz"), max_size=80), seed=st.integers(0, 99))
+@settings(max_examples=150, deadline=None)
+def test_word_alignment_in_bits_follows_the_table(cells, ref, hyp, seed):
+    ref = ref + np.random.default_rng(seed).choice(list("abcd"), 30).tolist()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(worddp, "CELLS", cells)
+        plain, scores = worddp._Table(ref, hyp, worddp.Scores(), True, None), worddp.Scores()
+        ends = [(int(row[-1]), (r, len(hyp))) for r, row in plain.forward()]
+        best, end = max(ends)
+        if hyp:
+            assert worddp.align(ref, hyp, scores) == (worddp._trace(plain, end, best), best)
+
+
+def test_long_files_take_a_step_for_many_cells():
+    rng = np.random.default_rng(7)
+    ref = [str(w) for w in rng.zipf(1.3, 12_000) % 3000]
+    hyp = [w for k, w in enumerate(ref) if k % 7 != 6]
+    began = time.process_time()
+    steps, score = worddp.align(ref, hyp)
+    spent = time.process_time() - began
+    row, numbers = np.zeros(len(hyp) + 1, np.int64), range(200)
+    began = time.process_time()
+    plain = worddp._Table(ref, hyp, worddp.Scores(), True, None)
+    for r in numbers:
+        row, _ = plain.follow(row, r + 1)
+    assert spent < (time.process_time() - began) / len(numbers) * len(ref) and score >= len(hyp) - 12_000 // 7 and len(steps) >= len(hyp)
+
+
 def test_golden_alignment():
     steps, score = worddp.align("the cat sat on the mat".split(), "cat sat down".split())
     assert [(s.ref_from, s.hyp_from, s.ref_to, s.hyp_to) for s in steps] == [(1, 0, 2, 1), (2, 1, 3, 2), (3, 2, 4, 3)] and score == 1

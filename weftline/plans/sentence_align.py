@@ -10,13 +10,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from weftline.functions.text import normalization_type, normalize_word
 from weftline.kernels import worddp
+from weftline.plans import rowwise
 
 #: Bytes of a curated list of phrases, which every task gets.
 MOST_PHRASES = 64 << 20
-_STEPS = "array<struct<ref_from:int,hyp_from:int,ref_to:int,hyp_to:int>>"
+_STEP = StructType([StructField(name, IntegerType()) for name in ("ref_from", "hyp_from", "ref_to", "hyp_to")])
 
 
 def _sequence(rows: DataFrame, name: str) -> DataFrame:
@@ -24,22 +26,15 @@ def _sequence(rows: DataFrame, name: str) -> DataFrame:
     return rows.groupBy("file_id").agg(words.alias(name))
 
 
-def _steps_of(scores: worddp.Scores | None, whole_hyp: bool):
+def _steps_of(ref: F.Column, hyp: F.Column, scores: worddp.Scores | None, whole_hyp: bool) -> F.Column:
+    """(steps, status) of the words of a file."""
     scores = scores or worddp.Scores()
 
-    @F.pandas_udf(f"struct<steps:{_STEPS},status:string>")
-    def run(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-        found, status = [], []
-        for r, h in zip(ref, hyp, strict=True):
-            if r is None or h is None:
-                found.append([])
-                status.append("no reference words" if r is None else "no hypothesis words")
-            else:
-                found.append([{"ref_from": s.ref_from, "hyp_from": s.hyp_from, "ref_to": s.ref_to, "hyp_to": s.hyp_to} for s in worddp.align(list(r), list(h), scores, whole_hyp)[0]])
-                status.append("ok")
-        return pd.DataFrame({"steps": found, "status": status})
+    def one(r: list[str] | None, h: list[str] | None) -> list[tuple]:
+        return [] if r is None or h is None else [(s.ref_from, s.hyp_from, s.ref_to, s.hyp_to) for s in worddp.align(r, h, scores, whole_hyp)[0]]
 
-    return run
+    status = F.when(ref.isNull(), "no reference words").when(hyp.isNull(), "no hypothesis words").otherwise("ok")
+    return F.struct(rowwise.listed(_STEP, one)(ref, hyp).alias("steps"), status.alias("status"))
 
 
 def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None, whole_hyp: bool = True) -> DataFrame:
@@ -47,7 +42,7 @@ def steps(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None = None,
 
     A file without words on one side gives one row that says so as its status.
     """
-    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id", "full").withColumn("found", _steps_of(scores, whole_hyp)("ref", "hyp"))
+    aligned = _sequence(refs, "ref").join(_sequence(hyps, "hyp"), "file_id", "full").withColumn("found", _steps_of(F.col("ref"), F.col("hyp"), scores, whole_hyp))
     each = aligned.select("file_id", "found.status", F.posexplode_outer("found.steps").alias("step", "s"))
     consumed = lambda a, b: F.when(F.col(f"s.{b}") > F.col(f"s.{a}"), F.col(f"s.{b}") - 1)
     return each.select("file_id", "step", consumed("ref_from", "ref_to").alias("ref_pos"), consumed("hyp_from", "hyp_to").alias("hyp_pos"), "status")
@@ -61,7 +56,7 @@ def aligned_words(refs: DataFrame, hyps: DataFrame, scores: worddp.Scores | None
     listed = lambda rows, *columns: rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("x"))
     left = listed(refs, "word", "sent_idx", normalize_word("word").alias("w")).withColumnRenamed("x", "r")
     right = listed(hyps, "word", "start", "end", "conf", normalize_word("word").alias("w")).withColumnRenamed("x", "h")
-    met = left.join(right, "file_id", "full").withColumn("found", _steps_of(scores, whole_hyp)("r.w", "h.w"))
+    met = left.join(right, "file_id", "full").withColumn("found", _steps_of(F.col("r.w"), F.col("h.w"), scores, whole_hyp))
 
     def row(s: F.Column) -> F.Column:
         r = F.when(s["ref_to"] > s["ref_from"], F.get("r", s["ref_from"]))
