@@ -2,11 +2,13 @@ import time
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from weftline.kernels import banddp, ctc, editdp, fuzzy, ocrseq, rewrite, tokendiff, worddp
+from weftline.plans import rowwise, sequences
 
 WORDS = st.lists(st.sampled_from("abcd"), max_size=7)
 
@@ -213,3 +215,16 @@ def test_bands_follow_the_whole_box(m, n, seed, penalty, band):
             pairs.append((at[0] - 1, at[1] - 1))
         at = p, q
     assert [x for x in banddp.align(sim, penalty, 0.2, band) if None not in x] == pairs[::-1]
+
+
+def test_results_are_objects_for_few_rows_at_once():
+    kind = sequences._READ
+    words = pa.array([[f"w{k % 7}" for k in range(200)]] * 1500 + [None, []])
+    run = rowwise.listed(kind, lambda w: None if w is None else [(k, 0.5, False) for k in range(len(w))]).func
+    tracemalloc.start()
+    found = run(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8_000_000  # 300,000 dicts would be seven times that
+    assert found[-2].as_py() is None and found[-1].as_py() == [] and found[1499].as_py()[199] == {"ref_pos": 199, "confidence": 0.5, "failed": False}
+    assert len(found) == 1502 and len(run(words.slice(0, 0))) == 0

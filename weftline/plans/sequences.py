@@ -9,22 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from weftline.kernels import banddp, ctc, editdp, fuzzy, ocrseq, rewrite, tokendiff
+from weftline.plans import rowwise
 
 # The rows of the usual similarity matrix, in order.
 SIMILARITY_SYMBOLS = "| OW UW EY AW AH AO AY EH K NG F JH M CH IH UH HH L AA R TH AE D Z OY DH IY B W S T SH ZH ER V Y N G P -".split()
 
 # Types rather than DDL strings, so that the module can be imported without a session.
-_OP = ArrayType(StructType([StructField("op", StringType()), StructField("ref_idx", IntegerType()), StructField("ref", StringType()), StructField("act", StringType())]))
+_OP = StructType([StructField("op", StringType()), StructField("ref_idx", IntegerType()), StructField("ref", StringType()), StructField("act", StringType())])
+_READ = StructType([StructField("ref_pos", IntegerType()), StructField("confidence", DoubleType()), StructField("failed", BooleanType())])
 _SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("score", DoubleType())])
 
 
-@F.pandas_udf(_OP)
-def edit_ops(ref: pd.Series, act: pd.Series) -> pd.Series:
+def edit_ops(ref: F.Column | str, act: F.Column | str) -> F.Column:
     """Edit operations from one short sequence to another."""
-    return pd.Series([[dict(zip(("op", "ref_idx", "ref", "act"), o, strict=True)) for o in editdp.edits(list(r), list(a))] if r is not None and a is not None else None for r, a in zip(ref, act, strict=True)])
+    return rowwise.listed(_OP, lambda r, a: None if r is None or a is None else editdp.edits(r, a))(ref, act)
 
 
 def operations(pairs: DataFrame, ref: str, act: str, keep: Sequence[str]) -> DataFrame:
@@ -71,15 +72,11 @@ def align_ocr(ocr: DataFrame, reference: DataFrame, dictionary: frozenset[str] |
     else:
         met, fixed = met.withColumn("known", F.lit(None).cast("array<string>")), dictionary
 
-    @F.pandas_udf("array<struct<ref_pos:int,confidence:double,failed:boolean>>")
-    def run(words: pd.Series, ref: pd.Series, known: pd.Series) -> pd.Series:
-        def one(w: list[str], r: list[str], listed: list[str] | None) -> list[dict]:
-            inside = fixed if listed is None else frozenset(listed)
-            return [{"ref_pos": p, "confidence": c, "failed": f} for p, c, f in ocrseq.align(list(w), list(r), lambda x: x.lower() in inside)] if len(r) else []
+    def one(w: list[str], r: list[str], listed: list[str] | None) -> list[tuple]:
+        inside = fixed if listed is None else frozenset(listed)
+        return ocrseq.align(w, r, lambda x: x.lower() in inside) if r else []
 
-        return pd.Series([one(w, r, k) for w, r, k in zip(words, ref, known, strict=True)])
-
-    found = met.withColumn("found", run("words", "ref", "known"))
+    found = met.withColumn("found", rowwise.listed(_READ, one)("words", "ref", "known"))
     each = found.select("doc", "words", "ref", F.posexplode("found").alias("pos", "f"))
     return each.select("doc", "pos", F.element_at("words", F.col("pos") + 1).alias("word"), "f.ref_pos", F.element_at("ref", F.col("f.ref_pos") + 1).alias("ref_word"), "f.confidence", "f.failed")
 
