@@ -1,9 +1,12 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import numbers, phones, vectors
 from weftline.functions import text as T
+from weftline.plans import function_queries
 
 
 def column(spark, values, expression):
@@ -79,3 +82,15 @@ def test_cosine(spark):
     row = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
     found = row.select(vectors.cosine(F.col("a"), F.col("b")), vectors.cosine(F.col("a"), F.col("z")), vectors.unit(F.col("a"))).first()
     assert abs(found[0] - 0.96) < 1e-12 and found[1] is None and found[2] == [0.6, 0.8]
+
+
+def test_neighbours_are_typed_without_shuffling_pairs(spark):
+    lines = ["a A a' 'a a, a- b", "  x", "", "ΑΣ-Β ας-β ΑΣ ασ", "... , '", "It's its, ITS re-do redo redo.", "İ i̇ ß SS ss", None, "word"]
+    table = spark.createDataFrame([(x,) for x in lines], "line string")
+    words = table.withColumn("w", F.split("line", " ")).filter("size(w) > 1")
+    pairs = words.select(F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"), "w").select(F.get("w", F.col("i") - 1).alias("a"), F.get("w", "i").alias("b"))
+    plain = pairs.groupBy(T.normalization_type("a", "b").alias("type")).count()
+    found = function_queries._normalisation_types(table)
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in plain.collect()}
+    keys = re.findall(r"hashpartitioning\((.*?)#", found._jdf.queryExecution().executedPlan().toString())
+    assert set(keys) == {"type"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,9 +67,23 @@ SELECT CASE WHEN lower(a) = lower(b) THEN 'case' WHEN lower(translate(a, '-''’
 )
 def normalisation_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would turn a word into the next one of its line, counted."""
-    words = _lines(spark, sf_dir).withColumn("w", F.split("line", " "))
-    pairs = words.select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b")))).toDF("a", "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy(T.normalization_type("a", "b").alias("type")).agg(F.sum("c").alias("n"))
+    return _normalisation_types(_lines(spark, sf_dir))
+
+
+def _normalisation_types(lines: DataFrame) -> DataFrame:
+    """(type, n) of neighbours in lines (line).
+
+    Words that any type but the last one explains are equal once folded and bare
+    of punctuation. Whole lines are folded, and only pairs that are equal then
+    are typed; the others are counted in place, so that no pair is shuffled.
+    """
+    folded = F.translate(F.lower("line"), "ς’" + string.punctuation, "σ")  # a last sigma, which depends on what follows, is one like the others
+    words = lines.select(F.split("line", " ").alias("w"), F.split(folded, " ").alias("f"))
+    alike = F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.get("f", i - 1) == F.get("f", i))
+    found = words.select("w", F.when(F.size("w") > 1, alike).otherwise(F.array().cast("array<int>")).alias("alike"), (F.size("w") - 1).alias("n"))
+    typed = F.transform("alike", lambda i: F.struct(T.normalization_type(F.get("w", i - 1), F.get("w", i)).alias("type"), F.lit(1).alias("n")))
+    rest = F.array(F.struct(F.lit("normalization").alias("type"), (F.col("n") - F.size("alike")).alias("n")))
+    return found.select(F.inline(F.concat(typed, rest))).filter("n > 0").groupBy("type").agg(F.sum("n").alias("n"))
 
 
 @query(
